@@ -1,8 +1,8 @@
 """Rule-based rewards as Column builders.
 
-Every builder takes ``(prompt, response, answer)`` text columns and returns a double, so
-scoring a rollout table is one projection. ``REWARDS`` is the registry; ``register`` adds
-further builders and ``python_reward`` adapts Python functions that take aligned lists.
+A rule takes the ``Measures`` of a row and returns a double. ``REWARDS`` is the registry;
+``register`` adds a builder over the plain ``(prompt, response, answer)`` columns, and
+``python_reward`` adapts Python functions that take aligned lists.
 """
 
 from __future__ import annotations
@@ -13,17 +13,18 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pairloom.functions import fixed
-from pairloom.functions import tags
+from pairloom.functions import fixed, tags
 from pairloom.functions import text as T
+from pairloom.functions.measures import Measures
 
+Rule = Callable[[Measures], Column]
 Reward = Callable[[Column, Column, Column], Column]
-REWARDS: dict[str, Reward] = {}
+REWARDS: dict[str, Rule] = {}
 
 
-def register(name: str, reward: Reward) -> Reward:
-    REWARDS[name] = reward
-    return reward
+def register(name: str, reward: Reward) -> None:
+    """Add a reward over prompt, response and answer text."""
+    REWARDS[name] = lambda m: reward(m["prompt"], m["response"], m["answer"])
 
 
 def _steps(*steps: tuple[Column, float], default: float) -> Column:
@@ -35,73 +36,58 @@ def _steps(*steps: tuple[Column, float], default: float) -> Column:
     return points.otherwise(F.lit(float(default)))
 
 
-def composite(prompt: Column, response: Column, answer: Column | None = None) -> Column:
+def composite(m: Measures) -> Column:
     """Eight-part reward on a response to the fixed instruction, floored at -10."""
-    source, resp = tags.source_after_instruction(prompt), T.strip(response)
-    kata = T.count_class(resp, T.KATAKANA)
-    hira, kanji = T.count_class(resp, T.HIRAGANA), T.count_class(resp, T.KANJI)
-    latin = T.count_class(resp, T.ASCII_LETTER + T.DIGIT)
-    total = kata + hira + kanji + latin
-    share = T.ratio(kata, total)
-    size = T.ratio(F.length(resp), F.length(source))
-    marks_source = T.count_class(source, T.PUNCTUATION)
-    marks = F.try_divide(T.count_class(resp, T.PUNCTUATION), marks_source)
+    share, size, kept, total = m["share"], m["size"], m["marks_kept"], m["japanese_total"]
+    explained = (m["n_native"] > 0) & m["resp"].rlike("|".join(fixed.EXPLANATIONS))
     points = (
         _steps((share >= 0.95, 4), (share >= 0.85, 2), (share >= 0.70, 0.5), default=-3)
-        + (hira * F.lit(-0.8) + kanji * F.lit(-1.2))
+        + (m["hira"] * F.lit(-0.8) + m["kanji"] * F.lit(-1.2))
         + _steps(
             (size.between(0.8, 2.5), 2.5), (size.between(0.6, 3.0), 1),
             (size > 4.0, -4), (size < 0.5, -3), default=0,
         )
         + _steps(
-            (marks_source == 0, 0), (marks.between(0.8, 1.2), 1.5), (marks < 0.5, -1), default=0,
+            (m["source_marks"] == 0, 0), (kept.between(0.8, 1.2), 1.5), (kept < 0.5, -1),
+            default=0,
         )
-        + _steps((total >= T.japanese_total(source) * F.lit(0.8), 1.5), default=-2)
-        + _steps((resp.rlike("|".join(fixed.EXPLANATIONS)), -2), default=1)
+        + _steps((total >= m["source_total"] * F.lit(0.8), 1.5), default=-2)
+        + _steps((explained, -2), default=1)
         + _steps((total == 0, 0), (share >= 0.9, 1), (share < 0.7, -1.5), default=0)
-        + _steps((latin > 0, 0.5), default=0)
-    )
-    return (
-        F.when(~tags.has_instruction(prompt) | (F.length(resp) == 0), F.lit(-5.0))
-        .otherwise(F.greatest(points, F.lit(-10.0)))
+        + _steps((m["letters"] + m["digits"] > 0, 0.5), default=0)
     )
+    invalid = m["source"].isNull() | (m["resp_length"] == 0)
+    return F.when(invalid, F.lit(-5.0)).otherwise(F.greatest(points, F.lit(-10.0)))
 
 
-def purity(prompt: Column | None, response: Column, answer: Column | None = None) -> Column:
-    resp = T.strip(response)
-    share = T.purity_nonspace(resp)
+def purity(m: Measures) -> Column:
+    share = m["purity"]
     return _steps(
-        (F.length(resp) == 0, -3), (share.isNull(), -2), (share == 1, 4), (share >= 0.98, 3.5),
+        (m["resp_length"] == 0, -3), (share.isNull(), -2), (share == 1, 4), (share >= 0.98, 3.5),
         (share >= 0.95, 3), (share >= 0.9, 2), (share >= 0.8, 1), (share >= 0.6, 0.2),
         default=-2.5,
     )
 
 
-def length(prompt: Column, response: Column, answer: Column | None = None) -> Column:
-    source = F.length(T.no_ascii_space(tags.source_after_colon(prompt)))
-    share = F.try_divide(F.length(T.no_ascii_space(T.strip(response))), source)
+def length(m: Measures) -> Column:
+    share = m["packed_share"]
     return _steps(
-        (source == 0, 0), (share.between(0.9, 1.3), 3), (share.between(0.8, 1.6), 2),
+        (m["colon_packed"] == 0, 0), (share.between(0.9, 1.3), 3), (share.between(0.8, 1.6), 2),
         (share.between(0.6, 2.0), 0.8), (share.between(0.4, 3.0), 0.2),
         (share > 4.0, -3), (share < 0.3, -2.5), default=-1.5,
     )
 
 
-def unwanted(prompt: Column | None, response: Column, answer: Column | None = None) -> Column:
-    resp = T.strip(response)
+def unwanted(m: Measures) -> Column:
     penalty = (
-        T.count_class(resp, T.ASCII_LETTER) * F.lit(0.5)
-        + T.count_class(resp, T.ASCII_DIGIT) * F.lit(0.4)
-        + T.count_class(resp, T.HIRAGANA) * F.lit(0.8)
-        + T.count_class(resp, T.KANJI) * F.lit(1.2)
-        + T.count_class(resp, T.SYMBOL) * F.lit(0.3)
+        m["letters"] * F.lit(0.5) + m["ascii_digits"] * F.lit(0.4) + m["hira"] * F.lit(0.8)
+        + m["kanji"] * F.lit(1.2) + m["symbols"] * F.lit(0.3)
     )
-    return F.lit(0.0) - penalty - _steps((F.length(resp) == 0, 3), default=0)
+    return F.lit(0.0) - penalty - _steps((m["resp_length"] == 0, 3), default=0)
 
 
-def completeness(prompt: Column | None, response: Column, answer: Column | None = None) -> Column:
-    resp = T.strip(response)
-    n, newlines = F.length(resp), T.count_newlines(resp)
+def completeness(m: Measures) -> Column:
+    n, newlines = m["resp_length"], m["newlines"]
     size = _steps(
         (n == 0, -4), (n <= 2, -2), (n <= 5, -0.5), (n <= 80, 2), (n <= 120, 1), (n <= 200, -0.8),
         default=-2.5,
@@ -109,63 +95,59 @@ def completeness(prompt: Column | None, response: Column, answer: Column | None
     return (
         size
         - F.when(newlines > 1, newlines * F.lit(0.5)).otherwise(F.lit(0.0))
-        - _steps((F.contains(resp, F.lit("  ")), 0.3), default=0)
+        - _steps((F.contains(m["resp"], F.lit("  ")), 0.3), default=0)
     )
 
 
-def output_format(prompt: Column | None, response: Column, answer: Column | None = None) -> Column:
+def output_format(m: Measures) -> Column:
     """Unwanted phrases cost, purity and brevity pay; nested phrases count each."""
-    resp = T.strip(response)
-    hits = sum((T.count_phrase(resp, p) for p in fixed.UNWANTED_PHRASES), F.lit(0))
-    share = T.purity_nonspace(resp)
-    brief = F.length(resp).between(3, 30) & (T.count_phrase(resp, " ") <= 2)
+    share = m["purity"]
+    brief = m["resp_length"].between(3, 30) & (m["ascii_spaces"] <= 2)
     return (
-        hits * F.lit(-0.4)
+        m["phrase_hits"] * F.lit(-0.4)
         + _steps((share == 1, 2.5), (share >= 0.95, 1.8), (share >= 0.9, 1.2), default=0)
         + _steps((brief, 0.8), default=0)
     )
 
 
-def repetition(prompt: Column, response: Column, answer: Column | None = None) -> Column:
-    source, resp = F.length(tags.source_after_colon(prompt)), T.strip(response)
-    packed = T.no_ascii_space(resp)
+def repetition(m: Measures) -> Column:
+    """Points off for characters beyond the source's length and for monotonous texts."""
+    n, source = m["resp_length"], m["colon_length"]
+    monotonous = (n > 5) & T.fewer_distinct(T.no_ascii_space(m["resp"]), 3)
     points = (
-        T.n_chars_above(resp, source) * F.lit(-0.5)
-        - _steps(((T.n_distinct_chars(packed) < 3) & (F.length(resp) > 5), 1.5), default=0)
-        - _steps(((F.length(packed) < 3) & (source > 8), 1), default=0)
+        T.n_chars_above(m["resp"], source) * F.lit(-0.5)
+        - _steps((monotonous, 1.5), default=0)
+        - _steps(((m["packed_length"] < 3) & (source > 8), 1), default=0)
     )
-    return F.when(F.length(resp) == 0, F.lit(0.0)).otherwise(points)
+    return F.when(n == 0, F.lit(0.0)).otherwise(points)
 
 
-def tag_match(kind: str, points: float = 3.0) -> Reward:
-    def reward(prompt, response, answer=None):
-        return _steps((response.rlike(tags.pattern(kind)), points), default=0)
+def tag_match(kind: str, points: float = 3.0) -> Rule:
+    return lambda m: _steps((m["response"].rlike(tags.pattern(kind)), points), default=0)
 
-    return reward
 
+def tag_counts(names: Sequence[str], once: float, otherwise: float) -> Rule:
+    def rule(m):
+        scores = [
+            _steps((T.count_phrase(m["response"], t) == 1, once), default=otherwise)
+            for t in names
+        ]
+        return sum(scores, F.lit(0.0))
 
-def tag_counts(names: Sequence[str], once: float, otherwise: float) -> Reward:
-    def reward(prompt, response, answer=None):
-        return sum(
-            (_steps((T.count_phrase(response, t) == 1, once), default=otherwise) for t in names),
-            F.lit(0.0),
-        )
-
-    return reward
+    return rule
 
 
 def answer_check(
     kind: str, missing: float, equal: float, stripped: float, close: float, near: float,
     wrong: float, error: float,
-) -> Reward:
+) -> Rule:
     """Compare the tagged solution with the answer as text, then as a ratio of numbers.
 
     A NULL answer gives NULL: there is nothing to compare the guess with.
     """
 
-    def reward(prompt, response, answer):
-        guess = tags.first_group(response, tags.pattern(kind))
-        share = F.try_divide(T.parse_float(guess), T.parse_float(answer))
+    def rule(m):
+        guess, answer, share = m[f"{kind}_guess"], m["answer"], m[f"{kind}_share"]
         compared = _steps(
             (guess == answer, equal), (T.strip(guess) == T.strip(answer), stripped),
             (share.isNull(), error), (share.between(0.9, 1.1), close),
@@ -173,44 +155,44 @@ def answer_check(
         )
         return F.when(guess.isNull(), F.lit(float(missing))).when(answer.isNotNull(), compared)
 
-    return reward
+    return rule
 
 
 def number_check(
-    signed: bool, missing: float, equal: float, wrong: float, error: float = 0.0
-) -> Reward:
+    found: str, missing: float, equal: float, wrong: float, error: float = 0.0
+) -> Rule:
     """Compare the first number after the solution tag with the answer."""
 
-    def reward(prompt, response, answer):
-        found = tags.solution_number(response, signed)
-        plain = F.replace(found, F.lit(","), F.lit("")) if signed else found
-        guess, truth = T.parse_float(plain), T.parse_float(answer)
+    def rule(m):
+        guess, truth = m[f"{found}_value"], m["truth"]
         return _steps(
-            (found.isNull(), missing), (guess.isNull() | truth.isNull(), error),
+            (m[found].isNull(), missing), (guess.isNull() | truth.isNull(), error),
             ((guess == truth) & ~F.isnan(truth), equal), default=wrong,
         )
 
-    return reward
+    return rule
 
 
 ALL_TAGS = (fixed.WORK_START, fixed.WORK_END, fixed.SOLUTION_START, fixed.SOLUTION_END)
 
-register("composite", composite)
-register("purity", purity)
-register("length", length)
-register("unwanted", unwanted)
-register("completeness", completeness)
-register("format", output_format)
-register("repetition", repetition)
-register("format_exact_strict", tag_match("strict"))
-register("tags_strict", tag_counts(ALL_TAGS, 0.5, -0.5))
-register("answer_strict", answer_check("strict", 0, 3, 1.5, 0.5, 0.25, -1, -0.5))
-register("number_strict", number_check(False, 0, 1.5, 0))
-register("format_exact_loose", tag_match("loose"))
-# The opening tag is always supplied by the prompt, so it is not scored here.
-register("tags_loose", tag_counts(ALL_TAGS[1:], 0.5, -1))
-register("answer_loose", answer_check("loose", -2, 5, 3.5, 2, 1.5, -2.5, -4.5))
-register("number_loose", number_check(True, -2.5, 3.5, -1.5))
+REWARDS.update({
+    "composite": composite,
+    "purity": purity,
+    "length": length,
+    "unwanted": unwanted,
+    "completeness": completeness,
+    "format": output_format,
+    "repetition": repetition,
+    "format_exact_strict": tag_match("strict"),
+    "tags_strict": tag_counts(ALL_TAGS, 0.5, -0.5),
+    "answer_strict": answer_check("strict", 0, 3, 1.5, 0.5, 0.25, -1, -0.5),
+    "number_strict": number_check("number", 0, 1.5, 0),
+    "format_exact_loose": tag_match("loose"),
+    # The opening tag is always supplied by the prompt, so it is not scored here.
+    "tags_loose": tag_counts(ALL_TAGS[1:], 0.5, -1),
+    "answer_loose": answer_check("loose", -2, 5, 3.5, 2, 1.5, -2.5, -4.5),
+    "number_loose": number_check("signed_number", -2.5, 3.5, -1.5),
+})
 
 CONVERSION_REWARDS = ("purity", "length", "unwanted", "completeness", "format", "repetition")
 STRICT_REWARDS = ("format_exact_strict", "tags_strict", "answer_strict", "number_strict")
@@ -221,7 +203,7 @@ def python_reward(fn: Callable[..., list[float]]) -> Reward:
     """Adapt ``fn(prompts, completions, answer) -> list[float]`` to a Column builder.
 
     Prompts and completions arrive as lists of message lists. Rows cross to Python in
-    Arrow batches; use a Column builder where the rule can be written as one.
+    Arrow batches; write the rule as a Column builder where that is possible.
     """
 
     @F.pandas_udf("double")
@@ -235,6 +217,7 @@ def python_reward(fn: Callable[..., list[float]]) -> Reward:
 
 def python_pair_reward(fn: Callable[[str, str], float]) -> Reward:
     """Adapt ``fn(prompt, response) -> float`` to a Column builder."""
+
     def each(prompts, completions, answer):
         return [fn(p[-1]["content"], c[0]["content"]) for p, c in zip(prompts, completions)]
 

@@ -1,12 +1,16 @@
 """Script counts, purity ratios, stripping, number parsing and keyed hashing.
 
-Lengths are code points. Counting is ``length - length(regexp_replace(...))``: it stays in
-whole-stage codegen, while higher-order functions over characters are interpreted.
-Character classes use the ``\\x{...}`` spelling, which Java and RE2 both read.
+Lengths are code points. Counting compares a text with the text that ``regexp_replace``
+leaves of it: that stays in generated code, while higher-order functions over characters
+are interpreted. Several counts of one text are taken from a chain of remainders, so that
+costly classes only see what the cheap ones left over. Character classes use the
+``\\x{...}`` spelling, which Java and RE2 both read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,10 +18,13 @@ from pairloom.functions import fixed
 
 
 def _ranges(points):
-    """Regex class text for ascending code points, runs folded to ranges."""
+    """Regex class text for ascending code points, runs above Latin-1 folded to ranges.
+
+    Java tests single Latin-1 characters with one bit set, ranges one after the other.
+    """
     runs = []
     for p in points:
-        if runs and p == runs[-1][1] + 1:
+        if runs and p == runs[-1][1] + 1 and p > 0xFF:
             runs[-1][1] = p
         else:
             runs.append([p, p])
@@ -43,6 +50,12 @@ ALNUM = r"\p{L}\p{N}"
 PUNCTUATION = _ranges(sorted(map(ord, fixed.PUNCTUATION)))
 SYMBOL = _ranges(sorted(map(ord, fixed.UNWANTED_SYMBOLS)))
 
+# Bytes per character where all members of a class are equally long in UTF-8.
+_UTF8_BYTES = {
+    KATAKANA: 3, HIRAGANA: 3, KANJI: 3, KANJI + HIRAGANA: 3, PUNCTUATION: 3,
+    ASCII_LETTER: 1, ASCII_DIGIT: 1, SYMBOL: 1, " ": 1, r"\n": 1,
+}
+
 _FLOAT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -55,13 +68,36 @@ def is_blank(s: Column) -> Column:
     return F.length(strip(s)) == 0
 
 
+def remove(s: Column, char_class: str) -> Column:
+    """The text without the characters of a regex character class."""
+    return F.regexp_replace(s, f"[{char_class}]+", "")
+
+
+def n_removed(before: Column, after: Column, char_class: str) -> Column:
+    """Number of characters ``remove`` took away.
+
+    Byte lengths are stored with the text, character lengths have to be counted, so bytes
+    are compared where the class allows it.
+    """
+    width = _UTF8_BYTES.get(char_class)
+    if width is None:
+        return F.length(before) - F.length(after)
+    gone = F.octet_length(before) - F.octet_length(after)
+    return gone if width == 1 else (gone / F.lit(width)).cast("int")
+
+
 def count_class(s: Column, char_class: str) -> Column:
     """Number of characters of ``s`` in a regex character class."""
-    return F.length(s) - F.length(F.regexp_replace(s, f"[{char_class}]+", ""))
+    return n_removed(s, remove(s, char_class), char_class)
+
+
+def _no_common(s: Column) -> Column:
+    """What is left without kana, kanji and ASCII letters: spaces, digits, marks."""
+    return remove(remove(s, KATAKANA), KANJI + HIRAGANA + ASCII_LETTER)
 
 
 def nonspace_length(s: Column) -> Column:
-    return F.length(F.regexp_replace(s, f"[{SPACE}]+", ""))
+    return F.length(s) - count_class(_no_common(s), SPACE)
 
 
 def no_ascii_space(s: Column) -> Column:
@@ -70,23 +106,41 @@ def no_ascii_space(s: Column) -> Column:
 
 def count_phrase(s: Column, phrase: str) -> Column:
     """Non-overlapping occurrences of a literal phrase."""
-    gone = F.replace(s, F.lit(phrase), F.lit(""))
-    return ((F.length(s) - F.length(gone)) / F.lit(len(phrase))).cast("int")
+    gone = F.octet_length(s) - F.octet_length(F.replace(s, F.lit(phrase), F.lit("")))
+    width = len(phrase.encode())
+    return gone if width == 1 else (gone / F.lit(width)).cast("int")
+
 
+def count_phrases(s: Column, phrases: Sequence[str]) -> Column:
+    """Occurrences of all phrases, each counted on its own.
 
-def count_newlines(s: Column) -> Column:
-    return count_class(s, r"\n")
+    A loop over the literal array: one search per phrase costs far more than the lambda,
+    and thirty of them written out make a method too large for the JIT compiler. Pass a
+    plain column, as it is read once per phrase.
+    """
+
+    def add(total, phrase):
+        gone = F.octet_length(s) - F.octet_length(F.replace(s, phrase, F.lit("")))
+        return total + (gone / F.octet_length(phrase)).cast("int")
+
+    return F.aggregate(F.array(*map(F.lit, phrases)), F.lit(0), add)
+
+
+def _script_counts(s: Column) -> list[Column]:
+    counts, rest = [], s
+    for name, char_class in (
+        ("katakana", KATAKANA), ("hiragana", HIRAGANA), ("kanji", KANJI),
+        ("english", ASCII_LETTER), ("numbers", DIGIT),
+    ):
+        left = remove(rest, char_class)
+        counts.append(n_removed(rest, left, char_class).alias(name))
+        rest = left
+    return counts
 
 
 def script_counts(s: Column) -> Column:
     """Struct of katakana, hiragana, kanji, ASCII letters and digits."""
-    return F.struct(
-        count_class(s, KATAKANA).alias("katakana"),
-        count_class(s, HIRAGANA).alias("hiragana"),
-        count_class(s, KANJI).alias("kanji"),
-        count_class(s, ASCII_LETTER).alias("english"),
-        count_class(s, DIGIT).alias("numbers"),
-    )
+    return F.struct(*_script_counts(s))
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -96,7 +150,7 @@ def ratio(part: Column, whole: Column) -> Column:
 
 def japanese_total(s: Column) -> Column:
     """Characters that count towards the profile ratio; the classes do not overlap."""
-    return count_class(s, KATAKANA + HIRAGANA + KANJI + ASCII_LETTER + DIGIT)
+    return F.length(s) - F.length(remove(_no_common(s), DIGIT))
 
 
 def profile_ratio(s: Column) -> Column:
@@ -111,33 +165,29 @@ def script_profile(s: Column, variant: str = "default") -> Column:
     text scores about one half. It is kept as a named variant because reports made with
     it must stay reproducible.
     """
-    kata, hira = count_class(s, KATAKANA), count_class(s, HIRAGANA)
-    kanji = count_class(s, KANJI)
+    counts = _script_counts(s)
     if variant == "default":
         total = japanese_total(s)
-        extra = [
-            count_class(s, ASCII_LETTER).alias("english"),
-            count_class(s, DIGIT).alias("numbers"),
-        ]
     elif variant == "fast":
-        total = count_class(s, KATAKANA + HIRAGANA + KANJI) + count_class(s, ALNUM)
-        extra = []
+        counts = counts[:3]
+        total = sum(counts, F.lit(0)) + count_class(s, ALNUM)
     else:
         raise ValueError(f"unknown profile variant: {variant}")
     return F.struct(
-        kata.alias("katakana"), hira.alias("hiragana"), kanji.alias("kanji"), *extra,
+        *counts,
         total.alias("japanese_total"),
-        ratio(kata, total).alias("katakana_ratio"),
+        ratio(count_class(s, KATAKANA), total).alias("katakana_ratio"),
         F.length(s).alias("total_length"),
     )
 
 
 def inline_total(s: Column) -> Column:
-    return count_class(s, HIRAGANA + KATAKANA + KANJI + ALNUM)
+    """Kana, kanji and alphanumerics, each counted once."""
+    return F.length(s) - F.length(remove(_no_common(s), ALNUM))
 
 
 def inline_ratio(s: Column) -> Column:
-    """Katakana share among kana, kanji and alphanumerics, each counted once."""
+    """Katakana share among kana, kanji and alphanumerics; punctuation is ignored."""
     return ratio(count_class(s, KATAKANA), inline_total(s))
 
 
@@ -165,13 +215,26 @@ def n_distinct_chars(s: Column) -> Column:
     return F.when(F.length(s) == 0, 0).otherwise(F.size(distinct_chars(s)))
 
 
+def fewer_distinct(s: Column, n: int) -> Column:
+    """True if ``s`` has less than ``n`` distinct characters; most texts show at the start."""
+    start = n_distinct_chars(F.substring(s, 1, 32))
+    return F.when(start >= n, False).otherwise(n_distinct_chars(s) < n)
+
+
 def n_chars_above(s: Column, limit: Column) -> Column:
-    """Number of distinct characters that occur in ``s`` more than ``limit`` times."""
-    often = F.filter(
-        distinct_chars(s),
-        lambda c: (c != "") & (F.length(s) - F.length(F.replace(s, c, F.lit(""))) > limit),
-    )
-    return F.size(often)
+    """Number of distinct characters that occur in ``s`` more than ``limit`` times.
+
+    Fewer than ``length - limit`` characters differ from such a character, so every
+    stretch of that length holds it: the first one names all candidates.
+    """
+    stretch = F.length(s) - limit
+
+    def often(c):
+        gone = F.octet_length(s) - F.octet_length(F.replace(s, c, F.lit("")))
+        return (c != "") & (gone > limit * F.octet_length(c))
+
+    candidates = distinct_chars(F.substring(s, F.lit(1), stretch))
+    return F.when(stretch <= 0, 0).otherwise(F.size(F.filter(candidates, often)))
 
 
 def parse_float(s: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ty
 
+from pairloom.functions.measures import Measures
 from pairloom.functions.rewards import REWARDS
 
 
@@ -36,8 +37,11 @@ def score(
     response: str = "response", answer: str | None = None, total: str | None = None,
 ) -> DataFrame:
     """Add ``reward_<name>`` columns and, if asked for, their sum."""
-    p, r, a = _text(df, prompt, -1), _text(df, response, 1), _text(df, answer, 1)
-    scored = df.withColumns({f"reward_{n}": F.round(REWARDS[n](p, r, a), 6) for n in names})
+    measures = Measures(
+        _text(df, prompt, -1), _text(df, response, 1), _text(df, answer, 1)
+    )
+    rewards = {f"reward_{n}": F.round(REWARDS[n](measures), 6) for n in names}
+    scored = measures.drop_from(measures.add_to(df).withColumns(rewards))
     if total is None:
         return scored
     # A NULL reward marks an invalid row and makes the total NULL.

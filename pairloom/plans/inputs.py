@@ -25,7 +25,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    """Documents, spread over the cores if the files are too few or too coarse for that.
+
+    A file with one row group is read by one task, and all text work would follow it. At
+    scale the scan has more partitions than cores, and no shuffle is added.
+    """
+    docs = table(spark, sf, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() >= 2 * cores:
+        return docs
+    return docs.repartition(cores, "doc_id")
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:

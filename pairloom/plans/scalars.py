@@ -172,6 +172,5 @@ def phrase_counts(spark, sf):
     return I.rollouts(spark, sf).select(
         *I.ROLLOUT_KEY, T.count_phrase(response, "です").alias("n_desu"),
         T.count_phrase(response, "変換結果").alias("n_result"),
-        sum((T.count_phrase(response, p) for p in fixed.UNWANTED_PHRASES), F.lit(0))
-        .alias("n_unwanted"),
+        T.count_phrases(response, fixed.UNWANTED_PHRASES).alias("n_unwanted"),
     )

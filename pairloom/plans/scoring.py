@@ -226,9 +226,9 @@ def count_tags(prompts, completions, answer):
 WITH {D.NUMBERS}
 SELECT prompt_id, {TAGS_STRICT} AS python_reward, {TAGS_STRICT} AS built_in_reward FROM numbers""")
 def udf_reward_adaptor(spark, sf):
-    adapted, built_in = rewards.python_reward(count_tags), rewards.REWARDS["tags_strict"]
-    columns = F.col("prompt"), F.col("response"), F.col("answer")
-    return I.number_rollouts(spark, sf).select(
-        "prompt_id", adapted(*columns).alias("python_reward"),
-        built_in(*columns).alias("built_in_reward"),
+    adapted = rewards.python_reward(count_tags)
+    scored = score.score(I.number_rollouts(spark, sf), ["tags_strict"], "prompt", answer="answer")
+    return scored.select(
+        "prompt_id", adapted(F.col("prompt"), F.col("response"), F.col("answer"))
+        .alias("python_reward"), F.col("reward_tags_strict").alias("built_in_reward"),
     )
