@@ -25,9 +25,11 @@ def parse_pairs(lines: DataFrame, column: str = "value", keep_bad: bool = False)
     """
     wrapped = F.concat(F.lit("["), strip(F.col(column)), F.lit("]"))
     records = F.from_json(wrapped, _RECORD, {"allowSingleQuotes": "false"})
-    one = F.when(F.size(records) == 1, records)
+    one = F.when(F.size("_records") == 1, F.col("_records"))
     rest = [c for c in lines.columns if c != column]
-    raw = lines.select(*rest, (F.inline_outer if keep_bad else F.inline)(one))
+    raw = lines.select(*rest, records.alias("_records")).select(
+        *rest, (F.inline_outer if keep_bad else F.inline)(one)
+    )
     is_pair = (
         (F.schema_of_variant("output") == "STRING") & (F.schema_of_variant("input") == "STRING")
     )
