@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 from pairloom.functions import fixed, tags
 from pairloom.functions import text as T
 
-_MIDDLE_DOT = "・"  # the one punctuation mark inside the katakana block
-_MARKS = T.PUNCTUATION.replace(f"\\x{{{ord(_MIDDLE_DOT):X}}}", "")
-
-
 class Measures:
     """Measures requested so far, in layers that build on each other."""
 
@@ -65,10 +61,6 @@ def _counted(name: str, char_class: str) -> Callable[[Measures], Column]:
     return lambda m: T.count_class(m[name], char_class)
 
 
-def _marks(text: str, rest: str) -> Callable[[Measures], Column]:
-    return lambda m: T.count_class(m[rest], _MARKS) + T.count_phrase(m[text], _MIDDLE_DOT)
-
-
 def _squeezed(m: Measures) -> Column:
     """Response with every katakana run as one character, for phrases without katakana.
 
@@ -90,14 +82,16 @@ def _phrase_hits(m: Measures) -> Column:
 
 
 MEASURES: dict[str, Callable[[Measures], Column]] = {
-    # Response, stripped, and what is left of it class by class.
+    # Response, stripped, and what is left of it class by class. The middle dot counts as
+    # katakana and as punctuation, so it stays in the rest.
     "resp": lambda m: T.strip(m["response"]),
     "resp_length": lambda m: F.length(m["resp"]),
-    "no_kata": _left("resp", T.KATAKANA),
+    "no_kata": _left("resp", T.KATAKANA_NO_DOT),
     "no_kanji": _left("no_kata", T.KANJI),
     "no_hira": _left("no_kanji", T.HIRAGANA),
     "rest": _left("no_hira", T.ASCII_LETTER),
-    "kata": _removed("resp", "no_kata", T.KATAKANA),
+    "dots": _counted("rest", T.MIDDLE_DOT),
+    "kata": lambda m: m["dots"] + T.n_removed(m["resp"], m["no_kata"], T.KATAKANA_NO_DOT),
     "kanji": _removed("no_kata", "no_kanji", T.KANJI),
     "hira": _removed("no_kanji", "no_hira", T.HIRAGANA),
     "letters": _removed("no_hira", "rest", T.ASCII_LETTER),
@@ -106,7 +100,7 @@ MEASURES: dict[str, Callable[[Measures], Column]] = {
     "symbols": _counted("rest", T.SYMBOL),
     "newlines": _counted("rest", r"\n"),
     "ascii_spaces": _counted("rest", " "),
-    "marks": _marks("resp", "rest"),
+    "marks": _counted("rest", T.PUNCTUATION),
     "n_native": lambda m: m["kanji"] + m["hira"],
     "japanese_total": lambda m: m["kata"] + m["n_native"] + m["letters"] + m["digits"],
     "share": lambda m: T.ratio(m["kata"], m["japanese_total"]),
@@ -118,10 +112,12 @@ MEASURES: dict[str, Callable[[Measures], Column]] = {
     "phrase_hits": _phrase_hits,
     # Source as the rest of the instruction's line.
     "source": lambda m: tags.source_after_instruction(m["prompt"]),
-    "source_common": _left("source", T.KATAKANA + T.HIRAGANA + T.KANJI + T.ASCII_LETTER),
-    "source_total": lambda m: F.length(m["source"])
-    - F.length(T.remove(m["source_common"], T.DIGIT)),
-    "source_marks": _marks("source", "source_common"),
+    "source_rest": _left(
+        "source", T.KANJI + T.HIRAGANA + T.KATAKANA_NO_DOT + T.ASCII_LETTER
+    ),
+    "source_total": lambda m: F.length(m["source"]) - F.length(m["source_rest"])
+    + T.count_class(m["source_rest"], T.MIDDLE_DOT) + T.count_class(m["source_rest"], T.DIGIT),
+    "source_marks": _counted("source_rest", T.PUNCTUATION),
     "size": lambda m: T.ratio(m["resp_length"], F.length(m["source"])),
     "marks_kept": lambda m: F.try_divide(m["marks"], m["source_marks"]),
     # Source as the text after the last colon.

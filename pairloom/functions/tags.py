@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pairloom.functions import fixed
-from pairloom.functions.text import SPACE, strip
+from pairloom.functions.text import FLAT_SPACE as SPACE
+from pairloom.functions.text import strip
 
 # (?d) lets only \n end a line, as in the patterns' original dialect.
 _FLAGS = "(?smd)"

@@ -9,8 +9,9 @@ costly classes only see what the cheap ones left over. Character classes use the
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,18 +34,33 @@ def _ranges(points):
     )
 
 
-# Unicode white space as str.strip() and str.isspace() see it.
+def _guarded(points):
+    """Java class text: Latin-1 members, and the others behind one range test."""
+    low = [p for p in points if p <= 0xFF]
+    high = [p for p in points if p > 0xFF]
+    return f"{_ranges(low)}[\\x{{{high[0]:X}}}-\\x{{{high[-1]:X}}}&&[{_ranges(high)}]]"
+
+
+# Unicode white space as str.strip() and str.isspace() see it. The flat class is for
+# engines without class intersection.
 SPACE_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
-SPACE = _ranges(ord(c) for c in SPACE_CHARS)
+FLAT_SPACE = _ranges(map(ord, SPACE_CHARS))
+SPACE = _guarded(list(map(ord, SPACE_CHARS)))
 
 KATAKANA = r"\x{30A0}-\x{30FF}"
+MIDDLE_DOT = r"\x{30FB}"  # a punctuation mark inside the katakana block
+KATAKANA_NO_DOT = r"\x{30A0}-\x{30FA}\x{30FC}-\x{30FF}"
 HIRAGANA = r"\x{3040}-\x{309F}"
 KANJI = r"\x{4E00}-\x{9FAF}"
 ASCII_LETTER = "a-zA-Z"
 ASCII_DIGIT = "0-9"
-# str.isdigit() also takes superscripts, circled digits and the like.
-DIGIT = r"\p{Nd}" + _ranges(
-    p for p in range(0x20000) if chr(p).isdigit() and not chr(p).isdecimal()
+# str.isdigit() also takes superscripts, circled digits and the like. Decimal digits
+# beyond ASCII start at U+0660.
+_OTHER_DIGITS = [p for p in range(0x20000) if chr(p).isdigit() and not chr(p).isdecimal()]
+FLAT_DIGIT = r"\p{Nd}" + _ranges(_OTHER_DIGITS)
+DIGIT = (
+    f"0-9{_ranges(p for p in _OTHER_DIGITS if p <= 0xFF)}"
+    rf"[\x{{660}}-\x{{1FFFF}}&&[\p{{Nd}}{_ranges(p for p in _OTHER_DIGITS if p > 0xFF)}]]"
 )
 ALNUM = r"\p{L}\p{N}"
 PUNCTUATION = _ranges(sorted(map(ord, fixed.PUNCTUATION)))
@@ -52,7 +68,7 @@ SYMBOL = _ranges(sorted(map(ord, fixed.UNWANTED_SYMBOLS)))
 
 # Bytes per character where all members of a class are equally long in UTF-8.
 _UTF8_BYTES = {
-    KATAKANA: 3, HIRAGANA: 3, KANJI: 3, KANJI + HIRAGANA: 3, PUNCTUATION: 3,
+    KATAKANA: 3, KATAKANA_NO_DOT: 3, MIDDLE_DOT: 3, HIRAGANA: 3, KANJI: 3, PUNCTUATION: 3,
     ASCII_LETTER: 1, ASCII_DIGIT: 1, SYMBOL: 1, " ": 1, r"\n": 1,
 }
 
@@ -287,3 +303,19 @@ def token_len(s: Column, kind="chars") -> Column:
         t = strip(s)
         return F.when(F.length(t) == 0, 0).otherwise(F.size(F.split(t, f"[{SPACE}]+")))
     raise ValueError(f"unknown token kind: {kind}")
+
+
+def python_token_len(make_encode: Callable[[], Callable[[str], Sequence]]) -> Callable:
+    """Token length by a Python tokenizer, for use as ``kind`` of ``token_len``.
+
+    ``make_encode`` runs once per task in the Python worker, so a tokenizer is loaded there
+    and not shipped; texts arrive in Arrow batches.
+    """
+
+    @F.pandas_udf("int")
+    def size(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = make_encode()
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else len(encode(t))).astype("Int32")
+
+    return size

@@ -69,5 +69,22 @@ def batch_convert(
     return df.mapInPandas(run, ty.StructType(df.schema.fields + RESULT.fields))
 
 
+def map_batches(
+    df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema, batch_size: int = 1000
+) -> DataFrame:
+    """Apply ``fn`` to column lists of at most ``batch_size`` rows.
+
+    For foreign code that works on lists; ``schema`` describes what it returns.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), batch_size):
+                batch = frame.iloc[at:at + batch_size]
+                yield pd.DataFrame(fn({c: batch[c].tolist() for c in batch.columns}))
+
+    return df.mapInPandas(run, schema)
+
+
 def succeeded(df: DataFrame) -> DataFrame:
     return df.where(F.col("error").isNull())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pairloom.functions import chat
@@ -85,10 +85,24 @@ def drop_reason(rules: Sequence[Rule]) -> Column:
 
 
 def report(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Row and character counts per first failed rule, in one pass."""
+    """Row count per first failed rule, in one pass."""
     return df.groupBy(drop_reason(rules).alias("reason")).agg(F.count("*").alias("n_rows"))
 
 
+def keep_observed(
+    df: DataFrame, rules: Sequence[Rule], observation: Observation
+) -> DataFrame:
+    """As ``keep``, with the drop report as a side result of the same pass.
+
+    ``observation.get`` holds a count per reason once an action has run.
+    """
+    reason = F.col("_reason")
+    names = [name for name, _ in rules] + ["kept"]
+    judged = df.withColumn("_reason", drop_reason(rules))
+    counted = judged.observe(observation, *[F.count_if(reason == n).alias(n) for n in names])
+    return counted.where(reason == "kept").drop("_reason")
+
+
 def keep_quantile(df: DataFrame, size: Column, share: float = 0.9) -> DataFrame:
     """Rows not longer than the truncated ``share`` quantile of ``size``.
 

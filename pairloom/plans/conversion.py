@@ -23,6 +23,20 @@ def batch_convert_stub(spark, sf):
     return done.select(*I.PAIR_KEY, "output", (F.col("seconds") >= 0).alias("timed"))
 
 
+def join_lists(batch):
+    """Foreign code of the batched map: joins the two texts of each row."""
+    joined = [f"{a}\t{b}" for a, b in zip(batch["kanji_text"], batch["katakana_text"])]
+    return {"doc_id": batch["doc_id"], "line_no": batch["line_no"], "text": joined}
+
+
+@query("batched_map", f"""
+WITH {D.PAIRS}
+SELECT doc_id, line_no, kanji_text || chr(9) || katakana_text AS text FROM pairs""")
+def batched_map(spark, sf):
+    schema = "doc_id bigint, line_no int, text string"
+    return convert.map_batches(I.pairs(spark, sf), join_lists, schema)
+
+
 REFUSED = f"(contains(kanji_text, '?') OR {D.strip('kanji_text')} = '')"
 
 

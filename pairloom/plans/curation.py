@@ -72,7 +72,7 @@ def filter_grpo_strict(spark, sf):
 
 WORDS = (
     f"CASE WHEN {D.strip('chat_text')} = '' THEN 0 ELSE "
-    f"len(string_split_regex({D.strip('chat_text')}, '[{T.SPACE}]+')) END"
+    f"len(string_split_regex({D.strip('chat_text')}, '[{T.FLAT_SPACE}]+')) END"
 )
 
 

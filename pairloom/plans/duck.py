@@ -25,7 +25,7 @@ def count(x, char_class):
 
 
 def nonspace(x):
-    return f"length(regexp_replace({x}, '[{T.SPACE}]+', '', 'g'))"
+    return f"length(regexp_replace({x}, '[{T.FLAT_SPACE}]+', '', 'g'))"
 
 
 def packed(x):
@@ -47,7 +47,7 @@ def divide(a, b):
 def total(x):
     """Kana, kanji, ASCII letters and digits, class by class."""
     return "(" + " + ".join(
-        count(x, c) for c in (T.KATAKANA, T.HIRAGANA, T.KANJI, T.ASCII_LETTER, T.DIGIT)
+        count(x, c) for c in (T.KATAKANA, T.HIRAGANA, T.KANJI, T.ASCII_LETTER, T.FLAT_DIGIT)
     ) + ")"
 
 

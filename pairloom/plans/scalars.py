@@ -15,7 +15,7 @@ MIXED = "kanji_text || ' ' || katakana_text || ' ' || lang || doc_id"
 MIXED_CTE = f"{D.PAIRS}, mixed AS (SELECT doc_id, line_no, {MIXED} AS s FROM pairs)"
 SCRIPTS = {
     "katakana": T.KATAKANA, "hiragana": T.HIRAGANA, "kanji": T.KANJI,
-    "english": T.ASCII_LETTER, "numbers": T.DIGIT,
+    "english": T.ASCII_LETTER, "numbers": T.FLAT_DIGIT,
 }
 COUNTS = ", ".join(f"{D.count('s', c)} AS {n}" for n, c in SCRIPTS.items())
 

@@ -90,7 +90,7 @@ counted AS (
   SELECT {KEY}, resp, found IS NOT NULL AS asked, {D.strip("coalesce(found, '')")} AS source,
          {D.count('resp', T.KATAKANA)} AS kata, {D.count('resp', T.HIRAGANA)} AS hira,
          {D.count('resp', T.KANJI)} AS kanji,
-         {D.count('resp', 'a-zA-Z')} + {D.count('resp', T.DIGIT)} AS latin,
+         {D.count('resp', 'a-zA-Z')} + {D.count('resp', T.FLAT_DIGIT)} AS latin,
          {D.count('resp', T.PUNCTUATION)} AS marks_resp FROM sourced),
 measured AS (
   SELECT *, kata + hira + kanji + latin AS total,

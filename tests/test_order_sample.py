@@ -3,8 +3,10 @@
 import hashlib
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from pairloom.functions import text as T
 from pairloom.operators import curate, mix, order, sample
 
 KEY = ["a", "b"]
@@ -129,6 +131,20 @@ def test_rules_at_their_limits(spark, name):
     assert curate.keep(frame, make()).count() == sum(c[2] == "kept" for c in cases)
 
 
+def test_observed_counts_equal_the_report(spark):
+    frame = spark.createDataFrame(RULES["sft"][1], "kanji_text string, katakana_text string, expected string")
+    seen = Observation()
+    assert curate.keep_observed(frame, curate.sft_rules(), seen).count() == 1
+    assert seen.get == {r.reason: r.n_rows for r in curate.report(frame, curate.sft_rules()).collect()}
+
+
+def test_python_tokenizer_budget(spark):
+    frame = spark.createDataFrame([("a b c",), ("a",), (None,)], "s string")
+    kind = T.python_token_len(lambda: str.split)
+    kept = curate.keep(frame, [curate.budget_rule(F.col("s"), 2, kind)])
+    assert [r.s for r in kept.collect()] == ["a"]
+
+
 def test_quantile_cut(spark):
     frame = spark.range(1, 12).select(F.col("id").alias("n"))
     kept = curate.keep_quantile(frame, F.col("n"), 0.9)
