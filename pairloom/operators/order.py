@@ -12,7 +12,7 @@ from pairloom.functions.text import preview as cut_text
 from pairloom.session import fresh_path
 
 _PART_BITS = 33  # monotonically_increasing_id keeps the partition above bit 33
-_CHUNKS = 4096
+_CHUNKS = 65_536  # also the size bound of the histogram
 
 
 def with_row_index(df: DataFrame, order: Sequence[str], name: str = "row_idx") -> DataFrame:
@@ -48,18 +48,18 @@ def first_n(df: DataFrame, n: int, order: Sequence[str], name: str = "row_idx")
     """The first ``n`` rows in ``order`` with their positions.
 
     A histogram over the leading (integer) column finds where the prefix ends, so only
-    the prefix and the rest of one slice are shuffled, not the whole table.
+    the prefix and the rest of one slice are shuffled, not the whole table. Its range and
+    the last slice, three numbers, are fetched before the rows are.
     """
-    lead = F.col(order[0])
-    edges = df.agg(F.struct(F.min(lead).alias("lo"), F.max(lead).alias("hi")).alias("e")).scalar()
-    chunk = F.width_bucket(
-        lead.cast("double"), edges["lo"].cast("double"), edges["hi"].cast("double") + 1,
-        F.lit(_CHUNKS),
-    )
+    lead = F.col(order[0]).cast("double")
+    low, high = df.agg(F.min(lead), F.max(lead)).first()
+    if low is None or n <= 0:
+        return with_row_index(df.where(F.lit(False)), order, name)
+    chunk = F.width_bucket(lead, F.lit(low), F.lit(high + 1), F.lit(_CHUNKS))
     counts = df.groupBy(chunk.alias("chunk")).agg(F.count("*").alias("n"))
     reached = counts.select("chunk", F.sum("n").over(W.orderBy("chunk")).alias("reached"))
-    last = reached.where(F.col("reached") >= n).agg(F.min("chunk").alias("last")).scalar()
-    prefix = df.where(chunk <= F.coalesce(last, F.lit(_CHUNKS + 1)))
+    (last,) = reached.where(F.col("reached") >= n).agg(F.min("chunk")).first()
+    prefix = df if last is None else df.where(chunk <= last)
     return with_row_index(prefix, order, name).where(F.col(name) < n)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairloom.functions import chat
-from pairloom.operators import order, sample
+from pairloom.operators import curate, order, sample
 from pairloom.plans import duck as D
 from pairloom.plans import inputs as I
 from pairloom.plans.curation import COLUMNAR, SFT
@@ -17,6 +17,8 @@ from pairloom.streaming import curate as S
 
 # Kinds of record lines that hold a valid pair.
 GOOD = "(doc_id + line_no) % 11 IN (5, 6, 9, 10)"
+# Place of each language's folder in the list of paths; the second path does not exist.
+LANG_FILES = "CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 2 WHEN 'de' THEN 3 ELSE 4 END"
 
 
 @query("jsonl_parse", f"WITH {D.PAIRS} SELECT kanji_text, katakana_text FROM pairs WHERE {GOOD}")
@@ -27,8 +29,7 @@ def jsonl_parse(spark, sf):
 
 @query("multi_file_scan", f"""
 WITH {D.PAIRS}
-SELECT CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 2 WHEN 'de' THEN 3 ELSE 4 END AS file_ord,
-       kanji_text AS value FROM pairs""")
+SELECT {LANG_FILES} AS file_ord, kanji_text AS value FROM pairs""")
 def multi_file_scan(spark, sf):
     root = fresh_path(spark, "by_lang")
     lines = I.pairs(spark, sf).select("lang", "kanji_text")
@@ -39,6 +40,21 @@ def multi_file_scan(spark, sf):
     return scanned.select("file_ord", "value")
 
 
+@query("cap_across_files", f"""
+WITH {D.PAIRS}, kept AS (
+  SELECT {LANG_FILES} AS file_ord, count(*) AS n FROM pairs WHERE {GOOD} AND {SFT}
+  GROUP BY file_ord),
+placed AS (SELECT *, sum(n) OVER (ORDER BY file_ord) - n AS n_before FROM kept)
+SELECT file_ord, least(n, 400 - n_before)::BIGINT AS n_rows FROM placed WHERE n_before < 400""")
+def cap_across_files(spark, sf):
+    root = fresh_path(spark, "by_lang")
+    I.record_lines(spark, sf).select("lang", "value").write.partitionBy("lang").text(root)
+    names = ["en", "none", "fr", "de", "es"]
+    read = P.read_pairs_jsonl(spark, [f"{root}/lang={n}" for n in names])
+    capped = order.first_n(curate.keep(read, curate.sft_rules()), 400, P.FILE_ORDER)
+    return capped.groupBy("file_ord").agg(F.count("*").alias("n_rows"))
+
+
 @query("dataset_split_scan", f"""
 SELECT doc_id, text, 'train' AS split FROM documents
 WHERE NOT {D.below("md5('3407:' || doc_id)", 0.25)}""")
@@ -55,8 +71,6 @@ def dataset_split_scan(spark, sf):
 WITH {D.PAIRS}
 SELECT doc_id, line_no, {D.pair_text()} AS text FROM pairs WHERE {COLUMNAR}""")
 def cached_pairs(spark, sf):
-    from pairloom.operators import curate
-
     path = fresh_path(spark, "cache")
 
     def build():

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import strip
+from pairloom.operators import sample
 from pairloom.operators.mix import concatenate
 from pairloom.session import path_exists
 
+_OFFSET_BITS = 44  # file_ord above, byte offset of the split below
+FILE_ORDER = ["split_pos", "file", "line_key"]
 _RECORD = "array<struct<output:variant,input:variant>>"
 
 
@@ -48,29 +51,39 @@ def parse_pairs(lines: DataFrame, column: str = "value", keep_bad: bool = False)
 def scan_files(
     spark: SparkSession, paths: Sequence[str]
 ) -> tuple[DataFrame | None, list[str]]:
-    """Lines of the given files in order, and the paths that do not exist.
+    """Lines of the given files, and the paths that do not exist.
 
-    ``file_ord``, ``block`` and ``line_key`` order the lines as they stand in the files.
+    ``FILE_ORDER`` puts the lines in the order of the paths and as they stand in each file;
+    the files of a directory are taken side by side, split by split.
     """
     missing = [p for p in paths if not path_exists(spark, p)]
-    found = [
-        spark.read.text(p).select(
-            F.lit(i).alias("file_ord"),
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line_key"),
-            "value",
-        )
-        for i, p in enumerate(paths) if p not in missing
-    ]
+    found = []
+    for i, p in enumerate(paths):
+        if p not in missing:
+            start = F.col("_metadata.file_block_start")
+            found.append(spark.read.text(p).select(
+                F.lit(i).alias("file_ord"),
+                (F.lit(i << _OFFSET_BITS) + start).alias("split_pos"),
+                F.col("_metadata.file_path").alias("file"),
+                F.monotonically_increasing_id().alias("line_key"),
+                "value",
+            ))
     return (concatenate(found) if found else None), missing
 
 
-def read_pairs_jsonl(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Pairs of all existing files."""
+def read_pairs_jsonl(
+    spark: SparkSession, paths: Sequence[str], rate: float = 1.0, seed=0
+) -> DataFrame:
+    """Pairs of all existing files, with their place in the files.
+
+    ``rate`` samples the lines before they are parsed, by a hash of path number and line,
+    so equal lines of one path are kept or dropped together.
+    """
     lines, missing = scan_files(spark, paths)
     if lines is None:
         raise FileNotFoundError(f"no input file exists: {missing}")
+    if rate < 1.0:
+        lines = sample.bernoulli(lines, rate, seed, ["file_ord", "value"])
     return parse_pairs(lines)
 
 

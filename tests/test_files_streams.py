@@ -1,3 +1,4 @@
+import hashlib
 import json
 from pathlib import Path
 
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.functions import fixed
-from pairloom.operators import convert, metrics
+from pairloom.operators import convert, metrics, order
 from pairloom.session import fresh_path
 from pairloom.sources import pairs as P
 from pairloom.sources import report as R
@@ -75,7 +76,7 @@ def test_files_in_order_and_missing(spark, tmp_path):
         (tmp_path / name).write_text("\n".join(lines) + "\n")
     paths = [str(tmp_path / n) for n in ("b", "gone", "a")]
     scanned, missing = P.scan_files(spark, paths)
-    ordered = scanned.orderBy("file_ord", "file", "block", "line_key").select("file_ord", "value")
+    ordered = scanned.orderBy(*P.FILE_ORDER).select("file_ord", "value")
     assert [tuple(r) for r in ordered.collect()] == [(0, "1"), (0, ""), (0, "2"), (2, "3")]
     assert missing == paths[1:2]
     assert P.scan_files(spark, paths[1:2]) == (None, paths[1:2])
@@ -83,6 +84,38 @@ def test_files_in_order_and_missing(spark, tmp_path):
         P.read_pairs_jsonl(spark, paths[1:2])
 
 
+def test_cap_takes_lines_as_they_stand(spark, tmp_path):
+    """Files of several splits: the prefix is exact and keeps the order."""
+    texts = {n: [f"{n}{i}" * 20 for i in range(3000)] for n in "ba"}
+    for n, values in texts.items():
+        lines = [json.dumps({"output": v, "input": v}) for v in values]
+        (tmp_path / n).write_text("\n".join(lines) + "\n")
+    expected = texts["b"] + texts["a"]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 50_000)
+    try:
+        read = P.read_pairs_jsonl(spark, [str(tmp_path / n) for n in "ba"])
+        assert read.select("split_pos").distinct().count() > 6
+        for n in (10, 3000, 3500, 9999):
+            capped = order.first_n(read, n, P.FILE_ORDER).select("row_idx", "kanji_text")
+            assert sorted(map(tuple, capped.collect())) == list(enumerate(expected[:n]))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_lines_are_sampled_before_parsing(spark, folder):
+    paths = [str(folder / "gone"), str(folder / "a.jsonl")]
+    sampled = P.read_pairs_jsonl(spark, paths, 0.5, seed=4)
+    kept = [
+        e for x, e in LINES
+        if e and int(hashlib.md5(f"4:1:{x}".encode()).hexdigest()[:8], 16) < 2**31
+    ]
+    assert sorted((r.kanji_text, r.katakana_text) for r in sampled.collect()) == sorted(kept)
+    assert 0 < len(kept) < sum(e is not None for _, e in LINES)
+    plan = sampled._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("from_json") < plan.index("md5")  # the filter is below the parse
+
+
 def test_text_lines(spark, tmp_path):
     (tmp_path / "t").write_text("　a \n\n \t\nb \n", encoding="utf-8")
     assert sorted(r.text for r in P.read_text_lines(spark, str(tmp_path / "t")).collect()) == ["a", "b"]
