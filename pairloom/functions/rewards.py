@@ -113,7 +113,7 @@ def output_format(m: Measures) -> Column:
 def repetition(m: Measures) -> Column:
     """Points off for characters beyond the source's length and for monotonous texts."""
     n, source = m["resp_length"], m["colon_length"]
-    monotonous = (n > 5) & T.fewer_distinct(T.no_ascii_space(m["resp"]), 3)
+    monotonous = (n > 5) & T.fewer_distinct(m["resp"], 3)
     points = (
         T.n_chars_above(m["resp"], source) * F.lit(-0.5)
         - _steps((monotonous, 1.5), default=0)

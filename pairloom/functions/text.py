@@ -232,9 +232,12 @@ def n_distinct_chars(s: Column) -> Column:
 
 
 def fewer_distinct(s: Column, n: int) -> Column:
-    """True if ``s`` has less than ``n`` distinct characters; most texts show at the start."""
-    start = n_distinct_chars(F.substring(s, 1, 32))
-    return F.when(start >= n, False).otherwise(n_distinct_chars(s) < n)
+    """True if ``s`` has less than ``n`` distinct characters, ASCII spaces aside.
+
+    Most texts show enough of them at the start; only the others are looked at in full.
+    """
+    start = n_distinct_chars(no_ascii_space(F.substring(s, 1, 32)))
+    return F.when(start >= n, False).otherwise(n_distinct_chars(no_ascii_space(s)) < n)
 
 
 def n_chars_above(s: Column, limit: Column) -> Column:

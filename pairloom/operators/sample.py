@@ -1,7 +1,8 @@
 """Reproducible sampling, splitting and shuffling by keyed row hashes.
 
 The hash depends on seed and key only, so results do not change with partitioning, and
-its prefix spreads any key distribution evenly. Keys must identify rows.
+its prefix spreads any key distribution evenly. Keys must identify rows and come out the
+same in every evaluation.
 """
 
 from __future__ import annotations
