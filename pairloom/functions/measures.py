@@ -115,10 +115,11 @@ MEASURES: dict[str, Callable[[Measures], Column]] = {
     "source_rest": _left(
         "source", T.KANJI + T.HIRAGANA + T.KATAKANA_NO_DOT + T.ASCII_LETTER
     ),
-    "source_total": lambda m: F.length(m["source"]) - F.length(m["source_rest"])
-    + T.count_class(m["source_rest"], T.MIDDLE_DOT) + T.count_class(m["source_rest"], T.DIGIT),
+    "source_length": lambda m: F.length(m["source"]),
+    "source_total": lambda m: m["source_length"]
+    - F.length(T.remove(m["source_rest"], T.MIDDLE_DOT + T.DIGIT)),
     "source_marks": _counted("source_rest", T.PUNCTUATION),
-    "size": lambda m: T.ratio(m["resp_length"], F.length(m["source"])),
+    "size": lambda m: T.ratio(m["resp_length"], m["source_length"]),
     "marks_kept": lambda m: F.try_divide(m["marks"], m["source_marks"]),
     # Source as the text after the last colon.
     "colon_source": lambda m: tags.source_after_colon(m["prompt"]),

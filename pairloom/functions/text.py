@@ -74,6 +74,8 @@ _UTF8_BYTES = {
 
 _FLOAT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
+_NUMERIC = rf"({_FLOAT})|^[+-]?(?i:inf|infinity)$"
+
 
 def strip(s: Column) -> Column:
     """Trim Unicode white space; ``trim`` alone only knows U+0020."""
@@ -274,8 +276,7 @@ def parse_float(s: Column) -> Column:
 
 def is_number(s: Column) -> Column:
     """True for numeric text, infinities included, NaN and NULL excluded."""
-    x = parse_float(s)
-    return x.isNotNull() & ~F.isnan(x)
+    return F.coalesce(strip(s).rlike(_NUMERIC), F.lit(False))
 
 
 def digest(seed, *keys: Column) -> Column:

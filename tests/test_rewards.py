@@ -250,3 +250,17 @@ def test_group_stats_and_hot_prompt(spark):
         assert row.n_generations == len(got)
         assert row.reward == pytest.approx(mean, abs=1e-6)
         assert row.reward_std == pytest.approx(std, abs=1e-6)
+
+
+def test_generated_methods_stay_compilable(spark, capsys):
+    """HotSpot leaves methods above 8,000 bytes to the interpreter."""
+    frame = spark.createDataFrame([("p", "r", "a")], "prompt string, response string, answer string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for names in (["composite"], rewards.CONVERSION_REWARDS, rewards.LOOSE_REWARDS):
+            scored = score.score(frame.repartition(1), list(names), "prompt", answer="answer", total="t")
+            scored.explain("codegen")
+            sizes = re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)
+            assert sizes and max(map(int, sizes)) < 8000, (names, sizes)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
