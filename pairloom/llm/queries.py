@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import simhash
+from pairloom.llm import perspectives, quality, simhash, toxicity, urls
 from pairloom.llm.common import read
 
 QUERIES = {}
@@ -19,3 +19,69 @@ def query(run):
 @query
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(urls.RULES, "host string, path string, verdict string")
+    return urls.judge(read(spark, sf_dir, "pages"), rules)
+
+
+CHECKS["op5_url_filters"] = """
+WITH rests AS (
+  SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0
+    THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+judged AS (
+  SELECT page_id, host, path,
+    CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+         WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+         WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+         WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
+  FROM parts)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
+FROM judged"""
+
+
+@query
+def op7_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.rotate(read(spark, sf_dir, "conversations"))
+
+
+CHECKS["op7_chat_perspectives"] = """
+WITH said AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text
+  FROM conversations),
+people AS (SELECT DISTINCT conv_id, speaker AS participant FROM said WHERE speaker <> 'system'),
+shown AS (
+  SELECT s.conv_id, participant, turn, speaker, text AS content,
+         CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = participant THEN 'assistant' ELSE 'user' END AS role,
+         CASE WHEN speaker NOT IN ('system', participant) THEN speaker END AS name
+  FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
+heads AS (
+  SELECT *, '<|im_start|>' || role || coalesce(' name=' ||
+    regexp_replace(replace(name, '<|', '< |'), '[\r\n]', ' ', 'g'), '') || chr(10) AS head FROM shown),
+segments AS (
+  SELECT *, head || replace(content, '<|', '< |') || '<|im_end|>' || chr(10) AS text FROM heads),
+placed AS (
+  SELECT *, row_number() OVER w - 1 AS position, (sum(length(text)) OVER w)::BIGINT AS stop FROM segments
+  WINDOW w AS (PARTITION BY conv_id, participant ORDER BY turn NULLS FIRST, speaker, content
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT conv_id, participant, position, turn, speaker, role, name, text, stop - length(text) AS start, stop,
+       CASE WHEN role = 'assistant' THEN stop - length(text) + length(head) END AS loss_start,
+       CASE WHEN role = 'assistant' THEN stop END AS loss_stop
+FROM placed"""
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.graded(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
