@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from operator import eq
 from zlib import crc32
 
 import numpy as np
@@ -26,15 +27,19 @@ Params = dict[str, np.ndarray]
 def terms(text: str | None, shapes: bool = False) -> np.ndarray:
     """Sorted distinct 32-bit hashes of a text's words and of their first 4 and 5 bytes.
 
-    Punctuation at the ends of words is removed. With ``shapes`` also of the words' shapes: letters as a, digits as 0, runs as one.
+    Punctuation at the ends of words is removed. With ``shapes`` also of the words' shapes
+    (letters as a, digits as 0, runs as one) and of the tenths of words that repeat the word
+    before.
     """
-    found = set(words(text))
+    said = words(text)
+    found = set(said)
     plain = {w.strip(EDGES) for w in found}
     hashes = {crc32(w) for w in plain}
     for n in (4, 5):
         hashes |= {crc32(w, n) for w in {w[:n] for w in plain if len(w) > n}}
     if shapes:
         hashes |= {crc32(REPEATED.sub(rb"\1", s), 1) for s in {w.translate(SHAPE) for w in found}}
+        hashes.add(crc32(b"%d" % (10 * sum(map(eq, said, said[1:])) // max(1, len(said))), 2))
     return np.sort(np.fromiter(hashes, dtype=np.int64, count=len(hashes)))
 
 
