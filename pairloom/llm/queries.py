@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import embeddings, perspectives, quality, simhash, toxicity, urls
+from pairloom.llm import embeddings, perspectives, quality, simhash, tokens, toxicity, urls
 from pairloom.llm.common import read
 
 QUERIES = {}
@@ -90,3 +91,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
