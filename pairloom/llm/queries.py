@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import embeddings, perspectives, quality, simhash, tokens, toxicity, urls
+from pairloom.llm import embeddings, packing, perspectives, quality, simhash, tokens, toxicity, urls
 from pairloom.llm.common import read
 
 QUERIES = {}
 CHECKS: dict[str, str] = {}
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def query(run):
@@ -95,4 +96,9 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return tokens.round_trip(read(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
+
+
+@query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), TOKENIZER)
