@@ -121,22 +121,25 @@ def average(
     The driver gets PARTS parameter sets a round, whose size the vocabulary's bound sets.
     """
     names = list(params)
-    dealt = rows.repartition(max(1, min(PARTS, rows.count() // PART_ROWS)), "id").sortWithinPartitions("id")
+    parts = max(1, min(PARTS, rows.count() // PART_ROWS))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    kinds = ", ".join(f"{k} binary" for k in names)
+
+    def part(now: Params, turn: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def run(got: pd.DataFrame) -> pd.DataFrame:
+            got = got.sort_values("id")
+            x = [np.asarray(r, dtype=np.int64) for r in got["x"]]
+            new = learn({k: v.copy() for k, v in now.items()}, x, got["y"].to_numpy(dtype=np.int64), turn)
+            return pd.DataFrame({"n": [len(got)], **{k: [new[k].astype(np.float32).tobytes()] for k in names}})
+
+        return run
+
     for turn in range(rounds):
-        now = params
-
-        def run(batches: Iterator[pd.DataFrame], now: Params = now, turn: int = turn) -> Iterator[pd.DataFrame]:
-            got = pd.concat([pd.DataFrame({"x": [], "y": []}), *batches])
-            if len(got):
-                x = [np.asarray(r, dtype=np.int64) for r in got["x"]]
-                new = learn({k: v.copy() for k, v in now.items()}, x, got["y"].to_numpy(dtype=np.int64), turn)
-                yield pd.DataFrame({"n": [len(got)], **{k: [new[k].astype(np.float64).tobytes()] for k in names}})
-
-        kinds = ", ".join(f"{k} binary" for k in names)
-        parts = dealt.mapInPandas(run, f"n long, {kinds}").collect()
-        total = sum(p["n"] for p in parts)
+        models = dealt.groupBy("part").applyInPandas(part(params, turn), f"n long, {kinds}").collect()
+        total = sum(m["n"] for m in models)
         if total:
             params = {
-                k: sum(np.frombuffer(p[k]).reshape(params[k].shape) * (p["n"] / total) for p in parts) for k in names
+                k: sum(np.frombuffer(m[k], dtype=np.float32).reshape(v.shape) * (m["n"] / total) for m in models)
+                for k, v in params.items()
             }
     return params
