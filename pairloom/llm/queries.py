@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import decontam, embeddings, packing, perspectives, quality, simhash, tokens, toxicity, urls
+from pairloom.llm import decontam, embeddings, lm, packing, perspectives, quality, simhash, tokens, toxicity, urls
 from pairloom.llm.common import read
 
 QUERIES = {}
@@ -107,3 +107,8 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(read(spark, sf_dir, "documents"))
