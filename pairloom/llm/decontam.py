@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -214,6 +215,16 @@ def index(docs: DataFrame, block: DataFrame, n_docs: int) -> Index | None:
     return Index(passages, terms, rare, folded, places)
 
 
+def indexes(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, answer_col: str | None) -> Iterator[Broadcast]:
+    """A broadcast index for each block of passages; its size is bounded by BLOCK and LONGEST."""
+    passages = written(cut(benchmark, item_col, item_text, answer_col), "benchmark_passages")
+    n_docs = docs.count()
+    for block in blocks(passages) if n_docs else ():
+        own = index(docs, block, n_docs)
+        if own is not None:
+            yield docs.sparkSession.sparkContext.broadcast(own)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None) -> DataFrame:
     """(id, item_id, similarity, first_word): the benchmark items that each document holds.
@@ -228,13 +239,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, item long, similarity double, first_word long"
     found = docs.sparkSession.createDataFrame([], schema)
-    passages = written(cut(benchmark, item_col, item_text, answer_col), "benchmark_passages")
-    n_docs = rows.count()
-    for block in blocks(passages) if n_docs else ():
-        own = index(rows, block, n_docs)
-        if own is None:
-            continue
-        shared = docs.sparkSession.sparkContext.broadcast(own)
+    for shared in indexes(rows, benchmark, item_col, item_text, answer_col):
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -252,3 +257,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         F.col("id").alias(id_col), F.col("item").alias("item_id"), "best.similarity",
         (-F.col("best.back")).alias("first_word"),
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+          item_text: str = "text", answer_col: str | None = None) -> DataFrame:
+    """The rows of ``docs`` that hold no item, as they are; otherwise as ``leaks``."""
+
+    def holds(shared: Broadcast):
+        @F.pandas_udf("boolean")
+        def run(texts: pd.Series) -> pd.Series:
+            return pd.Series([bool(shared.value.matches(t)) for t in texts], dtype=bool)
+
+        return run(F.col(text_col))
+
+    kept = docs
+    for shared in indexes(docs.select(F.col(text_col).alias("text")), benchmark, item_col, item_text, answer_col):
+        kept = kept.where(~holds(shared))
+    return kept

@@ -6,8 +6,6 @@ the weights; the thresholds are ordered because their gaps are exponentials.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -75,23 +73,21 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, grades: int, id_col:
     return vocab, hashed.average(rows, params, learn(vocab, FIT[1], {"w": L1["w"] / 10}), FIT[0])
 
 
-def score(docs: DataFrame, vocab: np.ndarray, params: Params, tail: int = 1, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` but the text, with expected_grade, tail_prob (grade ``tail`` or better) and grade."""
+def score(text: Column, vocab: np.ndarray, params: Params, tail: int = 1) -> Column:
+    """Struct of a text's expected_grade, tail_prob (grade ``tail`` or better) and grade (the median)."""
     t = thresholds(params)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            at, starts = positions(vocab, [terms(x, shapes=True) for x in b[text_col]])
-            f = sums(params["w"][at], starts)
-            atleast = 1 - below(t[None, 1:-1] - f[:, None])
-            out = b.drop(columns=text_col)
-            out["expected_grade"], out["tail_prob"] = atleast.sum(axis=1), atleast[:, tail - 1]
-            out["grade"] = (atleast >= 0.5).sum(axis=1).astype(np.int32)
-            yield out
+    @F.pandas_udf("expected_grade double, tail_prob double, grade int")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        at, starts = positions(vocab, [terms(x, shapes=True) for x in texts])
+        f = sums(params["w"][at], starts)
+        atleast = 1 - below(t[None, 1:-1] - f[:, None])
+        return pd.DataFrame({
+            "expected_grade": atleast.sum(axis=1), "tail_prob": atleast[:, tail - 1],
+            "grade": (atleast >= 0.5).sum(axis=1).astype(np.int32),
+        })
 
-    kept = [f for f in docs.schema.fields if f.name != text_col]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.mapInPandas(run, f"{schema}, expected_grade double, tail_prob double, grade int")
+    return run(text)
 
 
 def graded(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -105,8 +101,7 @@ def graded(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     unless learning moved them. An empty table gives an empty result; only id and text are read.
     """
     vocab, params = fit(docs, labels, grade_of(F.col("quality"), F.col("toxic")), 3, id_col, text_col, sample)
-    scored = score(docs.select(id_col, text_col), vocab, params, 1, text_col)
-    return scored.select(
-        id_col, hashed.held_out(id_col).alias("held_out"), "expected_grade", "tail_prob", "grade",
-        (F.col("tail_prob") >= 0.5).alias("keep"),
+    judged = docs.select(
+        id_col, hashed.held_out(id_col).alias("held_out"), score(F.col(text_col), vocab, params).alias("judged")
     )
+    return judged.select(id_col, "held_out", "judged.*", (F.col("judged.tail_prob") >= 0.5).alias("keep"))

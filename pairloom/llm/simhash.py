@@ -157,6 +157,19 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     )
 
 
+def _groups(rows: DataFrame) -> DataFrame:
+    """(fp, root, component_id): a fingerprint's group and the group's smallest id, of rows (id, fp)."""
+    classes = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    joined = components(links(classes))
+    nodes = joined.join(classes, joined.node == classes.fp).select("node", "root", "least")
+    roots = nodes.groupBy("root").agg(F.min("least").alias("reached"))
+    reach = nodes.join(roots, "root").select(F.col("node").alias("fp"), "root", "reached", F.lit(True).alias("linked"))
+    return classes.join(reach, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"),
+        F.when(F.col("linked"), F.col("reached")).otherwise(F.col("least")).alias("component_id"),
+    )
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) for every row of ``docs``.
 
@@ -166,14 +179,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each other. An empty table gives an empty result; other columns are not read.
     """
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    joined = components(links(classes))
-    nodes = joined.join(classes, joined.node == classes.fp).select("node", "root", "least")
-    roots = nodes.groupBy("root").agg(F.min("least").alias("reached"))
-    reach = nodes.join(roots, "root").select(F.col("node").alias("fp"), "reached")
-    ends = classes.join(reach, "fp", "left").select(
-        "fp", F.coalesce("reached", "least").alias("component_id")
-    )
-    return rows.join(ends, "fp").select(
+    return rows.join(_groups(rows), "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one document of each group: the one with the smallest id.
+
+    Of several rows with that id one stays, of a group without ids one row. Texts are not
+    shuffled but for ids that several rows have.
+    """
+    rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    groups = written(_groups(rows), "groups")
+    kept = rows.where("id IS NOT NULL").join(groups, "fp").where("id = component_id").groupBy("id").agg(
+        F.count("*").alias("rows")
+    )
+    key = F.col(id_col).cast("long") == F.col("id")
+    once = docs.join(kept.where("rows = 1"), key, "left_semi")
+    again = docs.join(kept.where("rows > 1"), key, "left_semi").dropDuplicates([id_col])
+
+    @F.pandas_udf("long")
+    def fp(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.uint64(fingerprint(t)).astype(np.int64) for t in texts], dtype="int64")
+
+    own = docs.where(F.col(id_col).isNull()).withColumn("_fp", fp(F.col(text_col)))
+    nameless = groups.where("component_id IS NULL").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
+    unnamed = own.join(nameless, "_fp").dropDuplicates(["_root"]).select(*docs.columns)
+    return once.unionByName(again).unionByName(unnamed)

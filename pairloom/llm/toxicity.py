@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm import hashed
@@ -74,20 +72,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     return vocab, hashed.average(rows, params, learn(vocab, FIT[1], L1 | {"w": L1["w"] / 10}), FIT[0])
 
 
-def score(docs: DataFrame, vocab: np.ndarray, params: Params, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` but the text, with score (0 to 1) and predicted (1 from 0.5)."""
+def score(text: Column, vocab: np.ndarray, params: Params) -> Column:
+    """Toxicity of a text, 0 to 1. Null and empty texts have no terms and score by the bias alone."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            at, starts = positions(vocab, [terms(t) for t in b[text_col]])
-            out = b.drop(columns=text_col)
-            out["score"] = sigmoid(margin(params, at, starts)[0])
-            out["predicted"] = (out["score"] >= 0.5).astype(np.int32)
-            yield out
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        at, starts = positions(vocab, [terms(t) for t in texts])
+        return pd.Series(sigmoid(margin(params, at, starts)[0]))
 
-    kept = [f for f in docs.schema.fields if f.name != text_col]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.mapInPandas(run, f"{schema}, score double, predicted int")
+    return run(text)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -101,5 +94,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     and text are read.
     """
     vocab, params = fit(docs, labels, label, id_col, text_col, sample)
-    scored = score(docs.select(id_col, text_col), vocab, params, text_col)
-    return scored.select(id_col, hashed.held_out(id_col).alias("held_out"), "score", "predicted")
+    scored = docs.select(
+        id_col, hashed.held_out(id_col).alias("held_out"), score(F.col(text_col), vocab, params).alias("score")
+    )
+    return scored.select("*", (F.col("score") >= 0.5).cast("int").alias("predicted"))
