@@ -89,7 +89,7 @@ def render_chat(
     ``gemma`` puts a system message in front of the first turn's content. ``reasoning``
     opens with the system message, or ``system`` where there is none.
     """
-    first = F.element_at(messages, 1)
+    first = F.try_element_at(messages, F.lit(1))
     has_system = first["role"] == "system"
     turns = F.when(has_system, F.slice(messages, F.lit(2), F.size(messages))).otherwise(messages)
     if template == "gemma":
@@ -179,6 +179,11 @@ def response_labels(text: Column) -> Column:
     )
 
 
+def pad_truncate_text(text: Column, size: int, pad_id: int = 0, side: str = "right") -> Column:
+    """``pad_truncate`` of a text's code points; only what is kept is cut into characters."""
+    return pad_truncate(char_ids(F.substring(text, 1, size)), size, pad_id, side)
+
+
 def pad_truncate(ids: Column, size: int, pad_id: int = 0, side: str = "right") -> Column:
     """Struct of ``input_ids`` cut or padded to ``size`` and its ``attention_mask``."""
     kept = F.slice(ids, 1, size)

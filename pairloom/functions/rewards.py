@@ -199,26 +199,45 @@ STRICT_REWARDS = ("format_exact_strict", "tags_strict", "answer_strict", "number
 LOOSE_REWARDS = ("format_exact_loose", "tags_loose", "answer_loose", "number_loose")
 
 
-def python_reward(fn: Callable[..., list[float]]) -> Reward:
-    """Adapt ``fn(prompts, completions, answer) -> list[float]`` to a Column builder.
+def _messages(value, role: str):
+    """A message list; a plain text is one message of the role."""
+    if value is None or isinstance(value, str):
+        return [{"role": role, "content": value}]
+    return [{"role": m["role"], "content": m["content"]} for m in value]
 
-    Prompts and completions arrive as lists of message lists. Rows cross to Python in
-    Arrow batches; write the rule as a Column builder where that is possible.
+
+def python_reward(fn: Callable[..., list[float]]) -> Callable[..., Column]:
+    """Adapt ``fn(prompts=…, completions=…, **columns) -> list[float]`` to a Column builder.
+
+    The builder takes Columns by the same keywords (or, in this order, prompts, completions
+    and answer); ``fn`` gets a list for each. Prompts and
+    completions are lists of message lists, whole as they are, or plain texts as one message.
+    Rows cross to Python in Arrow batches; write the rule as a Column builder where that is
+    possible.
     """
 
     @F.pandas_udf("double")
-    def scored(prompt: pd.Series, response: pd.Series, answer: pd.Series) -> pd.Series:
-        prompts = [[{"role": "user", "content": p}] for p in prompt]
-        completions = [[{"role": "assistant", "content": r}] for r in response]
-        return pd.Series(fn(prompts, completions, list(answer)), dtype="float64")
+    def scored(rows: pd.DataFrame) -> pd.Series:
+        lists = {c: rows[c].tolist() for c in rows.columns}
+        for name, role in (("prompts", "user"), ("completions", "assistant")):
+            if name in lists:
+                lists[name] = [_messages(v, role) for v in lists[name]]
+        return pd.Series(fn(**lists), dtype="float64")
 
-    return scored
+    def build(*given: Column, **columns: Column) -> Column:
+        columns = dict(zip(("prompts", "completions", "answer"), given, strict=False)) | columns
+        return scored(F.struct(*(c.alias(name) for name, c in columns.items())))
 
+    return build
 
-def python_pair_reward(fn: Callable[[str, str], float]) -> Reward:
-    """Adapt ``fn(prompt, response) -> float`` to a Column builder."""
 
-    def each(prompts, completions, answer):
-        return [fn(p[-1]["content"], c[0]["content"]) for p, c in zip(prompts, completions)]
+def python_pair_reward(fn: Callable[[str, str], float]) -> Callable[..., Column]:
+    """Adapt ``fn(prompt, response) -> float`` over the last prompt and first response content."""
+
+    def each(prompts, completions, **_):
+        return [
+            fn(p[-1]["content"] if p else "", c[0]["content"] if c else "")
+            for p, c in zip(prompts, completions, strict=True)
+        ]
 
     return python_reward(each)

@@ -22,8 +22,8 @@ _LOOSE = (
     f"{fixed.WORK_END}.*?{fixed.SOLUTION_START}(.+?){fixed.SOLUTION_END}"
     f"[{SPACE}]*(?:%s)?[{SPACE}]*$"
 )
-_NUMBER = f"{fixed.SOLUTION_START}.*?([0-9.]+)"
-_SIGNED_NUMBER = f"{fixed.SOLUTION_START}.*?[{SPACE}]*(-?[0-9.,]+)"
+_NUMBER = f"{fixed.SOLUTION_START}.*?([\\p{{Nd}}.]+)"
+_SIGNED_NUMBER = f"{fixed.SOLUTION_START}.*?[{SPACE}]*(-?[\\p{{Nd}}.,]+)"
 
 
 def pattern(kind: str, eos: str = fixed.EOS, re2: bool = False) -> str:

@@ -9,7 +9,12 @@ costly classes only see what the cheap ones left over. Character classes use the
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
+import uuid
 from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column
@@ -74,6 +79,12 @@ _UTF8_BYTES = {
 
 _FLOAT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
+_DIGITS = "[0-9](?:_?[0-9])*"
+_PYTHON_FLOAT = rf"^[+-]?({_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})([eE][+-]?{_DIGITS})?$"
+# The decimal digits of all scripts, each run of ten from zero on.
+_WIDE_DIGITS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.decimal(c, None) is not None)
+_THEIR_ASCII = "".join(str(unicodedata.decimal(c)) for c in _WIDE_DIGITS)
+
 _NUMERIC = rf"({_FLOAT})|^[+-]?(?i:inf|infinity)$"
 
 
@@ -132,16 +143,21 @@ def count_phrase(s: Column, phrase: str) -> Column:
 def count_phrases(s: Column, phrases: Sequence[str]) -> Column:
     """Occurrences of all phrases, each counted on its own.
 
-    A loop over the literal array: one search per phrase costs far more than the lambda,
-    and thirty of them written out make a method too large for the JIT compiler. Pass a
-    plain column, as it is read once per phrase.
+    One pass with a look-ahead for all of them finds every place where a phrase starts. That
+    is each phrase's count as long as it can't overlap itself and no other phrase starts with
+    it; so phrases that others start with go to a further pass, and those that overlap
+    themselves are searched alone.
     """
-
-    def add(total, phrase):
-        gone = F.octet_length(s) - F.octet_length(F.replace(s, phrase, F.lit("")))
-        return total + (gone / F.octet_length(phrase)).cast("int")
-
-    return F.aggregate(F.array(*map(F.lit, phrases)), F.lit(0), add)
+    alone = [p for p in phrases if any(p.startswith(p[k:]) for k in range(1, len(p)))]
+    passes: list[list[str]] = []
+    for p in sorted(p for p in phrases if p not in alone):
+        fits = (g for g in passes if not any(p.startswith(q) or q.startswith(p) for q in g))
+        group = next(fits, None)
+        if group is None:
+            passes.append(group := [])
+        group.append(p)
+    counts = [F.regexp_count(s, F.lit(f"(?={'|'.join(map(re.escape, g))})")) for g in passes]
+    return sum([*counts[1:], *(count_phrase(s, p) for p in alone)], counts[0] if counts else F.lit(0))
 
 
 def _script_counts(s: Column) -> list[Column]:
@@ -246,7 +262,8 @@ def n_chars_above(s: Column, limit: Column) -> Column:
     """Number of distinct characters that occur in ``s`` more than ``limit`` times.
 
     Fewer than ``length - limit`` characters differ from such a character, so every
-    stretch of that length holds it: the first one names all candidates.
+    stretch of that length holds it: the first one names all candidates. (Sorting the
+    characters would name fewer, but takes five times as long as the searches it saves.)
     """
     stretch = F.length(s) - limit
 
@@ -259,15 +276,16 @@ def n_chars_above(s: Column, limit: Column) -> Column:
 
 
 def parse_float(s: Column) -> Column:
-    """Number in a text, NULL where it is none.
+    """Number in a text as Python's ``float`` reads it, NULL where it is none.
 
-    A plain cast would take ``1d`` and ``1f``, so the text must look like a number first.
-    Digit groups with ``_`` and full-width digits are not numbers here.
+    Decimal digits of any script count, and single underscores between digits. A plain cast
+    would take ``1d`` and ``1f``, so the text must look like a number first.
     """
     t = strip(s)
+    t = F.when(t.rlike("[^\\x00-\\x7f]"), F.translate(t, _WIDE_DIGITS, _THEIR_ASCII)).otherwise(t)
     low = F.lower(t)
     return (
-        F.when(t.rlike(_FLOAT), t.try_cast("double"))
+        F.when(t.rlike(_PYTHON_FLOAT), F.replace(t, F.lit("_"), F.lit("")).try_cast("double"))
         .when(low.rlike(r"^\+?(inf|infinity)$"), F.lit(float("inf")))
         .when(low.rlike(r"^-(inf|infinity)$"), F.lit(float("-inf")))
         .when(low.rlike(r"^[+-]?nan$"), F.lit(float("nan")))
@@ -309,16 +327,27 @@ def token_len(s: Column, kind="chars") -> Column:
     raise ValueError(f"unknown token kind: {kind}")
 
 
+_LOADED: dict[str, Any] = {}
+
+
+def once_per_worker(token: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept for later tasks of the same Python worker under ``token``."""
+    if token not in _LOADED:
+        _LOADED[token] = make()
+    return _LOADED[token]
+
+
 def python_token_len(make_encode: Callable[[], Callable[[str], Sequence]]) -> Callable:
     """Token length by a Python tokenizer, for use as ``kind`` of ``token_len``.
 
-    ``make_encode`` runs once per task in the Python worker, so a tokenizer is loaded there
-    and not shipped; texts arrive in Arrow batches.
+    ``make_encode`` runs once per Python worker, so a tokenizer is loaded there and not
+    shipped; texts arrive in Arrow batches.
     """
+    token = uuid.uuid4().hex
 
     @F.pandas_udf("int")
     def size(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = make_encode()
+        encode = once_per_worker(token, make_encode)
         for texts in batches:
             yield texts.map(lambda t: None if t is None else len(encode(t))).astype("Int32")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ty
 
 from pairloom.functions import fixed
+from pairloom.functions.text import once_per_worker
 
 Converter = Callable[[list[str]], list[str]]
 RESULT = ty.StructType([
@@ -20,6 +22,9 @@ RESULT = ty.StructType([
 ])
 
 
+NULL_TEXT = "no text"
+
+
 def _one_by_one(convert: Converter, texts: list[str]):
     """Results of a batch that failed as a whole: only the guilty rows keep an error."""
     for text in texts:
@@ -30,7 +35,16 @@ def _one_by_one(convert: Converter, texts: list[str]):
             yield f"{fixed.ERROR_PREFIX}{problem}", 0.0, str(problem)
 
 
-def _convert_batch(convert: Converter, texts: list[str]):
+def _convert_batch(convert: Converter, texts: list[str | None]):
+    """Results in order; only texts that are there reach the converter."""
+    given = iter(_convert_texts(convert, [t for t in texts if t is not None]))
+    missing = (f"{fixed.ERROR_PREFIX}{NULL_TEXT}", 0.0, NULL_TEXT)
+    return [missing if t is None else next(given) for t in texts]
+
+
+def _convert_texts(convert: Converter, texts: list[str]):
+    if not texts:
+        return []
     started = time.perf_counter()
     try:
         outputs = convert(texts)
@@ -47,13 +61,15 @@ def batch_convert(
 ) -> DataFrame:
     """Add ``output``, ``seconds`` and ``error`` by converting ``text`` in small batches.
 
-    ``make_converter`` runs once per task, in the Python worker, so a model is loaded
-    there and not shipped. Only ``batch_size`` texts are handed over at a time. A NULL
+    ``make_converter`` runs once per Python worker, so a model is loaded there and not
+    shipped. Only ``batch_size`` texts are handed over at a time. A NULL
     text is an error of its row.
     """
 
+    token = uuid.uuid4().hex
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        convert = make_converter()
+        convert = once_per_worker(token, make_converter)
         for frame in frames:
             results = []
             texts = frame[text].tolist()

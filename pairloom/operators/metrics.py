@@ -41,10 +41,11 @@ def share_batch_time(
     """Split each batch's time evenly over its rows.
 
     Counted with map-side partial sums and joined back, so a hot batch id is never sorted
-    in one task as it would be under a window.
+    in one task as it would be under a window. Rows without batch id are one batch.
     """
     sizes = df.groupBy(batch).agg(F.count("*").alias("batch_size"))
-    return df.join(sizes, batch).withColumn(
+    sizes = sizes.withColumnRenamed(batch, "_batch")
+    return df.join(sizes, F.col(batch).eqNullSafe(F.col("_batch"))).drop("_batch").withColumn(
         "seconds", F.col(batch_seconds) / F.col("batch_size")
     )
 
@@ -93,7 +94,9 @@ def zero_fraction(df: DataFrame, key: str, values: str) -> DataFrame:
 def require_nonzero(df: DataFrame, key: str, values: str) -> DataFrame:
     """As ``zero_fraction``, but the job fails if some key holds only zeros."""
     found = zero_fraction(df, key, values)
-    message = F.concat(F.lit("all values are zero for "), F.col(key).cast("string"))
-    return found.withColumn(
-        "all_zero", F.when(F.col("all_zero"), F.raise_error(message)).otherwise(False)
+    key_text = F.coalesce(F.col(key).cast("string"), F.lit("NULL"))
+    message = F.concat(F.lit("all values are zero for "), key_text)
+    # a filter, as a projection nobody reads would be pruned and the check with it
+    return found.where(
+        F.when(F.col("all_zero"), F.raise_error(message).cast("boolean")).otherwise(True)
     )

@@ -15,8 +15,13 @@ def concatenate(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _count(df: DataFrame) -> Column:
-    return df.agg(F.count("*").alias("n")).scalar()
+def _counts(reasoning: DataFrame, chat: DataFrame) -> tuple[Column, Column]:
+    """Rows of both sets, from one pass."""
+    marked = reasoning.select(F.lit(1).alias("own")).unionByName(chat.select(F.lit(0).alias("own")))
+    both = marked.agg(F.struct(
+        F.coalesce(F.sum("own"), F.lit(0)).alias("reasoning"), F.count_if(F.col("own") == 0).alias("chat")
+    ).alias("n")).scalar()
+    return both["reasoning"], both["chat"]
 
 
 def mixture(
@@ -29,7 +34,7 @@ def mixture(
     chat rows. ``share`` makes chat rows the stated share of the result, as large as both
     sets allow. Wanting more chat rows than there are takes them all.
     """
-    n_reasoning, n_chat = _count(reasoning), _count(chat)
+    n_reasoning, n_chat = _counts(reasoning, chat)
     if mode == "reference":
         taken = sample.exact(
             chat, (n_reasoning * F.lit(1.0 - chat_share)).cast("bigint"), sample_seed, key

@@ -27,16 +27,9 @@ def bernoulli(df: DataFrame, rate: float, seed, key: Sequence[str]) -> DataFrame
     return df.where(below_rate(_hash(seed, key), rate))
 
 
-def exact(df: DataFrame, n: int | Column, seed, key: Sequence[str]) -> DataFrame:
-    """Sample ``n`` rows without replacement: those with the smallest hashes.
-
-    Two passes over the keys find the n-th hash: slice counts first, then the rank
-    inside the one slice where the sample ends. The rows themselves are only filtered,
-    never shuffled. Fewer than ``n`` rows are all kept.
-    """
-    n = n if isinstance(n, Column) else F.lit(n)
-    hashed = df.select(_hash(seed, key).alias("h"))
-    piece = F.substring("h", 1, _PREFIX)
+def _ending_slice(hashed: DataFrame, n: Column, level: int) -> tuple[DataFrame, Column]:
+    """Rows of the slice, by the digits of a level, where the first ``n`` end, and how many of it to take."""
+    piece = F.substring("h", 1 + _PREFIX * level, _PREFIX)
     before = W.orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
     slices = (
         hashed.groupBy(piece.alias("piece")).agg(F.count("*").alias("n_rows"))
@@ -46,10 +39,24 @@ def exact(df: DataFrame, n: int | Column, seed, key: Sequence[str]) -> DataFrame
     ending = slices.agg(
         F.struct(F.max("piece").alias("piece"), (n - F.max("n_before")).alias("take")).alias("e")
     ).scalar()
+    return hashed.where(piece == ending["piece"]), ending["take"]
+
+
+def exact(df: DataFrame, n: int | Column, seed, key: Sequence[str]) -> DataFrame:
+    """Sample ``n`` rows without replacement: those with the smallest hashes.
+
+    Three passes over the keys find the n-th hash: counts by the first digits, counts by the
+    next digits in the one slice where the sample ends, and the rank inside the one slice of
+    those, which holds a row in 2^32. The rows themselves are only filtered, never shuffled.
+    Fewer than ``n`` rows are all kept.
+    """
+    n = n if isinstance(n, Column) else F.lit(n)
+    hashed = df.select(_hash(seed, key).alias("h"))
+    for level in range(2):
+        hashed, n_left = _ending_slice(hashed, n if level == 0 else n_left, level)
     last = (
-        hashed.where(piece == ending["piece"])
-        .select("h", F.row_number().over(W.orderBy("h")).alias("rank"))
-        .where(F.col("rank") <= ending["take"])
+        hashed.select("h", F.row_number().over(W.orderBy("h")).alias("rank"))
+        .where(F.col("rank") <= n_left)
         .agg(F.max("h").alias("last")).scalar()
     )
     beyond_all = F.lit("g")  # sorts after every hex digest

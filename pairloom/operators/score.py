@@ -17,18 +17,20 @@ def join_rollouts(
 ) -> DataFrame:
     """Prompts, completions and answers aligned by key.
 
-    Prompts and answers hold one row per key, so a hot key only makes the completion side
-    large, which the adaptive skew join splits.
+    Every completion stays: without a prompt or an answer these are NULL, and rewards that
+    need them are too. Prompts and answers hold one row per key, so a hot key only makes the
+    completion side large, which the adaptive skew join splits.
     """
-    return completions.join(prompts, list(key)).join(answers, list(key))
+    return completions.join(prompts, list(key), "left").join(answers, list(key), "left")
 
 
 def _text(df: DataFrame, column: str | None, position: int) -> Column:
-    """A text column as it is; of a message array the content at ``position``."""
+    """A text column as it is; of a message array the content at ``position``, empty if it has none."""
     if column is None:
         return F.lit(None).cast("string")
     if isinstance(df.schema[column].dataType, ty.ArrayType):
-        return F.element_at(column, position)["content"]
+        content = F.try_element_at(F.col(column), F.lit(position))["content"]
+        return F.when(F.col(column).isNotNull(), F.coalesce(content, F.lit("")))
     return F.col(column)
 
 

@@ -14,21 +14,28 @@ def render_turn_rows(
 ) -> DataFrame:
     """``gemma`` segment per turn; in turn order they make up the conversation's text.
 
-    Turns count from 0. A system turn at the start becomes the prefix of the turn after
-    it, found by an equi-join on conversation and turn. Nothing is collected per
-    conversation, so one endless conversation is spread like any other rows.
+    A system turn at the start becomes the prefix of the turn after it, whatever its number;
+    a conversation of a system turn alone is its head without turns. The first two turns of a
+    conversation are found with partial aggregates and joined back, so nothing is collected
+    per conversation and one endless conversation is spread like any other rows.
     """
-    opening_system = (F.col(role) == "system") & (F.col(turn) == 0)
-    prefixes = turns.where(opening_system).select(
-        conversation, (F.col(turn) + 1).alias(turn),
-        F.concat(F.col(content), F.lit("\n\n")).alias("_prefix"),
-    )
-    rest = turns.where(~opening_system).join(prefixes, [conversation, turn], "left")
-    opens = (F.col(turn) == 0) | F.col("_prefix").isNotNull()
+    place = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(content).alias("text"))
+    first = turns.groupBy(conversation).agg(F.min(place).alias("_first"))
+    system = F.col("_first.role") == "system"
+    marked = turns.join(first.withColumnRenamed(conversation, "_conv"), F.col(conversation).eqNullSafe(F.col("_conv")))
+    later = marked.where(system & (F.col(turn) > F.col("_first.turn"))).groupBy("_conv").agg(
+        F.min(turn).alias("_second")
+    ).withColumnRenamed("_conv", "_of")
+    rows = marked.join(later, F.col("_conv").eqNullSafe(F.col("_of")), "left")
+    is_first = F.col(turn).eqNullSafe(F.col("_first.turn"))
+    alone = system & F.col("_second").isNull()
+    takes_system = system & F.col(turn).eqNullSafe(F.col("_second"))
+    opens = takes_system | (is_first & (~system | alone))
+    prefix = F.when(takes_system, F.concat(F.col("_first.text"), F.lit("\n\n"))).otherwise("")
     segment = F.concat(
         F.when(opens, fixed.BOS).otherwise(""),
-        chat.chat_turn(
-            F.col(role), F.concat(F.coalesce("_prefix", F.lit("")), F.col(content))
+        F.when(system & is_first, F.concat(F.col(content), F.lit("\n\n"))).otherwise(
+            chat.chat_turn(F.col(role), F.concat(prefix, F.col(content)))
         ),
     )
-    return rest.select(conversation, turn, segment.alias("segment"))
+    return rows.where(~(system & is_first) | alone).select(conversation, turn, segment.alias("segment"))

@@ -50,6 +50,19 @@ def convert_errors(spark, sf):
     return done.select(*I.PAIR_KEY, "output", "error")
 
 
+@query("convert_nulls", f"""
+WITH {D.PAIRS}
+SELECT doc_id, line_no,
+       CASE WHEN line_no % 4 = 1 THEN '{fixed.ERROR_PREFIX}no text' ELSE 'None?' || kanji_text END AS output,
+       CASE WHEN line_no % 4 = 1 THEN 'no text' END AS error FROM pairs""")
+def convert_nulls(spark, sf):
+    """A converter that would take anything never sees a NULL text."""
+    text = F.when(F.col("line_no") % 4 != 1, F.col("kanji_text")).alias("kanji_text")
+    texts = I.pairs(spark, sf).select(*I.PAIR_KEY, text)
+    done = convert.batch_convert(texts, "kanji_text", I.tolerant_converter)
+    return done.select(*I.PAIR_KEY, "output", "error")
+
+
 @query("throughput_summary", f"""
 WITH {D.CONVERSIONS}
 SELECT count(*) AS n_rows, round(sum(seconds), 6) AS total_seconds,
@@ -96,6 +109,19 @@ def batch_time_share(spark, sf):
     )
 
 
+@query("batch_time_null_ids", """
+WITH batches AS (SELECT conv_id, turn, CASE WHEN conv_id % 4 <> 0 THEN conv_id // 4 END AS batch_id FROM conversations)
+SELECT conv_id, turn, batch_id, count(*) OVER (PARTITION BY batch_id) AS batch_size,
+       round(12::DOUBLE / count(*) OVER (PARTITION BY batch_id), 6) AS seconds FROM batches""")
+def batch_time_null_ids(spark, sf):
+    conv = F.col("conv_id")
+    batches = I.turns(spark, sf).select(
+        *I.TURN_KEY, F.when(conv % 4 != 0, F.floor(conv / 4)).alias("batch_id"), F.lit(12.0).alias("batch_seconds")
+    )
+    shared = metrics.share_batch_time(batches)
+    return shared.select(*I.TURN_KEY, "batch_id", "batch_size", F.round("seconds", 6).alias("seconds"))
+
+
 INLINE = D.count("output", T.HIRAGANA + T.KATAKANA + T.KANJI + T.ALNUM)
 QUALITY = f"""
 quality AS (
@@ -137,12 +163,29 @@ def conversion_quality(spark, sf):
     ])
 
 
-@query("zero_fraction", """
-SELECT label, sum(list_count(list_filter(embedding, lambda x: x = 0)))::BIGINT AS n_zeros,
-       sum(len(embedding))::BIGINT AS n_values,
-       sum(len(list_filter(embedding, lambda x: x = 0)))::DOUBLE / sum(len(embedding))
-         AS zero_fraction,
-       sum(len(list_filter(embedding, lambda x: x = 0))) = sum(len(embedding)) AS all_zero
-FROM embeddings GROUP BY label""")
+ZEROED = """
+WITH cut AS (
+  SELECT label, list_transform(embedding, lambda x: CASE WHEN x < 0 OR label = 3 THEN 0 ELSE x END) AS v
+  FROM embeddings),
+counted AS (
+  SELECT label, sum(len(list_filter(v, lambda x: x = 0)))::BIGINT AS n_zeros, sum(len(v))::BIGINT AS n_values
+  FROM cut GROUP BY label)
+SELECT label, n_zeros, n_values, n_zeros::DOUBLE / n_values AS zero_fraction, n_zeros = n_values AS all_zero
+FROM counted"""
+
+
+def _zeroed(spark, sf):
+    """Embeddings without their negative parts; those of label 3 are nothing but zeros."""
+    keep = F.transform("embedding", lambda x: F.when((x < 0) | (F.col("label") == 3), 0.0).otherwise(x))
+    return I.table(spark, sf, "embeddings").select("label", keep.alias("embedding"))
+
+
+@query("zero_fraction", ZEROED)
 def zero_fraction(spark, sf):
-    return metrics.zero_fraction(I.table(spark, sf, "embeddings"), "label", "embedding")
+    return metrics.zero_fraction(_zeroed(spark, sf), "label", "embedding")
+
+
+@query("require_nonzero", f"SELECT label, zero_fraction FROM ({ZEROED}) WHERE label <> 3")
+def require_nonzero(spark, sf):
+    some = _zeroed(spark, sf).where("label <> 3")
+    return metrics.require_nonzero(some, "label", "embedding").select("label", "zero_fraction")

@@ -94,6 +94,22 @@ def filter_token_budget(spark, sf):
     )
 
 
+def split_encoder():
+    """Stand-in tokenizer: one token per word."""
+    return str.split
+
+
+@query("filter_python_tokens", f"""
+WITH {D.PAIRS}, sized AS (
+  SELECT doc_id, line_no, len(list_filter(string_split(kanji_text, ' '), lambda w: w <> '')) AS n_tokens FROM pairs)
+SELECT doc_id, line_no, n_tokens::INTEGER AS n_tokens FROM sized WHERE n_tokens <= 12""")
+def filter_python_tokens(spark, sf):
+    size = T.python_token_len(split_encoder)
+    plain = F.translate("kanji_text", "\t\r\x0b\x0c", "____")
+    sized = I.pairs(spark, sf).select(*I.PAIR_KEY, T.token_len(plain, size).alias("n_tokens"))
+    return sized.where("n_tokens <= 12")
+
+
 NUMBER_TEXTS = """
 answers AS (
   SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN ' ' || p_size || ' ' WHEN 1 THEN p_size || 'e3'
@@ -105,7 +121,7 @@ answers AS (
 
 @query("filter_numeric_answer", f"""
 WITH {NUMBER_TEXTS}, parsed AS (
-  SELECT *, {D.number('expected_answer')} AS x FROM answers)
+  SELECT *, {D.plain_number('expected_answer')} AS x FROM answers)
 SELECT p_partkey, expected_answer FROM parsed WHERE x IS NOT NULL AND NOT isnan(x)""")
 def filter_numeric_answer(spark, sf):
     size, kind = F.col("p_size").cast("string"), F.col("p_partkey") % 10
@@ -124,13 +140,12 @@ def filter_numeric_answer(spark, sf):
 @query("filter_p90_length", f"""
 WITH sized AS (
   SELECT conv_id, turn, length({D.q(fixed.SYSTEM_PROMPT)} || text) AS n_tokens
-  FROM conversations WHERE role = 'user')
+  FROM conversations)
 SELECT conv_id, turn, n_tokens FROM sized
 WHERE n_tokens <= (SELECT trunc(quantile_cont(n_tokens, 0.9))::BIGINT FROM sized)""")
 def filter_p90_length(spark, sf):
-    asked = I.turns(spark, sf).where(F.col("role") == "user")
     tokens = T.token_len(F.concat(F.lit(fixed.SYSTEM_PROMPT), F.col("text")))
-    sized = asked.select(*I.TURN_KEY, tokens.alias("n_tokens"))
+    sized = I.turns(spark, sf).select(*I.TURN_KEY, tokens.alias("n_tokens"))
     return curate.keep_quantile(sized, F.col("n_tokens"), 0.9)
 
 

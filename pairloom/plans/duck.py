@@ -16,6 +16,19 @@ def q(value: str) -> str:
 SPACES = "(" + " || ".join(f"chr({ord(c)})" for c in T.SPACE_CHARS) + ")"
 
 
+# Written out here, apart from the patterns under test.
+_BLANK = (
+    "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}"
+    "\\x{205f}\\x{3000}]*"
+)
+PATTERNS = {
+    "strict": f"(?sm)^{_BLANK}<start_working_out>.+?<end_working_out>.*?<SOLUTION>(.+?)</SOLUTION>{_BLANK}$",
+    "loose": f"(?sm)<end_working_out>.*?<SOLUTION>(.+?)</SOLUTION>{_BLANK}(?:<\\|endoftext\\|>)?{_BLANK}$",
+    "number": "(?sm)<SOLUTION>.*?([\\p{Nd}.]+)",
+    "signed_number": f"(?sm)<SOLUTION>.*?{_BLANK}(-?[\\p{{Nd}}.,]+)",
+}
+
+
 def strip(x):
     return f"trim({x}, {SPACES})"
 
@@ -51,11 +64,21 @@ def total(x):
     ) + ")"
 
 
+def plain_number(x):
+    """Number of ASCII digits."""
+    return _number(f"lower({strip(x)})", "[0-9]+")
+
+
 def number(x):
-    s = f"lower({strip(x)})"
+    """Number as Python reads it: also full-width digits and groups with underscores."""
+    s = f"translate(lower({strip(x)}), '０１２３４５６７８９', '0123456789')"
+    return _number(s, "[0-9](_?[0-9])*")
+
+
+def _number(s, digits):
     return (
-        f"(CASE WHEN regexp_full_match({s}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)(e[+-]?[0-9]+)?') "
-        f"THEN TRY_CAST({s} AS DOUBLE) "
+        f"(CASE WHEN regexp_full_match({s}, '[+-]?({digits}\\.?({digits})?|\\.{digits})(e[+-]?{digits})?') "
+        f"THEN TRY_CAST(replace({s}, '_', '') AS DOUBLE) "
         f"WHEN regexp_full_match({s}, '\\+?(inf|infinity)') THEN 'inf'::DOUBLE "
         f"WHEN regexp_full_match({s}, '-(inf|infinity)') THEN '-inf'::DOUBLE "
         f"WHEN regexp_full_match({s}, '[+-]?nan') THEN 'nan'::DOUBLE END)"
@@ -115,6 +138,10 @@ pairs AS (
          translate(line, '{I.LATIN}', '{I.KATA}') AS katakana_text
   FROM doc_lines)"""
 
+GAPPED = """
+  SELECT * FROM conversations WHERE NOT (conv_id % 3 = 0 AND turn = 1)
+    AND (conv_id % 4 <> 1 OR role = 'system' OR turn = 0)"""
+
 EXCHANGES = """
 exchanges AS (
   SELECT a.conv_id, a.turn, a.text AS question, b.text AS reply
@@ -154,7 +181,9 @@ numbers AS (
   SELECT o_orderkey AS prompt_id, 'Order ' || o_orderkey AS prompt,
     CASE WHEN o_orderkey % 8 = 6 THEN o_orderkey::VARCHAR ELSE
       CASE WHEN o_custkey % 2 = 0 THEN {q(fixed.WORK_START)} ELSE '' END
-      || {q("Let me think!" + chr(10) + fixed.WORK_END + fixed.SOLUTION_START)} || {_SAID}
+      || {q("Let me think!" + chr(10) + fixed.WORK_END + fixed.SOLUTION_START)}
+      || CASE o_custkey % 7 WHEN 3 THEN translate({_SAID}, '0123456789', '０１２３４５６７８９')
+           WHEN 5 THEN replace({_SAID}, ',', '_') ELSE {_SAID} END
       || {q(fixed.SOLUTION_END)}
       || CASE WHEN o_custkey % 3 = 0 THEN chr(10) ELSE '' END
       || CASE WHEN o_custkey % 5 = 0 THEN {q(fixed.EOS)} ELSE '' END END AS response,

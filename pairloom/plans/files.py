@@ -18,6 +18,7 @@ from pairloom.streaming import curate as S
 # Kinds of record lines that hold a valid pair.
 GOOD = "(doc_id + line_no) % 11 IN (5, 6, 9, 10)"
 # Place of each language's folder in the list of paths; the second path does not exist.
+CAP_FILES = "CASE lang WHEN 'es' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END"
 LANG_FILES = "CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 2 WHEN 'de' THEN 3 ELSE 4 END"
 
 
@@ -41,18 +42,18 @@ def multi_file_scan(spark, sf):
 
 
 @query("cap_across_files", f"""
-WITH {D.PAIRS}, kept AS (
-  SELECT {LANG_FILES} AS file_ord, count(*) AS n FROM pairs WHERE {GOOD} AND {SFT}
-  GROUP BY file_ord),
-placed AS (SELECT *, sum(n) OVER (ORDER BY file_ord) - n AS n_before FROM kept)
-SELECT file_ord, least(n, 400 - n_before)::BIGINT AS n_rows FROM placed WHERE n_before < 400""")
+WITH {D.PAIRS}, placed AS (
+  SELECT {CAP_FILES} AS file_ord, kanji_text, row_number() OVER (ORDER BY {CAP_FILES}, doc_id, line_no) - 1
+    AS row_idx FROM pairs WHERE {GOOD} AND {SFT})
+SELECT row_idx, file_ord, kanji_text FROM placed WHERE row_idx < 400""")
 def cap_across_files(spark, sf):
+    """The cap ends inside a later path; a path is a folder of several files."""
     root = fresh_path(spark, "by_lang")
-    I.record_lines(spark, sf).select("lang", "value").write.partitionBy("lang").text(root)
-    names = ["en", "none", "fr", "de", "es"]
-    read = P.read_pairs_jsonl(spark, [f"{root}/lang={n}" for n in names])
+    lines = I.record_lines(spark, sf).repartitionByRange(4, *I.PAIR_KEY).sortWithinPartitions("lang", *I.PAIR_KEY)
+    lines.select("lang", "value").write.partitionBy("lang").text(root)
+    read = P.read_pairs_jsonl(spark, [f"{root}/lang={n}" for n in ["es", "fr", "d*", "en"]])
     capped = order.first_n(curate.keep(read, curate.sft_rules()), 400, P.FILE_ORDER)
-    return capped.groupBy("file_ord").agg(F.count("*").alias("n_rows"))
+    return capped.select("row_idx", "file_ord", "kanji_text")
 
 
 @query("dataset_split_scan", f"""

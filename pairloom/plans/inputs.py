@@ -15,6 +15,7 @@ from pairloom.session import fresh_path
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 KATA = "アイウエオカキクケコサシスセソタチツテトナニヌネノハ"
 KANJI = "天い国え音会き空本語さ新す世そ大地月ての東なに山ね海"
+FULL_WIDTH = "０１２３４５６７８９"
 PAIR_KEY = ["doc_id", "line_no"]
 TURN_KEY = ["conv_id", "turn"]
 ROLLOUT_KEY = [*PAIR_KEY, "gen_id"]
@@ -25,16 +26,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents, spread over the cores if the files are too few or too coarse for that.
-
-    A file with one row group is read by one task, and all text work would follow it. At
-    scale the scan has more partitions than cores, and no shuffle is added.
-    """
-    docs = table(spark, sf, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() >= 2 * cores:
-        return docs
-    return docs.repartition(cores, "doc_id")
+    return table(spark, sf, "documents")
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,6 +82,13 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations")
 
 
+def gapped_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of which some conversations lack the one after the first, some all but the system's."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    gap = (conv % 3 == 0) & (turn == 1)
+    return turns(spark, sf).where(~gap & ((conv % 4 != 1) | (F.col("role") == "system") | (turn == 0)))
+
+
 def exchanges(spark: SparkSession, sf: str) -> DataFrame:
     """User turn with the assistant turn after it.
 
@@ -133,7 +132,7 @@ def rollouts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def number_rollouts(spark: SparkSession, sf: str) -> DataFrame:
-    """Tagged answers to orders: exact, padded, off by a factor, worded, untagged."""
+    """Tagged answers to orders: exact, padded, off by a factor, worded, untagged, also in wide digits."""
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
 
     def decimal(hundredths):
@@ -156,6 +155,9 @@ def number_rollouts(spark: SparkSession, sf: str) -> DataFrame:
         ))
         .otherwise(text)
     )
+    said = F.when(cust % 7 == 3, F.translate(said, "0123456789", FULL_WIDTH)).when(
+        cust % 7 == 5, F.translate(said, ",", "_")
+    ).otherwise(said)
     tagged = F.concat(
         F.when(cust % 2 == 0, fixed.WORK_START).otherwise(""),
         F.lit("Let me think!\n" + fixed.WORK_END + fixed.SOLUTION_START), said,
@@ -195,6 +197,11 @@ def hiragana_to_katakana():
     return lambda texts: [t.translate(shift) for t in texts]
 
 
+def tolerant_converter():
+    """Stand-in converter that takes anything."""
+    return lambda texts: [f"None?{t}" for t in texts]
+
+
 def picky_converter():
     """Stand-in converter that refuses texts with a question mark or without letters."""
     convert = hiragana_to_katakana()

@@ -33,6 +33,19 @@ def cap_first_n(spark, sf):
     return order.first_n(kept, 1000, I.PAIR_KEY).select("row_idx", *I.PAIR_KEY, "kanji_text")
 
 
+@query("cap_null_keys", """
+WITH keyed AS (
+  SELECT conv_id, turn, role, CASE WHEN conv_id % 3 <> 0 THEN role END AS lead FROM conversations)
+SELECT row_number() OVER (ORDER BY lead NULLS FIRST, conv_id, turn) - 1 AS row_idx, conv_id, turn, lead
+FROM keyed QUALIFY row_idx < (SELECT count(*) FROM keyed WHERE lead IS NULL) + 20""")
+def cap_null_keys(spark, sf):
+    """A text as leading key, null for a third of the rows; the cap ends beyond the nulls."""
+    lead = F.when(F.col("conv_id") % 3 != 0, F.col("role")).alias("lead")
+    keyed = I.turns(spark, sf).select(*I.TURN_KEY, lead)
+    n = keyed.where("lead IS NULL").count() + 20
+    return order.first_n(keyed, n, ["lead", *I.TURN_KEY]).select("row_idx", *I.TURN_KEY, "lead")
+
+
 @query("sample_exact", f"""
 WITH {D.PAIRS}, ranked AS (
   SELECT *, row_number() OVER (ORDER BY {_digest(2407)}) AS rn FROM pairs)

@@ -119,7 +119,7 @@ def prompt_source(spark, sf):
 def _solution(kind):
     return (
         f"WITH {D.NUMBERS} SELECT prompt_id, "
-        f"{D.group('response', tags.pattern(kind, re2=True))} AS solution FROM numbers"
+        f"{D.group('response', D.PATTERNS[kind])} AS solution FROM numbers"
     )
 
 
@@ -137,8 +137,8 @@ def solution_loose(spark, sf):
 
 @query("solution_number", f"""
 WITH {D.NUMBERS}
-SELECT prompt_id, {D.group('response', tags.pattern('number', re2=True))} AS number,
-       {D.group('response', tags.pattern('signed_number', re2=True))} AS signed_number
+SELECT prompt_id, {D.group('response', D.PATTERNS['number'])} AS number,
+       {D.group('response', D.PATTERNS['signed_number'])} AS signed_number
 FROM numbers""")
 def solution_number(spark, sf):
     response = F.col("response")

@@ -112,7 +112,7 @@ def _tag_counts(names, once, otherwise):
 
 
 def _answer(kind, missing, equal, stripped, close, near, wrong, error):
-    guess = D.group("response", tags.pattern(kind, re2=True))
+    guess = D.group("response", D.PATTERNS[kind])
     points = steps(
         ("guess = answer", equal), (f"{D.strip('guess')} = {D.strip('answer')}", stripped),
         ("share IS NULL", error), ("share BETWEEN 0.9 AND 1.1", close),
@@ -126,7 +126,7 @@ SELECT prompt_id, CASE WHEN guess IS NULL THEN {missing}::DOUBLE
 
 
 def _number(kind, missing, equal, wrong):
-    found = D.group("response", tags.pattern(kind, re2=True))
+    found = D.group("response", D.PATTERNS[kind])
     plain = "replace(found, ',', '')" if kind == "signed_number" else "found"
     points = steps(
         ("found IS NULL", missing), ("guess IS NULL OR truth IS NULL", 0),
@@ -139,10 +139,14 @@ SELECT prompt_id, {points} AS reward FROM parsed"""
 
 
 def _matched(kind):
-    hit = f"regexp_matches(response, {D.q(tags.pattern(kind, re2=True))})"
+    hit = f"regexp_matches(response, {D.q(D.PATTERNS[kind])})"
     return f"WITH {D.NUMBERS} SELECT prompt_id, {steps((hit, 3), default=0)} AS reward FROM numbers"
 
 
+EMPTIED = f"""{D.NUMBERS},
+emptied AS (
+  SELECT prompt_id, prompt, answer, CASE WHEN prompt_id % 11 = 0 THEN '' ELSE response END AS response
+  FROM numbers)"""
 TAGS_STRICT = _tag_counts(rewards.ALL_TAGS, 0.5, -0.5)
 NUMBER_CHECKS = {
     "format_exact_strict": _matched("strict"),
@@ -214,21 +218,84 @@ def reward_group_stats(spark, sf):
     return score.group_stats(_scored(spark, sf), I.PAIR_KEY, "reward_total", "response")
 
 
-def count_tags(prompts, completions, answer):
+def count_tags(completions, **columns):
     """The tag reward as a plain Python function over aligned lists."""
-    responses = [c[0]["content"] for c in completions]
+    responses = [c[0]["content"] if c else "" for c in completions]
     return [
         sum(0.5 if r.count(t) == 1 else -0.5 for t in rewards.ALL_TAGS) for r in responses
     ]
 
 
+def asked_as_system(prompts, completions, answer, **columns):
+    """Points for a prompt that opens with a system message, minus one without an answer."""
+    return [
+        float(p[0]["role"] == "system") + len(p) - (a is None) + 0.25 * (k % 3)
+        for p, a, k in zip(prompts, answer, columns["prompt_id"], strict=True)
+    ]
+
+
+def _message_rollouts(spark, sf):
+    """Number rollouts as message arrays; every eleventh completion is empty."""
+    text, role = F.struct, F.lit
+    key = F.col("prompt_id")
+    user = text(role("user").alias("role"), F.col("prompt").alias("content"))
+    system = text(role("system").alias("role"), F.lit(fixed.SYSTEM_PROMPT).alias("content"))
+    said = F.array(text(role("assistant").alias("role"), F.col("response").alias("content")))
+    return I.number_rollouts(spark, sf).select(
+        "prompt_id", F.when(key % 2 == 0, F.array(system, user)).otherwise(F.array(user)).alias("prompt"),
+        F.when(key % 11 == 0, F.slice(said, 1, 0)).otherwise(said).alias("completion"), "answer",
+    )
+
+
 @query("udf_reward_adaptor", f"""
-WITH {D.NUMBERS}
-SELECT prompt_id, {TAGS_STRICT} AS python_reward, {TAGS_STRICT} AS built_in_reward FROM numbers""")
+WITH {EMPTIED}
+SELECT prompt_id, {TAGS_STRICT} AS python_reward, {TAGS_STRICT} AS built_in_reward,
+       CASE WHEN prompt_id % 2 = 0 THEN 3 ELSE 1 END - (answer IS NULL)::INTEGER
+         + 0.25::DOUBLE * (prompt_id % 3) AS prompt_reward FROM emptied""")
 def udf_reward_adaptor(spark, sf):
-    adapted = rewards.python_reward(count_tags)
-    scored = score.score(I.number_rollouts(spark, sf), ["tags_strict"], "prompt", answer="answer")
+    rows = _message_rollouts(spark, sf)
+    scored = score.score(rows, ["tags_strict"], "prompt", "completion", "answer")
+    columns = {"prompts": F.col("prompt"), "completions": F.col("completion"), "answer": F.col("answer"),
+               "prompt_id": F.col("prompt_id")}
     return scored.select(
-        "prompt_id", adapted(F.col("prompt"), F.col("response"), F.col("answer"))
-        .alias("python_reward"), F.col("reward_tags_strict").alias("built_in_reward"),
+        "prompt_id", rewards.python_reward(count_tags)(**columns).alias("python_reward"),
+        F.col("reward_tags_strict").alias("built_in_reward"),
+        rewards.python_reward(asked_as_system)(**columns).alias("prompt_reward"),
+    )
+
+
+@query("udf_pair_reward", f"""
+WITH {EMPTIED}
+SELECT prompt_id, (length(prompt) + 10 * length(response))::DOUBLE AS reward FROM emptied""")
+def udf_pair_reward(spark, sf):
+    adapted = rewards.python_pair_reward(lambda p, r: len(p) + 10 * len(r))
+    rows = _message_rollouts(spark, sf)
+    return rows.select(
+        "prompt_id", adapted(prompts=F.col("prompt"), completions=F.col("completion")).alias("reward")
+    )
+
+
+@query("reward_message_arrays", f"""
+WITH {EMPTIED}, stripped AS (SELECT prompt_id, {D.strip('response')} AS resp FROM emptied)
+SELECT prompt_id, round({CHECKS['purity']}, 6) AS reward_purity,
+       round({CHECKS['completeness']}, 6) AS reward_completeness,
+       round({CHECKS['purity']} + {CHECKS['completeness']}, 6) AS total FROM stripped""")
+def reward_message_arrays(spark, sf):
+    scored = score.score(
+        _message_rollouts(spark, sf), ["purity", "completeness"], "prompt", "completion", total="total"
     )
+    return scored.select("prompt_id", "reward_purity", "reward_completeness", "total")
+
+
+@query("rollouts_unmatched", """
+SELECT o_orderkey AS prompt_id, CASE WHEN o_orderkey % 3 <> 0 THEN 'p' || o_orderkey END AS prompt,
+       'r' || o_custkey AS response, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey::VARCHAR END AS answer
+FROM orders""")
+def rollouts_unmatched(spark, sf):
+    """A third of the completions have no prompt, a fifth no answer; all stay."""
+    orders = I.table(spark, sf, "orders").select(F.col("o_orderkey").alias("prompt_id"), "o_custkey")
+    key = F.col("prompt_id")
+    prompts = orders.where(key % 3 != 0).select(key, F.concat(F.lit("p"), key).alias("prompt"))
+    answers = orders.where(key % 5 != 0).select(key, F.col("o_custkey").cast("string").alias("answer"))
+    said = orders.select(key, F.concat(F.lit("r"), "o_custkey").alias("response"))
+    return score.join_rollouts(prompts, said, answers, ["prompt_id"]).select("prompt_id", "prompt", "response", "answer")

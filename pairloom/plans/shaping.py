@@ -247,18 +247,20 @@ def chat_text_reasoning(spark, sf):
 
 
 @query("chat_turns_gemma", f"""
-WITH first_system AS (SELECT conv_id, text FROM conversations WHERE role = 'system' AND turn = 0)
-SELECT c.conv_id, c.turn,
-       CASE WHEN c.turn = 0 OR (c.turn = 1 AND s.text IS NOT NULL) THEN {D.q(fixed.BOS)} ELSE '' END
-         || {D.q(fixed.TURN_START)} || CASE c.role WHEN 'assistant' THEN 'model' ELSE c.role END
-         || chr(10)
-         || CASE WHEN c.turn = 1 AND s.text IS NOT NULL THEN s.text || chr(10) || chr(10)
-                 ELSE '' END
-         || c.text || {D.q(fixed.TURN_END)} || chr(10) AS segment
-FROM conversations c LEFT JOIN first_system s ON c.conv_id = s.conv_id
-WHERE NOT (c.role = 'system' AND c.turn = 0)""")
+WITH kept AS ({D.GAPPED}),
+numbered AS (
+  SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+         first_value(role) OVER w AS first_role, first_value(text) OVER w AS first_text
+  FROM kept WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, CASE WHEN k = 1 AND role = 'system'
+    THEN {D.q(fixed.BOS)} || text || chr(10) || chr(10)
+  ELSE CASE WHEN k = 1 OR (k = 2 AND first_role = 'system') THEN {D.q(fixed.BOS)} ELSE '' END
+    || {D.q(fixed.TURN_START)} || CASE role WHEN 'assistant' THEN 'model' ELSE role END || chr(10)
+    || CASE WHEN k = 2 AND first_role = 'system' THEN first_text || chr(10) || chr(10) ELSE '' END
+    || text || {D.q(fixed.TURN_END)} || chr(10) END AS segment
+FROM numbered WHERE NOT (k = 1 AND role = 'system' AND n > 1)""")
 def chat_turns_gemma(spark, sf):
-    return turns.render_turn_rows(I.turns(spark, sf))
+    return turns.render_turn_rows(I.gapped_turns(spark, sf))
 
 
 _ENDING = f"{D.q(fixed.TURN_END)} || chr(10)"
@@ -299,7 +301,7 @@ WITH {D.PAIRS}, ids AS (
 SELECT doc_id, line_no, array_to_string(list_resize(ids, 64, 0), ',') AS input_ids,
        repeat('1', len(ids)) || repeat('0', 64 - len(ids)) AS attention_mask FROM ids""")
 def pad_truncate(spark, sf):
-    padded = chat.pad_truncate(chat.char_ids(F.col("kanji_text")), 64)
+    padded = chat.pad_truncate_text(F.col("kanji_text"), 64)
     return I.pairs(spark, sf).select(*I.PAIR_KEY, padded.alias("p")).select(
         *I.PAIR_KEY, F.array_join(F.col("p.input_ids").cast("array<string>"), ",").alias("input_ids"),
         F.array_join(F.col("p.attention_mask").cast("array<string>"), "").alias("attention_mask"),

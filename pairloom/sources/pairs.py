@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+import warnings
 from collections.abc import Callable, Sequence
+from pathlib import PurePosixPath
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import strip
 from pairloom.operators import sample
-from pairloom.operators.mix import concatenate
 from pairloom.session import path_exists
 
-_OFFSET_BITS = 44  # file_ord above, byte offset of the split below
-FILE_ORDER = ["split_pos", "file", "line_key"]
+FILE_ORDER = ["file_ord", "file", "split_pos", "line_key"]
+BUILDING = "_BUILDING"  # marker of a folder that ``cached`` has begun to write
 _RECORD = "array<struct<output:variant,input:variant>>"
 
 
+class MissingInput(UserWarning):
+    """Some of the given paths name no file."""
+
+
 def parse_pairs(lines: DataFrame, column: str = "value", keep_bad: bool = False) -> DataFrame:
     """``kanji_text`` and ``katakana_text`` out of JSON lines, one record per line.
 
@@ -48,27 +57,52 @@ def parse_pairs(lines: DataFrame, column: str = "value", keep_bad: bool = False)
     )
 
 
+def _roots(spark: SparkSession, path: str) -> list[str]:
+    """Files and folders that a path or glob names, as the scan spells them."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [str(found.getPath().toString()) for found in system.globStatus(target) or ()]
+
+
+def _plain_path(uri: str) -> str:
+    return re.sub("^file:/+", "/", unquote(uri)).rstrip("/")
+
+
 def scan_files(
     spark: SparkSession, paths: Sequence[str]
 ) -> tuple[DataFrame | None, list[str]]:
-    """Lines of the given files, and the paths that do not exist.
+    """Lines of the given files, folders and globs, and the paths that name nothing.
 
-    ``FILE_ORDER`` puts the lines in the order of the paths and as they stand in each file;
-    the files of a directory are taken side by side, split by split.
+    One scan reads them all; a table with a row per file gives each its path's number. In
+    ``FILE_ORDER`` lines stand path by path, in a path file by file by name, and in a file
+    as they are. A file that two paths name has its lines under both.
     """
-    missing = [p for p in paths if not path_exists(spark, p)]
-    found = []
-    for i, p in enumerate(paths):
-        if p not in missing:
-            start = F.col("_metadata.file_block_start")
-            found.append(spark.read.text(p).select(
-                F.lit(i).alias("file_ord"),
-                (F.lit(i << _OFFSET_BITS) + start).alias("split_pos"),
-                F.col("_metadata.file_path").alias("file"),
-                F.monotonically_increasing_id().alias("line_key"),
-                "value",
-            ))
-    return (concatenate(found) if found else None), missing
+    roots = {i: _roots(spark, p) for i, p in enumerate(paths)}
+    missing = [p for i, p in enumerate(paths) if not roots[i]]
+    distinct = sorted({r for found in roots.values() for r in found})
+    if not distinct:
+        return None, missing
+    folders = {_plain_path(r) for r in distinct}
+    outer = [r for r in distinct if not any(str(up) in folders for up in PurePosixPath(_plain_path(r)).parents)]
+    lines = spark.read.text(outer)
+    numbers: dict[str, list[int]] = {}
+    for i, found in roots.items():
+        for r in found:
+            numbers.setdefault(_plain_path(r), []).append(i)
+    files = []
+    for uri in lines.inputFiles():
+        own = PurePosixPath(_plain_path(uri))
+        as_scanned = re.sub("^file:/+", "file:/", uri)  # the scan's own spelling of local files
+        files += [(as_scanned, i) for up in (own, *own.parents) for i in numbers.get(str(up), ())]
+    scanned = lines.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split_pos"),
+        F.monotonically_increasing_id().alias("line_key"), "value",
+    )
+    names, ordinals = zip(*dict.fromkeys(files), strict=True)
+    # an Arrow table keeps its size known, so the planner broadcasts it while it is small
+    named = spark.createDataFrame(pa.table({"file": names, "file_ord": pa.array(ordinals, pa.int32())}))
+    return scanned.join(named, "file").select("file_ord", "file", "split_pos", "line_key", "value"), missing
 
 
 def read_pairs_jsonl(
@@ -76,14 +110,17 @@ def read_pairs_jsonl(
 ) -> DataFrame:
     """Pairs of all existing files, with their place in the files.
 
-    ``rate`` samples the lines before they are parsed, by a hash of path number and line,
-    so equal lines of one path are kept or dropped together.
+    Paths that name nothing are reported in a ``MissingInput`` warning; if there is no file
+    at all, that is an error. ``rate`` samples the lines before they are parsed, each line by
+    its place, so equal lines are drawn one by one.
     """
     lines, missing = scan_files(spark, paths)
     if lines is None:
         raise FileNotFoundError(f"no input file exists: {missing}")
+    if missing:
+        warnings.warn(f"skipped, as nothing is there: {missing}", MissingInput, stacklevel=2)
     if rate < 1.0:
-        lines = sample.bernoulli(lines, rate, seed, ["file_ord", "value"])
+        lines = sample.bernoulli(lines, rate, seed, FILE_ORDER)
     return parse_pairs(lines)
 
 
@@ -113,10 +150,19 @@ def write_dataset(
 def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Table at ``path``, built on first use.
 
-    A folder without the commit marker is a write that did not finish; it is built anew.
+    The table is built beside the path and moved there when it is complete, so a reader
+    never sees half of it. Of two jobs that start together one's table is taken; a folder
+    that is there already is read, never replaced.
     """
-    if not path_exists(spark, f"{path}/_SUCCESS"):
-        write_table(build(), path, "overwrite")
+    if not path_exists(spark, path):
+        building = f"{path}{BUILDING}-{uuid.uuid4().hex}"
+        write_table(build(), building)
+        jvm = spark.sparkContext._jvm
+        source, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (building, path))
+        system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        # a move onto a folder that another job put there meanwhile would land inside it
+        if path_exists(spark, path) or not system.rename(source, target):
+            system.delete(source, True)
     return spark.read.parquet(path)
 
 

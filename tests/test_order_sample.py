@@ -158,3 +158,17 @@ def test_plans_move_keys_only(skewed):
     wide = skewed.withColumn("text", F.repeat(F.lit("x"), 10))
     plan = sample.exact(wide, 10, 1, KEY)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan.split("Subquery")[0]
+
+
+def test_first_n_keeps_null_and_text_keys(spark):
+    rows = [(None,), (None,), (3,), (4,), (5,)]
+    frame = spark.createDataFrame(rows, "k long").repartition(3)
+    assert sorted(rows_of(order.first_n(frame, 3, ["k"])), key=str) == sorted([(None, 0), (None, 1), (3, 2)], key=str)
+    assert order.first_n(frame.where("k IS NULL"), 5, ["k"]).count() == 2
+    words = spark.createDataFrame([("b",), ("a",), (None,)], "k string")
+    assert sorted(rows_of(order.first_n(words, 2, ["k"])), key=str) == sorted([(None, 0), ("a", 1)], key=str)
+
+
+def test_first_n_reads_once_and_writes_nothing(spark):
+    plan = order.first_n(spark.range(100).toDF("a"), 7, ["a"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("TakeOrderedAndProject") == 1 and "Exchange rangepartitioning" not in plan

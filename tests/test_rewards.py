@@ -137,14 +137,8 @@ def test_conversion_reward(japanese_rows, name):
 S, E, A, B = rewards.ALL_TAGS
 STRICT = re.compile(rf"^\s*{S}.+?{E}.*?{A}(.+?){B}\s*$", re.M | re.S)
 LOOSE = re.compile(rf"{E}.*?{A}(.+?){B}\s*(?:{re.escape(fixed.EOS)})?\s*$", re.M | re.S)
-NUMBER = re.compile(rf"{A}.*?([0-9.]+)", re.S)
-SIGNED = re.compile(rf"{A}.*?\s*(-?[0-9.,]+)", re.S)
-
-
-def to_float(s):
-    if "_" in s or not s.isascii():
-        raise ValueError(s)
-    return float(s)
+NUMBER = re.compile(rf"{A}.*?([\d.]+)", re.S)
+SIGNED = re.compile(rf"{A}.*?\s*(-?[\d.,]+)", re.S)
 
 
 def answer_rule(regex, missing, equal, stripped, close, near, wrong, error):
@@ -159,7 +153,7 @@ def answer_rule(regex, missing, equal, stripped, close, near, wrong, error):
         if found[1].strip() == answer.strip():
             return stripped
         try:
-            x = to_float(found[1]) / to_float(answer)
+            x = float(found[1]) / float(answer)
         except (ValueError, ZeroDivisionError):
             return error
         return first([(within(x, .9, 1.1), close), (within(x, .8, 1.2), near)], wrong)
@@ -173,8 +167,8 @@ def number_rule(regex, missing, equal, wrong):
         if not found:
             return missing
         try:
-            guess = to_float(found[1].replace(",", "") if regex is SIGNED else found[1])
-            return equal if guess == to_float(answer.strip()) else wrong
+            guess = float(found[1].replace(",", "") if regex is SIGNED else found[1])
+            return equal if guess == float(answer.strip()) else wrong
         except (ValueError, AttributeError):
             return 0
 
@@ -196,7 +190,7 @@ NUMERIC = {
     "number_loose": number_rule(SIGNED, -2.5, 3.5, -1.5),
 }
 GUESSES = ["10", " 10 ", "\n10\n", "9", "11", "8", "12", "7.9", "12.1", "-10", "1,0", "1.0.0", "ten",
-           "nan", "inf", "1e1", "", "$10", "10d", "20"]
+           "nan", "inf", "1e1", "", "$10", "10d", "20", "１０", "１１．０", "1_0", "1__0", "٩"]
 SHAPES = [f"{S}think{E}{A}%s{B}", f"think{E}{A}%s{B}", f"{S}a\nb{E}\nso\n{A}%s{B}  \n\n",
           f"{S}a{E}{A}%s{B}{fixed.EOS}\n", f"{A}%s{B}", "%s", f"x\n{S}a{E}{A}%s{B}\ny",
           f"{S}a{E}{A}%s", f"{S}{E}{A}%s{B}", f"{S}a{E}{A}1{B} {S}a{E}{A}%s{B}"]

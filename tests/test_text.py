@@ -105,11 +105,24 @@ def test_digits_of_the_basic_plane(spark):
 
 NUMBERS = {
     "12": 12.0, " 3.5 ": 3.5, "-.5": -0.5, "1e3": 1000.0, "5.": 5.0, "+7": 7.0, "inf": math.inf,
-    "-Infinity": -math.inf, "1d": None, "1f": None, "1_000": None, "1,000": None, "": None,
-    "x": None, ".": None, "0x10": None, "１": None, "\n4\n": 4.0, None: None,
+    "-Infinity": -math.inf, "1d": None, "1f": None, "1,000": None, "": None,
+    "x": None, ".": None, "0x10": None, "\n4\n": 4.0, None: None,
 }
 
 
+@pytest.mark.parametrize("s", [
+    "1_000", "１２", "-１２．５", "１２.５", "٣٤", "1__0", "_1", "1_", "1_0.5_0e1_0", "1._0", "1_.0", ".5_5", "𝟙𝟚", "²", "Ⅷ", "１_０",
+    "+.5", "1e5", "1e_5", "０x1", "1 2", "inf_", "１e１", "　７　",
+])
+def test_numbers_as_python_reads_them(spark, s):
+    try:
+        wanted = float(s)
+    except ValueError:
+        wanted = None
+    assert spark.range(1).select(T.parse_float(F.lit(s))).first()[0] == wanted
+    assert not spark.range(1).select(T.is_number(F.lit("１２"))).first()[0]
+
+
 def test_numbers(spark):
     frame = spark.createDataFrame([(k,) for k in [*NUMBERS, "nan", "-NaN"]], "s string")
     found = frame.select("s", T.parse_float(F.col("s")).alias("x"), T.is_number(F.col("s")).alias("ok"))
