@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,9 @@ LONGEST, LEAST = 64, 5  # words of an index passage: longer items are cut, short
 WINDOW, STRIDE = 32, 16
 BLOCK, RANK, EXTRA, POWERS = 1_024, 256, 16, 2
 COSINE, SAME, CLOSE = 0.4, 0.8, 0.5
-RARE, RARE_WORDS = 0.01, 3  # share of documents below which a word is rare; rare words of a candidate window
-_STACK = 1_024  # windows that are compared at once
+RARE = 0.01  # share of documents below which a word is rare and so a key of its passage
+KEY_WORDS, KEY_SHARE = 3, 0.15  # keys of one passage in a candidate window, and their share of its keys' weight
+_STACK = 64  # windows that are compared at once
 
 
 def plain_words(text: str | None) -> list[bytes]:
@@ -59,6 +61,10 @@ class Passage:
 
     def similarity(self, said: list[bytes]) -> float:
         """Share of the passage found in order; zero unless that is enough."""
+        held = set(said)
+        most = sum(w in held for w in self.words) / len(self.words)
+        if most < (CLOSE if self.answer else SAME):  # the subsequence is no longer than that
+            return 0.0
         share = common_length(self.masks, len(self.words), said) / len(self.words)
         if share >= SAME or (share >= CLOSE and self.answer and b" %b " % self.answer in b" %b " % b" ".join(said)):
             return share
@@ -154,21 +160,47 @@ class Index:
 
     passages: list[Passage]
     terms: dict[bytes, int]
-    rare: np.ndarray  # of each term, and False for no term
+    keys: list[list[int]]  # of each passage: its rare terms, or its rarest
+    weights: np.ndarray  # of each term
     folded: np.ndarray  # weighted basis row of each term, and zeros for no term
     places: np.ndarray  # passages in the latent space, unit length
 
-    def search(self, said: list[bytes], at: np.ndarray) -> Iterator[tuple[int, int]]:
+    def __post_init__(self) -> None:
+        """Postings: the passages that have a term among their keys."""
+        pairs = sorted((t, k) for k, keys in enumerate(self.keys) for t in keys)
+        self.posted = np.array([k for _, k in pairs], dtype=np.int64)
+        self.first = np.searchsorted([t for t, _ in pairs], np.arange(len(self.terms) + 2))
+        self.keyed = np.append(np.diff(self.first)[:-1] > 0, False)  # of each term, and of no term
+        energy = self.weights**2
+        self.energy = energy
+        self.least = np.array([KEY_SHARE * energy[keys].sum() for keys in self.keys])
+        self.least_keys = np.array([min(KEY_WORDS, len(keys)) for keys in self.keys])
+
+    def windows(self, at: np.ndarray) -> np.ndarray:
+        """First words of the windows that hold enough keys of some passage."""
+        n = max(-(-(len(at) - STRIDE) // STRIDE), 1)
+        hits = np.flatnonzero(self.keyed[at])
+        term = at[hits]
+        size = self.first[term + 1] - self.first[term]
+        ends = np.cumsum(size)
+        passage = self.posted[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[term] - ends + size, size)]
+        last, term = np.repeat(hits // STRIDE, size), np.repeat(term, size)
+        window = np.concatenate((last, last - 1))
+        both = (np.tile(passage, 2) + window * len(self.passages)) * len(self.terms) + np.tile(term, 2)
+        both = np.unique(both[(window >= 0) & (window < n)])  # a key counts once in a window
+        pair, of = np.unique(both // len(self.terms), return_inverse=True)
+        energy = np.bincount(of, self.energy[both % len(self.terms)], minlength=len(pair))
+        passage = pair % len(self.passages)
+        enough = (energy >= self.least[passage]) & (np.bincount(of, minlength=len(pair)) >= self.least_keys[passage])
+        return np.unique(pair[enough] // len(self.passages)) * STRIDE
+
+    def search(self, at: np.ndarray) -> Iterator[tuple[int, int]]:
         """Candidates (first word of the window, passage)."""
-        seen = np.concatenate(([0], np.cumsum(self.rare[at])))
-        starts = np.arange(0, max(len(said) - STRIDE, 1), STRIDE)
-        starts = starts[seen[np.minimum(starts + WINDOW, len(said))] - seen[starts] >= RARE_WORDS]
+        starts = self.windows(at)
         padded = np.concatenate((at, np.full(WINDOW, -1)))
         for s in range(0, len(starts), _STACK):
             first = starts[s:s + _STACK]
-            place = np.zeros((len(first), self.folded.shape[1]), dtype=np.float32)
-            for k in range(WINDOW):
-                place += self.folded[padded[first + k]]
+            place = self.folded[padded[first[:, None] + np.arange(WINDOW)]].sum(axis=1)
             place /= np.maximum(np.linalg.norm(place, axis=1, keepdims=True), 1e-12)
             for w, p in zip(*np.nonzero(place @ self.places.T >= COSINE), strict=True):
                 yield int(first[w]), int(p)
@@ -177,10 +209,10 @@ class Index:
         """Items in a text: similarity and first word of the window that showed it."""
         said, best = plain_words(text), {}
         get = self.terms.get
-        at = np.fromiter((get(w, -1) for w in said), dtype=np.int64, count=len(said))
-        if np.count_nonzero(self.rare[at]) < RARE_WORDS:
+        at = np.fromiter(map(get, said, repeat(-1)), dtype=np.int64, count=len(said))
+        if not self.keyed[at].any():
             return best
-        for first, p in self.search(said, at):
+        for first, p in self.search(at):
             passage = self.passages[p]
             margin = len(passage.words)
             found = passage.similarity(said[max(0, first - margin):first + WINDOW + margin])
@@ -198,11 +230,11 @@ def index(docs: DataFrame, block: DataFrame, n_docs: int) -> Index | None:
     terms = {w: k for k, w in enumerate(sorted({w for p in passages for w in p.words}))}
     n = frequencies(docs, terms)
     weights = np.log((n_docs + 1) / (n + 1)) + 1e-3
-    rare = np.append(n < max(RARE * n_docs, 2), False)
+    keys = []
     for p in passages:
-        own = [terms[w] for w in p.words]
-        if rare[own].sum() < 2 * RARE_WORDS:  # a passage of common words is found by all of them
-            rare[own] = True
+        own = sorted({terms[w] for w in p.words}, key=lambda t: (n[t], t))
+        rare = [t for t in own if n[t] < max(RARE * n_docs, 2)]
+        keys.append(rare if len(rare) >= 2 * KEY_WORDS else own[:2 * KEY_WORDS])
 
     def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -212,7 +244,7 @@ def index(docs: DataFrame, block: DataFrame, n_docs: int) -> Index | None:
     folded = np.vstack([v * weights[:, None], np.zeros((1, v.shape[1]))]).astype(np.float32)
     places = np.stack([folded[[terms[w] for w in p.words]].sum(axis=0) for p in passages])
     places /= np.maximum(np.linalg.norm(places, axis=1, keepdims=True), 1e-12)
-    return Index(passages, terms, rare, folded, places)
+    return Index(passages, terms, keys, weights, folded, places)
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, answer_col: str | None) -> Iterator[Broadcast]:
