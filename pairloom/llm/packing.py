@@ -166,9 +166,9 @@ def token_lengths(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     """(id, n_tokens): ids of each text by the tokenizer, and one for the end of the document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokens.encoder(tokenizer).encode
+        encode_all = tokens.encoder(tokenizer).encode_all
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "n": [len(encode(t)) // 4 + 1 for t in b["text"]]})
+            yield pd.DataFrame({"id": b["id"], "n": [len(ids) // 4 + 1 for ids in encode_all(b["text"])]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     counted = rows.mapInPandas(run, "id long, n long")

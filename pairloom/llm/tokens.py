@@ -17,7 +17,7 @@ import os
 import re
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,8 +36,11 @@ DOCUMENTS = 0x184D2A50  # skippable frame of the document table
 CHECKSUM = 0x80  # flag: the seek table has checksums
 _TABLE = np.dtype([("id", "<i8"), ("start", "<u8"), ("n", "<u8"), ("has_id", "u1")])
 _SEEK = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("checksum", "<u4")])
-CACHE = 300_000  # words that a worker remembers
+CACHE = 400_000  # words that a worker remembers
 _GROUP = 64  # words that are encoded in one call's text
+_HELD = 1 << 20  # characters of texts that are encoded together
+
+MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:;=-@\[-`{-~]+)")  # letters, then ASCII marks but ' and <
 
 _encoders: dict[str, Encoder] = {}  # one per tokenizer file and worker
 
@@ -52,47 +55,90 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the same model without normalization and patterns, for words that these leave alone
+        self.light = Tokenizer(self.tokenizer.model)
+        self.light.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
+        ])
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
         self.known: dict[str, bytes] = {}
 
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str], light: bool = False) -> list[np.ndarray]:
+        tokenizer = self.light if light else self.tokenizer
+        return [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Remember the ids of all pieces. Letters, a mark after them or not, share calls.
+    def _learn(self, pieces: list[str]) -> None:
+        """Remember the ids of all pieces. Letters share calls, with a word end for each piece.
 
-        Such a piece has one word end, or two with its mark, and never fewer; if a call gives
-        just as many as its pieces should, the cuts between them are known.
+        A word of letters has one end and never fewer; if a call gives as many as it has words,
+        the cuts between them are known. Letters before a run of marks are a word by themselves.
         """
-        plain = [p for p in pieces if p.isalpha() or (p[-1:] in (".", ",") and p[:-1].isalpha())]
-        groups = [plain[i:i + _GROUP] for i in range(0, len(plain), _GROUP)]
-        for group, ids in zip(groups, self._whole([" ".join(g) for g in groups]), strict=True):
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            last = np.cumsum([1 if p.isalpha() else 2 for p in group]) - 1
-            if len(ends) == last[-1] + 1:
-                parts = np.split(ids, ends[last[:-1]])
-                self.known.update(zip(group, (part.tobytes() for part in parts), strict=True))
-        rest = [p for p in pieces if p not in self.known]
-        self.known.update(zip(rest, (ids.tobytes() for ids in self._whole(rest)), strict=True))
+        known = self.known
+        words = [p for p in pieces if p.isalpha()]
+        others = [p for p in pieces if not p.isalpha()]
+        split = [(p, m.group(1), m.group(2)) for p in others if (m := MARKED.fullmatch(p)) and _is_latin(p)]
+        composed = {p for p, _, _ in split}
+        marks = {x for _, _, x in split}
+        words += {x for _, x, _ in split}.difference(known, words)
+        lower, other = [], []
+        for w in words:
+            (lower if w.islower() and _is_latin(w) else other).append(w)
+        for some, light in ((lower, True), (other, False)):
+            groups = [some[i:i + _GROUP] for i in range(0, len(some), _GROUP)]
+            for group, ids in zip(groups, self._whole([" ".join(g) for g in groups], light), strict=True):
+                ends = np.flatnonzero(self.ends[ids]) + 1
+                if len(ends) == len(group):
+                    data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+                    known.update((w, data[at[k]:at[k + 1]]) for k, w in enumerate(group))
+        rest = list({*marks, *other, *(p for p in others if p not in composed)}.difference(known))
+        known.update(zip(rest, (ids.tobytes() for ids in self._whole(rest)), strict=True))
+        known.update((p, known[word] + known[run]) for p, word, run in split)
 
     def encode(self, text: str | None) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
-        text = text or ""
-        if text.isascii() and "<" not in text:
-            text = text.lower()
-        pieces = text.replace("\n", " ").split(" ")
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Ids of each text; words are looked up for about _HELD characters of texts at once."""
+        held, size = [], 0
+        for text in texts:
+            held.append(_pieces(text or ""))
+            size += len(text or "")
+            if size >= _HELD:
+                yield from self._encode(held)
+                held, size = [], 0
+        yield from self._encode(held)
+
+    def _encode(self, texts: list[list[str]]) -> Iterator[bytes]:
         if len(self.known) > CACHE:
             self.known.clear()
-        new = set(pieces) - self.known.keys()
-        if new:
-            self._learn(new)
-        return b"".join([self.known[p] for p in pieces])
+        self._learn(list(set().union(*texts).difference(self.known)))
+        get = self.known.__getitem__
+        for pieces in texts:
+            yield b"".join(map(get, pieces))
+
+
+def _pieces(text: str) -> list[str]:
+    if "<" not in text and _is_latin(text):
+        text = text.lower()
+    return text.replace("\n", " ").split(" ")
+
+
+def _is_latin(text: str) -> bool:
+    """Whether all characters are of Latin-1, where lower-casing goes letter by letter."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def encoder(path: str) -> Encoder:
@@ -207,14 +253,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
         from pyspark import TaskContext
 
         writer, uri = None, f"{folder}/{uuid.uuid4().hex}.zst"
-        encode, end = encoder(tokenizer).encode, struct.pack("<I", end_id)
+        encode_all, end = encoder(tokenizer).encode_all, struct.pack("<I", end_id)
         for b in batches:
-            for i, text in zip(b["id"], b["text"], strict=True):
+            for i, ids in zip(b["id"], encode_all(b["text"]), strict=True):
                 if writer is None:
                     system, path = _open(uri)
                     system.create_dir(path.rpartition("/")[0], recursive=True)
                     writer = Writer(system.open_output_stream(path, compression=None), frame)
-                writer.add(None if pd.isna(i) else int(i), encode(text) + end)
+                writer.add(None if pd.isna(i) else int(i), ids + end)
         if writer:
             writer.close()
             yield pd.DataFrame({

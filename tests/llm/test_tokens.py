@@ -44,6 +44,10 @@ def test_pieces_have_the_ids_of_the_text(tokenizer):
     marks = ["a", "É", "é", "İ", "ﬁ", "'s", "don't", "x'S.", "<|endoftext|>", "<|ENDOFTEXT|>", "1.5", "日本", "Σας", " ",
              "\t", "\r", "\x1c", " ", "...", ",", "word.", "WORD,", "ß", "ʼn.", "🎉", "̸", "a̸", "ª.", "Ⅷ", "�", ""]
     own = tokens.Encoder(PATH)
+    letters = [c for c in map(chr, range(256)) if c.isalpha()]
+    for _ in range(300):
+        text = " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(40))
+        assert list(np.frombuffer(own.encode(text), dtype="<u4")) == tokenizer.encode(text, add_special_tokens=False).ids
     for _ in range(400):
         text = "".join(rng.choice(marks) + rng.choice(["", " ", "\n", "  "]) for _ in range(rng.randint(0, 30)))
         assert list(np.frombuffer(own.encode(text), dtype="<u4")) == tokenizer.encode(text, add_special_tokens=False).ids
