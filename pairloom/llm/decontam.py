@@ -160,7 +160,7 @@ class Index:
 
     passages: list[Passage]
     terms: dict[bytes, int]
-    keys: list[list[int]]  # of each passage: its rare terms, or its rarest
+    keys: list[list[int]]  # of each passage: its rare terms, the rarer half at least
     weights: np.ndarray  # of each term
     folded: np.ndarray  # weighted basis row of each term, and zeros for no term
     places: np.ndarray  # passages in the latent space, unit length
@@ -233,8 +233,8 @@ def index(docs: DataFrame, block: DataFrame, n_docs: int) -> Index | None:
     keys = []
     for p in passages:
         own = sorted({terms[w] for w in p.words}, key=lambda t: (n[t], t))
-        rare = [t for t in own if n[t] < max(RARE * n_docs, 2)]
-        keys.append(rare if len(rare) >= 2 * KEY_WORDS else own[:2 * KEY_WORDS])
+        rare = sum(n[t] < max(RARE * n_docs, 2) for t in own)
+        keys.append(own[:max(rare, 2 * KEY_WORDS, len(own) // 2)])
 
     def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
