@@ -15,6 +15,7 @@ Counts: the COMMON most frequent words go to the tasks, all others are joined.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from zlib import crc32
 
 import numpy as np
@@ -32,7 +33,7 @@ COMMON = 1 << 17
 ROUNDS = 2
 WARM = 8  # the first round takes one row in so many
 RATE, CALM = 0.15, 1.0
-STEP = 8_192  # tokens of a gradient step, and of a batch that is scored
+STEP = 2_048  # tokens of a gradient step, and of a batch that is scored
 PIECE = 200_000  # tokens of texts held at once, or one text
 SLICES, FAN = 64, 64  # parts of the weights that are summed apart, and sums before the last
 
@@ -78,12 +79,13 @@ def pieces(texts: Iterator[str | None]) -> Iterator[tuple[Lexicon, np.ndarray, n
 def features(lexicon: Lexicon, classes: np.ndarray, numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Weight rows (features x tokens) of what stands before each token; the bias row 0 is left out."""
     sizes = np.diff(starts)
-    place = np.arange(len(numbers)) - np.repeat(starts[:-1], sizes)
+    place = np.arange(len(numbers), dtype=np.int32) - np.repeat(starts[:-1].astype(np.int32), sizes)
     said = classes[numbers]
 
     def back(values: np.ndarray, k: int, none: int) -> np.ndarray:
-        moved = np.concatenate((np.full(k, none), values))[:len(values)]
-        return np.where(place >= k, moved, none)
+        moved = np.concatenate((np.full(k, none, dtype=values.dtype), values))[:len(values)]
+        moved[place < k] = none
+        return moved
 
     one, two, three = (back(said, k, _BOS) for k in (1, 2, 3))
     word = np.fromiter((crc32(w, 3) % TABLE for w in lexicon), dtype=np.int64, count=len(lexicon))
@@ -91,7 +93,7 @@ def features(lexicon: Lexicon, classes: np.ndarray, numbers: np.ndarray, starts:
     return np.stack((
         1 + one, 1 + _SPAN + two, 1 + 2 * _SPAN + three, 1 + 3 * _SPAN + back(word[numbers], 1, 0),
         1 + 3 * _SPAN + TABLE + pair,
-    ))
+    )).astype(np.int16)  # short numbers are sorted by radix
 
 
 def chances(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -121,60 +123,60 @@ def step(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, said: np.nd
         weights[at] -= RATE * slope / np.sqrt(squares[at])
 
 
-def learn(weights: np.ndarray, texts: Iterator[str | None]) -> tuple[np.ndarray, int]:
-    """Weights after the gradient steps over the texts, and the tokens seen."""
-    weights, tokens = weights.copy(), 0
-    squares = np.full(weights.shape, CALM, dtype=np.float32)
-    for lexicon, numbers, starts in pieces(texts):
-        classes = lexicon.classes()
-        rows, said = features(lexicon, classes, numbers, starts), classes[numbers]
-        for s in range(0, len(said), STEP):
-            step(weights, squares, rows[:, s:s + STEP], said[s:s + STEP])
-        tokens += len(said)
-    return weights, tokens
+class Learner:
+    """Gradient steps from common weights over pieces of texts."""
 
+    def __init__(self, weights: np.ndarray) -> None:
+        self.weights, self.tokens = weights.copy(), 0
+        self.squares = np.full(weights.shape, CALM, dtype=np.float32)
 
-def count(rows: DataFrame) -> DataFrame:
-    """Written table (h, cls, c): hash, class and count of every word of the rows' texts."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for lexicon, numbers, _ in pieces(b["text"]):
-                yield pd.DataFrame({"h": lexicon.hashes(), "cls": lexicon.classes(),
-                                    "n": np.bincount(numbers, minlength=len(lexicon))})
-
-    found = rows.select("text").mapInPandas(run, "h long, cls int, n long")
-    return written(found.groupBy("h", "cls").agg(F.sum("n").alias("c")), "word_counts")
+    def learn(self, lexicon: Lexicon, classes: np.ndarray, numbers: np.ndarray, starts: np.ndarray) -> None:
+        rows, said = features(lexicon, classes, numbers, starts), classes[numbers]
+        for s in range(0, len(said), STEP):
+            step(self.weights, self.squares, rows[:, s:s + STEP], said[s:s + STEP])
+        self.tokens += len(said)
 
 
-def train(rows: DataFrame) -> np.ndarray:
-    """Class weights from all rows, each read once."""
+def train(rows: DataFrame) -> tuple[np.ndarray, DataFrame]:
+    """Class weights, and the table (h, cls, c) of every word's hash, class and count; each row is read once."""
     weights = np.zeros((ROWS, CLASSES), dtype=np.float32)
     share = F.pmod(F.xxhash64("text"), F.lit(WARM))
+    schema = "h long, cls int, n long, slice int, fan int, part binary"
+    counted = []
     for turn in range(ROUNDS):
-        part = rows.where(share == 0 if turn == 0 else share != 0)
+        own = rows.where(share == 0 if turn == 0 else share != 0)
         sent = rows.sparkSession.sparkContext.broadcast(weights)
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             from pyspark import TaskContext
 
-            new, tokens = learn(sent.value, (t for b in batches for t in b["text"]))
-            if tokens:
-                parts = np.array_split((new * tokens).ravel(), SLICES)
+            learner = Learner(sent.value)
+            for b in batches:
+                for lexicon, numbers, starts in pieces(b["text"]):
+                    classes = lexicon.classes()
+                    learner.learn(lexicon, classes, numbers, starts)
+                    yield pd.DataFrame({
+                        "h": lexicon.hashes(), "cls": classes, "n": np.bincount(numbers, minlength=len(lexicon)),
+                        "slice": -1, "fan": 0, "part": None,
+                    })
+            if learner.tokens:
+                parts = np.array_split((learner.weights * learner.tokens).ravel(), SLICES)
                 yield pd.DataFrame({
-                    "slice": range(SLICES), "fan": TaskContext.get().partitionId() % FAN, "n": tokens,
-                    "part": [p.astype(np.float32).tobytes() for p in parts],
+                    "h": 0, "cls": 0, "n": learner.tokens, "slice": range(SLICES),
+                    "fan": TaskContext.get().partitionId() % FAN, "part": [p.astype(np.float32).tobytes() for p in parts],
                 })
 
-        schema = "slice int, fan int, n long, part binary"
-        models = part.select("text").mapInPandas(run, schema)
-        models = models.groupBy("slice", "fan").applyInPandas(_sum, schema)
-        models = models.withColumn("fan", F.lit(0)).groupBy("slice", "fan").applyInPandas(_sum, schema)
+        learnt = written(own.select("text").mapInPandas(run, schema), "learnt")
+        counted.append(learnt.where("slice < 0").select("h", "cls", "n"))
+        models = learnt.where("slice >= 0").select("slice", "fan", "n", "part")
+        for fan in (F.col("fan"), F.lit(0)):
+            models = models.withColumn("fan", fan).groupBy("slice", "fan").applyInPandas(_sum, models.schema)
         got = models.orderBy("slice").collect()
         if got:
             flat = np.concatenate([np.frombuffer(r["part"], dtype=np.float32) / r["n"] for r in got])
             weights = flat.reshape(weights.shape).astype(np.float32)
-    return weights
+    words_seen = reduce(DataFrame.unionByName, counted).groupBy("h", "cls").agg(F.sum("n").alias("c"))
+    return weights, written(words_seen, "word_counts")
 
 
 def _sum(parts: pd.DataFrame) -> pd.DataFrame:
@@ -195,14 +197,14 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), out.alias("held_out"))
     training = rows.where(~F.col("held_out"))
-    counts = count(training)
+    weights, counts = train(training)
     tokens, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     room = np.ones(CLASSES)  # tokens and words of each class, and its unknown word
     for r in counts.groupBy("cls").agg((F.sum("c") + F.count("*")).alias("n")).collect():
         room[r["cls"]] += r["n"]
     common = counts.orderBy(F.desc("c"), "h").limit(COMMON).select("h", "c").toPandas().sort_values("h")
     sent = docs.sparkSession.sparkContext.broadcast((
-        train(training), np.log10(room), common["h"].to_numpy(dtype=np.int64), common["c"].to_numpy(dtype=np.int64)
+        weights, np.log10(room), common["h"].to_numpy(dtype=np.int64), common["c"].to_numpy(dtype=np.int64)
     ))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
