@@ -179,7 +179,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each other. An empty table gives an empty result; other columns are not read.
     """
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    return rows.join(_groups(rows), "fp").select(
+    groups = written(_groups(rows), "groups")  # a table of its own, so a hot fingerprint's rows can be split
+    return rows.join(groups, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

@@ -36,7 +36,7 @@ DOCUMENTS = 0x184D2A50  # skippable frame of the document table
 CHECKSUM = 0x80  # flag: the seek table has checksums
 _TABLE = np.dtype([("id", "<i8"), ("start", "<u8"), ("n", "<u8"), ("has_id", "u1")])
 _SEEK = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("checksum", "<u4")])
-CACHE = 400_000  # words that a worker remembers
+CACHE = 200_000  # words that a worker remembers
 _GROUP = 64  # words that are encoded in one call's text
 _HELD = 1 << 20  # characters of texts that are encoded together
 

@@ -14,6 +14,7 @@ FACTORS = 4
 LEAST_ROWS, MOST_TERMS = 10, 1 << 17
 CHOOSE, FIT = (1, 15), (2, 60)  # rounds and steps of each: to choose terms, to fit the chosen
 RATE, L1, CALM = {"b": 0.1, "w": 0.3, "v": 0.02}, {"w": 0.003, "v": 1e-3}, {"v": 1e-2}
+BLOCK = 200_000  # terms of rows whose slopes are computed at once
 LIVE = 0.1  # weight or length of a factor that keeps a term
 
 
@@ -42,16 +43,20 @@ def learn(vocab: np.ndarray, steps: int, l1: dict[str, float]):
     def run(params: Params, x: list[np.ndarray], y: np.ndarray, turn: int) -> Params:
         descent = Descent(params, RATE, l1, CALM)
         at, starts = positions(vocab, x)
-        size = np.diff(starts)
+        edges = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(at), BLOCK)), len(y)))
         for _ in range(steps):
-            z, total = margin(descent.params, at, starts)
-            error = (sigmoid(z) - y) / len(y)
-            each = np.repeat(error, size)
-            pull = each[:, None] * (np.repeat(total, size, axis=0) - descent.params["v"][at])
-            descent.step({
-                "b": np.array([error.sum()]), "w": np.bincount(at, each, len(vocab)),
-                "v": np.stack([np.bincount(at, c, len(vocab)) for c in pull.T], axis=1),
-            })
+            grads = {k: np.zeros(v.shape) for k, v in descent.params.items()}
+            for lo, hi in zip(np.append(0, edges[:-1]), edges, strict=True):
+                own, of = at[starts[lo]:starts[hi]], starts[lo:hi + 1] - starts[lo]
+                z, total = margin(descent.params, own, of)
+                error = (sigmoid(z) - y[lo:hi]) / len(y)
+                size = np.diff(of)
+                each = np.repeat(error, size)
+                pull = each[:, None] * (np.repeat(total, size, axis=0) - descent.params["v"][own])
+                grads["b"] += error.sum()
+                grads["w"] += np.bincount(own, each, len(vocab))
+                grads["v"] += np.stack([np.bincount(own, c, len(vocab)) for c in pull.T], axis=1)
+            descent.step(grads)
         return descent.params
 
     return run
