@@ -19,6 +19,7 @@ SHAPE = bytes(
     ord("0") if chr(c).isdigit() and c < 128 else ord("a") if c >= 128 or chr(c).isalpha() else c for c in range(256)
 )
 REPEATED = re.compile(rb"(.)\1+", re.DOTALL)
+HELD = 500  # texts that are scored at once
 SAMPLE = 20_000  # labelled rows that a model learns from
 PARTS, PART_ROWS = 8, 2_500  # models that are averaged in a round at most, rows that one learns from at least
 Params = dict[str, np.ndarray]
@@ -65,7 +66,9 @@ def labelled(
 
     def hash_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "y": b["y"], "x": [terms(t, shapes) for t in b["text"]]})
+            for s in range(0, len(b), HELD):
+                part = b.iloc[s:s + HELD]
+                yield pd.DataFrame({"id": part["id"], "y": part["y"], "x": [terms(t, shapes) for t in part["text"]]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.join(F.broadcast(ids), "id").mapInPandas(hash_rows, "id long, y int, x array<long>")
@@ -90,6 +93,12 @@ def positions(vocab: np.ndarray, x: list[np.ndarray]) -> tuple[np.ndarray, np.nd
     return at[known], starts
 
 
+def held_positions(vocab: np.ndarray, texts: pd.Series, shapes: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``positions`` of the texts' terms, HELD texts at a time, so a task holds few terms at once."""
+    for s in range(0, max(len(texts), 1), HELD):
+        yield positions(vocab, [terms(t, shapes) for t in texts.iloc[s:s + HELD]])
+
+
 def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of the slices between starts; empty ones are zero."""
     total = np.concatenate((np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm import hashed
-from pairloom.llm.hashed import Descent, Params, positions, sums, terms
+from pairloom.llm.hashed import Descent, Params, positions, sums
 from pairloom.llm.toxicity import sigmoid
 
 LEAST_ROWS, MOST_TERMS = 10, 1 << 17
@@ -79,8 +79,8 @@ def score(text: Column, vocab: np.ndarray, params: Params, tail: int = 1) -> Col
 
     @F.pandas_udf("expected_grade double, tail_prob double, grade int")
     def run(texts: pd.Series) -> pd.DataFrame:
-        at, starts = positions(vocab, [terms(x, shapes=True) for x in texts])
-        f = sums(params["w"][at], starts)
+        held = hashed.held_positions(vocab, texts, shapes=True)
+        f = np.concatenate([sums(params["w"][at], starts) for at, starts in held])
         atleast = 1 - below(t[None, 1:-1] - f[:, None])
         return pd.DataFrame({
             "expected_grade": atleast.sum(axis=1), "tail_prob": atleast[:, tail - 1],

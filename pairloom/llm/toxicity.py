@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm import hashed
-from pairloom.llm.hashed import Descent, Params, positions, sums, terms
+from pairloom.llm.hashed import Descent, Params, positions, sums
 
 FACTORS = 4
 LEAST_ROWS, MOST_TERMS = 10, 1 << 17
@@ -82,8 +82,8 @@ def score(text: Column, vocab: np.ndarray, params: Params) -> Column:
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
-        at, starts = positions(vocab, [terms(t) for t in texts])
-        return pd.Series(sigmoid(margin(params, at, starts)[0]))
+        found = [margin(params, at, starts)[0] for at, starts in hashed.held_positions(vocab, texts)]
+        return pd.Series(sigmoid(np.concatenate(found)))
 
     return run(text)
 
