@@ -15,7 +15,7 @@ Equal keys bring candidates together; only pairs within three bits become links.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm import golay
+from pairloom.llm import golay, shingles
 from pairloom.llm.common import words, written
 from pairloom.llm.components import components
 
@@ -51,12 +51,12 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, fp): the fingerprint as a signed long. Null and wordless texts have 0."""
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t) for t in b["text"]), dtype=np.uint64, count=len(b))
+            fp = np.fromiter((fingerprint(t, shingle) for t in b["text"]), dtype=np.uint64, count=len(b))
             yield pd.DataFrame({"id": b["id"], "fp": fp.view(np.int64)})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -157,10 +157,10 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     )
 
 
-def _groups(rows: DataFrame) -> DataFrame:
+def _groups(rows: DataFrame, find: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
     """(fp, root, component_id): a fingerprint's group and the group's smallest id, of rows (id, fp)."""
     classes = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    joined = components(links(classes))
+    joined = components(find(classes))
     nodes = joined.join(classes, joined.node == classes.fp).select("node", "root", "least")
     roots = nodes.groupBy("root").agg(F.min("least").alias("reached"))
     reach = nodes.join(roots, "root").select(F.col("node").alias("fp"), "root", "reached", F.lit(True).alias("linked"))
@@ -185,14 +185,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                shingle: int = 3, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` with one document of each group: the one with the smallest id.
 
-    Of several rows with that id one stays, of a group without ids one row. Texts are not
-    shuffled but for ids that several rows have.
+    Groups are those of ``near_duplicates``, or with ``similarity`` texts that links of that
+    Jaccard similarity of their sets of shingles join. Of several rows with that id one stays,
+    of a group without ids one row. Texts are not shuffled but for ids that several rows have.
     """
-    rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    groups = written(_groups(rows), "groups")
+    if similarity is None:
+        sign = fingerprint
+        rows = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+        groups = written(_groups(rows), "groups")
+    else:
+        sign = shingles.signature
+        rows = written(shingles.sets(docs, id_col, text_col, shingle), "sets")
+        groups = written(_groups(rows, lambda _: shingles.links(rows, similarity)), "groups")
     kept = rows.where("id IS NOT NULL").join(groups, "fp").where("id = component_id").groupBy("id").agg(
         F.count("*").alias("rows")
     )
@@ -202,7 +210,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.uint64(fingerprint(t)).astype(np.int64) for t in texts], dtype="int64")
+        return pd.Series([np.uint64(sign(t, shingle)).astype(np.int64) for t in texts], dtype="int64")
 
     own = docs.where(F.col(id_col).isNull()).withColumn("_fp", fp(F.col(text_col)))
     nameless = groups.where("component_id IS NULL").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
