@@ -2,9 +2,11 @@
 
 The index is the benchmark: its passages as TF-IDF rows, with document frequencies from all
 documents, and the leading right singular vectors of these rows from a randomised SVD, whose
-products with the rows run as Spark jobs. Overlapping windows of every document are folded in
-and compared with the passages by cosine. Candidates are settled by the longest common
-subsequence of words: SAME of a passage, or CLOSE of it where its answer stands there too.
+products with the rows run as Spark jobs. Overlapping windows of every document that hold keys
+of some passage are folded in and compared with all passages by cosine. A passage whose keys a
+window holds is a candidate whatever its cosine, as RANK vectors don't span all passages of a
+block. Candidates are settled by the longest common subsequence of words: SAME of a passage, or
+CLOSE of it where its answer stands there too.
 
 A benchmark is searched in blocks of BLOCK passages; each reads the documents twice.
 """
@@ -175,9 +177,14 @@ class Index:
         self.energy = energy
         self.least = np.array([KEY_SHARE * energy[keys].sum() for keys in self.keys])
         self.least_keys = np.array([min(KEY_WORDS, len(keys)) for keys in self.keys])
-
-    def windows(self, at: np.ndarray) -> np.ndarray:
-        """First words of the windows that hold enough keys of some passage."""
+        self.spelt = np.full((len(self.passages), LONGEST), -1)  # terms of each passage, and no term
+        for k, p in enumerate(self.passages):
+            self.spelt[k, :len(p.words)] = [self.terms[w] for w in p.words]
+        self.sizes = np.array([len(p.words) for p in self.passages])
+        self.needed = np.array([CLOSE if p.answer else SAME for p in self.passages])
+
+    def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First words of windows, in order, and the passages that they hold enough keys of."""
         n = max(-(-(len(at) - STRIDE) // STRIDE), 1)
         hits = np.flatnonzero(self.keyed[at])
         term = at[hits]
@@ -192,18 +199,30 @@ class Index:
         energy = np.bincount(of, self.energy[both % len(self.terms)], minlength=len(pair))
         passage = pair % len(self.passages)
         enough = (energy >= self.least[passage]) & (np.bincount(of, minlength=len(pair)) >= self.least_keys[passage])
-        return np.unique(pair[enough] // len(self.passages)) * STRIDE
+        return pair[enough] // len(self.passages) * STRIDE, passage[enough]
 
     def search(self, at: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Candidates (first word of the window, passage)."""
-        starts = self.windows(at)
+        """Candidates (first word of the window, passage) with enough of the passage's words around the window."""
+        of, keyed = self.windows(at)
+        starts, begin = np.unique(of, return_index=True)
+        own = np.split(keyed, begin[1:])
         padded = np.concatenate((at, np.full(WINDOW, -1)))
+        held = np.zeros(len(self.terms) + 1, dtype=bool)
         for s in range(0, len(starts), _STACK):
             first = starts[s:s + _STACK]
             place = self.folded[padded[first[:, None] + np.arange(WINDOW)]].sum(axis=1)
             place /= np.maximum(np.linalg.norm(place, axis=1, keepdims=True), 1e-12)
-            for w, p in zip(*np.nonzero(place @ self.places.T >= COSINE), strict=True):
-                yield int(first[w]), int(p)
+            near = place @ self.places.T >= COSINE
+            for k, w in enumerate(first):
+                near[k, own[s + k]] = True
+                found = np.flatnonzero(near[k])
+                around = at[max(0, w - LONGEST):w + WINDOW + LONGEST]
+                held[around] = True
+                held[-1] = False
+                enough = held[self.spelt[found]].sum(axis=1) / self.sizes[found] >= self.needed[found]
+                held[around] = False
+                for p in found[enough]:
+                    yield int(w), int(p)
 
     def matches(self, text: str | None) -> dict[int, tuple[float, int]]:
         """Items in a text: similarity and first word of the window that showed it."""

@@ -102,3 +102,26 @@ def test_basis_spans_the_rows(spark):
         np.add.at(rows[k], a, weights[a])
     assert np.allclose(rows @ v @ v.T, rows, atol=1e-3)
     assert np.allclose(v.T @ v, np.eye(v.shape[1]), atol=1e-4)
+
+
+def test_verbatim_items_beyond_the_rank(spark):
+    rng = random.Random(9)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(30_000)]  # few words make up most of a text
+    hot = invented(rng, 18, words)
+    docs = [invented(rng, 120, words) for _ in range(300)]
+    items = [(0, hot)] + [(k, invented(rng, rng.choice([5, 8, 12, 20, 40]), words)) for k in range(1, 1_100)]
+    wanted = set()
+    for d in range(300):
+        said = docs[d].split()
+        own = [items[k] for k in rng.sample(range(1, 1_100), 4)] + [items[0]] * (d % 3 == 0)
+        for k, text in own:
+            at = rng.randrange(len(said) + 1)
+            said[at:at] = text.split()
+            wanted.add((d, k, text))
+        docs[d] = " ".join(said)
+    wanted = {(d, k) for d, k, text in wanted if f" {text} " in f" {docs[d]} "}  # not cut by a later one
+    assert len(wanted) > 1_000 and sum(k == 0 for _, k in wanted) > 80
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    found = decontam.leaks(df, spark.createDataFrame(items, "item_id long, text string"))
+    missed = wanted - {(r.doc_id, r.item_id) for r in found.where("similarity = 1").collect()}
+    assert not missed, (len(missed), len(wanted), sorted(missed)[:10])
