@@ -72,6 +72,19 @@ def test_turn_rows_make_up_the_conversation(spark, conversations):
     assert joined == {i: gemma(c) for i, c in enumerate(CONVERSATIONS)}
 
 
+def test_turns_tied_with_the_opening_system_turn_stay(spark):
+    rows = [(1, 0, "system", "S"), (1, 0, "user", "u"), (1, 1, "assistant", "a"),
+            (2, 3, "assistant", "b"), (2, 3, "system", "S"), (2, 4, "user", "v"),
+            (3, 0, "system", "S"), (3, 0, "system", "T"), (3, 1, "user", "w"), (None, 0, "system", "S"), (None, 0, "user", "x")]
+    got = render_turn_rows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    opened = "<bos><start_of_turn>%s\nS\n\n%s<end_of_turn>\n"
+    turn = "<start_of_turn>%s\n%s<end_of_turn>\n"
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([
+        (1, 0, opened % ("user", "u")), (1, 1, turn % ("model", "a")), (2, 3, opened % ("model", "b")), (2, 4, turn % ("user", "v")),
+        (3, 0, opened % ("system", "T")), (3, 1, turn % ("user", "w")), (None, 0, opened % ("user", "x")),
+    ], key=str)
+
+
 def test_mask_and_labels(conversations):
     text = chat.render_chat(F.col("messages"))
     frame = conversations.select(text.alias("text"))
