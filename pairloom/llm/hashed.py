@@ -55,13 +55,14 @@ def labelled(
 ) -> DataFrame:
     """Written table (id, x, y) of at most ``sample`` labelled rows that are not held out.
 
-    The ids with the smallest hashes are taken. A document with several labels has the
+    Of the labelled ids that ``docs`` holds those with the smallest hashes are taken. A document with several labels has the
     largest, repeated documents count once, null ids and null grades are left out.
     """
     ids = (
         labels.select(F.col(id_col).cast("long").alias("id"), grade.cast("int").alias("y"))
         .where("id IS NOT NULL AND y IS NOT NULL").where(~held_out("id"))
-        .groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
+        .groupBy("id").agg(F.max("y").alias("y"))
+        .join(docs.select(F.col(id_col).cast("long").alias("id")), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(sample)
     )
 
     def hash_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,6 +5,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from pairloom.llm import hashed, quality, toxicity
@@ -119,3 +120,11 @@ def test_odd_rows(spark):
     assert {r.predicted for r in toxicity.toxicity(df, none).collect()} == {0}
     assert {r.keep for r in quality.graded(df, none).collect()} == {True}
     assert toxicity.toxicity(df.limit(0), graded).collect() == [] == quality.graded(df.limit(0), graded).collect()
+
+
+def test_labels_without_documents_leave_the_sample_alone(spark):
+    docs = spark.range(1_000, 1_100).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"))
+    labels = spark.range(3_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("y"))
+    all_of_them = hashed.labelled(docs, labels, F.col("y"), sample=3_000).collect()
+    own = {r.id for r in hashed.labelled(docs, labels, F.col("y"), sample=40).collect()}
+    assert len(own) == 40 and own < {r.id for r in all_of_them}
