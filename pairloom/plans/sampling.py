@@ -43,7 +43,8 @@ def cap_null_keys(spark, sf):
     lead = F.when(F.col("conv_id") % 3 != 0, F.col("role")).alias("lead")
     keyed = I.turns(spark, sf).select(*I.TURN_KEY, lead)
     n = keyed.where("lead IS NULL").count() + 20
-    return order.first_n(keyed, n, ["lead", *I.TURN_KEY]).select("row_idx", *I.TURN_KEY, "lead")
+    indexed = order.with_row_index(keyed, ["lead", *I.TURN_KEY])  # n grows with the table
+    return indexed.where(F.col("row_idx") < n).select("row_idx", *I.TURN_KEY, "lead")
 
 
 @query("sample_exact", f"""

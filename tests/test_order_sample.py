@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from pairloom.functions import text as T
 from pairloom.operators import curate, mix, order, sample
+from tests.conftest import SMALL
 
 KEY = ["a", "b"]
 
@@ -172,3 +174,10 @@ def test_first_n_keeps_null_and_text_keys(spark):
 def test_first_n_reads_once_and_writes_nothing(spark):
     plan = order.first_n(spark.range(100).toDF("a"), 7, ["a"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("TakeOrderedAndProject") == 1 and "Exchange rangepartitioning" not in plan
+
+
+def test_a_cap_that_grows_with_the_table_is_spread(spark):
+    found = entry.queries()["cap_null_keys"](spark, SMALL)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" not in plan and "GlobalLimit" not in plan
+    assert sorted(r.row_idx for r in found.collect()) == list(range(found.where("lead IS NULL").count() + 20))
