@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.llm.common import written
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
-CHUNK = 256  # turn numbers that are counted together
+ORDER = ["conv", "turn", "speaker", "text"]
+_PART_BITS = 33  # monotonically_increasing_id keeps the partition above bit 33
 
 
 def _plain(x: Column) -> Column:
@@ -14,6 +17,16 @@ def _plain(x: Column) -> Column:
     return F.replace(x, F.lit("<|"), F.lit("< |"))
 
 
+def in_order(said: DataFrame) -> DataFrame:
+    """Rows with ``place``, which grows in ORDER, and ``chunk``, the range of ORDER that a row is in.
+
+    The ranges are written once, as places only mean something with one fixed partitioning.
+    """
+    ranged = said.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+    ranged = written(ranged.withColumn("place", F.monotonically_increasing_id()), "turns")
+    return ranged.withColumn("chunk", F.shiftright("place", _PART_BITS))
+
+
 def rotate(
     turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text",
     system: str = "system",
@@ -30,14 +43,14 @@ def rotate(
     then text; equal rows are one turn. A null speaker is named ``unknown``, a null text is
     empty, rows without conversation id form one conversation. Other columns are not read.
 
-    Nothing gathers a conversation: offsets are running sums within ``CHUNK`` turn numbers
-    plus running sums over the chunks.
+    Nothing gathers a conversation: turns are range-partitioned by their whole order, and
+    offsets are running sums within a range plus running sums over a conversation's ranges.
     """
-    said = turns.select(
+    said = in_order(turns.select(
         F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"),
         F.coalesce(F.col(speaker), F.lit("unknown")).alias("speaker"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
-    ).distinct()
+    ).distinct())
     people = said.where(F.col("speaker") != system).select(
         F.col("conv").alias("of"), F.col("speaker").alias("participant")
     ).distinct()
@@ -48,12 +61,12 @@ def rotate(
     head = F.concat(F.lit(OPEN), "role", F.coalesce(F.concat(F.lit(" name="), label), F.lit("")), F.lit("\n"))
     rows = said.join(people, F.col("conv").eqNullSafe(F.col("of"))).select(
         "conv", "participant", "turn", "speaker", role.alias("role"), name.alias("name"), "text",
-        F.floor(F.col("turn") / CHUNK).alias("chunk"),
+        "place", "chunk",
     ).select("*", head.alias("head")).select(
         "*", F.concat("head", _plain(F.col("text")), F.lit(CLOSE)).alias("segment")
     )
     chunk = ["conv", "participant", "chunk"]
-    within = Window.partitionBy(*chunk).orderBy("turn", "speaker", "text")
+    within = Window.partitionBy(*chunk).orderBy("place")
     before = within.rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("conv", "participant").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from pairloom.llm import perspectives, urls
@@ -83,3 +84,24 @@ def test_perspectives(spark):
     assert [r.speaker for r in ann] == ["unknown", "system", "ann", "ann", "bob", "cy\nd", "ann"]
     assert ann[5].text == "<|im_start|>user name=cy d\nfar<|im_end|>\n"
     assert perspectives.rotate(df.limit(0)).collect() == []
+
+
+def test_a_hot_turn_number_is_split(spark):
+    rng = random.Random(8)
+    rows = [(None, rng.choice([None, 0, 1]), rng.choice(["ann", "bob", "system"]), f"t{k:04} " + "x" * rng.randrange(9)) for k in range(3_000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        said = turns.select(F.col("conv_id").alias("conv"), "turn", F.col("role").alias("speaker"), "text").repartition(4)
+        sizes = [r["count"] for r in perspectives.in_order(said).groupBy("chunk").count().collect()]
+        got = perspectives.rotate(turns).where("participant = 'ann'").orderBy("position").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 3_000 and max(sizes) < 2_000
+    ordered = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
+    assert [r.position for r in got] == list(range(3_000))
+    assert [(r.turn, r.speaker) for r in got] == [r[1:3] for r in ordered]
+    at = 0
+    for r, wanted in zip(got, ordered, strict=True):
+        assert wanted[3] in r.text and (r.start, r.stop) == (at, at + len(r.text))
+        at = r.stop
