@@ -13,7 +13,7 @@ from pairloom.llm import decontam, hashed, quality, queries, toxicity
 from tests.conftest import SMALL
 from tests.llm.test_decontam import every_window
 from tests.llm.test_packing import check
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_shingles import plain_roots
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -38,9 +38,9 @@ def plain_quality(spark, docs):
 
 
 def plain_simhash(spark, docs):
-    rows = docs.collect()
-    roots = plain_components([r.doc_id for r in rows], [plain_fingerprint(r.text) for r in rows])
-    return [r for r, root in zip(rows, roots, strict=True) if r.doc_id == root]
+    """One of each group that links of Jaccard similarity 0.8 of five-word shingles join, all pairs compared."""
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+    return [r for k, (r, root) in enumerate(zip(rows, plain_roots([r.text for r in rows]), strict=True)) if k == root]
 
 
 def plain_decontamination(spark, docs):
