@@ -18,6 +18,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -39,8 +40,10 @@ _SEEK = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("checksum", "<u4")])
 CACHE = 200_000  # words that a worker remembers
 _GROUP = 64  # words that are encoded in one call's text
 _HELD = 1 << 20  # characters of texts that are encoded together
+_ROWS = 1_000  # documents that are read together
 
-MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:;=-@\[-`{-~]+)")  # letters, then ASCII marks but ' and <
+# letters, then ASCII marks but ' and <; the first part may hold numbers such as a superscript, which are not letters
+MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:;=-@\[-`{-~]+)")
 
 _encoders: dict[str, Encoder] = {}  # one per tokenizer file and worker
 
@@ -82,7 +85,10 @@ class Encoder:
         known = self.known
         words = [p for p in pieces if p.isalpha()]
         others = [p for p in pieces if not p.isalpha()]
-        split = [(p, m.group(1), m.group(2)) for p in others if (m := MARKED.fullmatch(p)) and _is_latin(p)]
+        split = [
+            (p, m.group(1), m.group(2)) for p in others
+            if (m := MARKED.fullmatch(p)) and m.group(1).isalpha() and _is_latin(p)
+        ]
         composed = {p for p, _, _ in split}
         marks = {x for _, _, x in split}
         words += {x for _, x, _ in split}.difference(known, words)
@@ -238,6 +244,19 @@ class Reader:
             at, k = at + len(data), k + 1
         return (doc_id if has_id else None), b"".join(parts)
 
+    def read_documents(self) -> Iterator[bytes]:
+        """Token ids of all documents in order; every frame is decompressed once."""
+        plain, at, k = b"", 0, 0  # the bytes at hand, the place in them, the next frame
+        for n in (4 * self.documents["n"].astype(np.int64)).tolist():
+            if at + n > len(plain):
+                parts, size = [plain[at:]], len(plain) - at
+                while size < n:
+                    parts.append(self.frame(k))
+                    size, k = size + len(parts[-1]), k + 1
+                plain, at = b"".join(parts), 0
+            yield plain[at:at + n]
+            at += n
+
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
           frame: int = FRAME) -> DataFrame:
@@ -274,12 +293,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
     return written(parts.mapInPandas(run, "part int, file string, documents long, tokens long"), "token_files")
 
 
-def read(files: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of all documents in the files of such a table, in any order.
+def read(files: DataFrame, ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of all documents in the files of such a table, in any order.
 
-    ``start`` counts the ids of all documents before; ``ids`` are their bytes in the file.
+    ``start`` counts the ids of all documents before; ``ids`` are their bytes in the file, left
+    out if not asked for. Every file is read by a task of its own.
     """
     ordered = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each writing task
+    n = files.count()
     files = files.select("part", "file", F.coalesce(F.sum("tokens").over(ordered), F.lit(0)).alias("before"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -288,19 +309,37 @@ def read(files: DataFrame) -> DataFrame:
                 system, path = _open(uri)
                 with system.open_input_file(path) as stream:
                     reader = Reader(stream)
-                    for s in range(0, len(reader.documents), 1_000):
-                        own = reader.documents[s:s + 1_000]
-                        ids = [reader.read_document(s + k) for k in range(len(own))]
-                        yield pd.DataFrame({
-                            "doc_id": pd.array([i for i, _ in ids], dtype="Int64"),
+                    at = 0
+                    for held in _held(reader.read_documents()):
+                        own = reader.documents[at:at + len(held)]
+                        at += len(held)
+                        out = {
+                            "doc_id": pd.arrays.IntegerArray(own["id"].astype(np.int64), own["has_id"] == 0),
                             "start": own["start"].astype(np.int64) + before, "n_tokens": own["n"].astype(np.int64),
-                            "ids": [x for _, x in ids],
-                        })
+                            "ids_crc32": np.fromiter(map(crc32, held), dtype=np.int64, count=len(held)),
+                        }
+                        yield pd.DataFrame(out | ({"ids": held} if ids else {}))
+
+    # a stated number of partitions is kept, where one for each file name would be merged
+    return files.repartition(max(n, 1)).mapInPandas(
+        run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids
+    )
+
 
-    return files.repartition("file").mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary")
+def _held(documents: Iterator[bytes]) -> Iterator[list[bytes]]:
+    """Documents in lists of about _ROWS, shorter where they are long."""
+    held, size = [], 0
+    for data in documents:
+        held.append(data)
+        size += len(data)
+        if len(held) >= _ROWS or size >= 4 * _HELD:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32): the documents as the written files have them."""
     files = write(docs, fresh_path(docs.sparkSession, "tokens"), tokenizer, end_id)
-    return read(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read(files, ids=False)

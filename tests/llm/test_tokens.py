@@ -53,6 +53,25 @@ def test_pieces_have_the_ids_of_the_text(tokenizer):
         assert list(np.frombuffer(own.encode(text), dtype="<u4")) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_numbers_and_marks_beside_letters(tokenizer, seed):
+    """Many strings at once and one by one, in an order of their own for every seed."""
+    rng = random.Random(seed)
+    latin = [chr(c) for c in range(33, 256)]
+    kinds = [list("²³¹¼½¾ªºµ.,;:!?()-_"), [*"aeioukméßÆ", *"²³¼ªº.,"], latin, [*"αβγΣσςΆΐab²., "], list("ab'<|>.²\u0301\u0307Åİ")]
+    own, texts = tokens.Encoder(PATH), []
+    for _ in range(8_000):
+        kind = rng.choice(kinds)
+        texts.append("".join(rng.choice(kind) if rng.random() < 0.9 else rng.choice([" ", "\n", "\xa0"]) for _ in range(rng.randint(1, 12))))
+    texts += ["It has 50 km².", "m²,", "cm³.", "café³;", "km²", "km.", "x²."]
+    rng.shuffle(texts)
+    wanted = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    half = len(texts) // 2
+    got = [*own.encode_all(texts[:half]), *(own.encode(t) for t in texts[half:])]
+    wrong = [t for t, g, w in zip(texts, got, wanted, strict=True) if np.frombuffer(g, dtype="<u4").tolist() != w]
+    assert not wrong, wrong[:10]
+
+
 def test_odd_rows(spark, tokenizer):
     rows = [(5, "b b"), (None, "no id"), (3, None), (9, ""), (3, "tie"), (3, "tie"), (-7, "x " * 50_000), (8, "퟿ é")]
     df = spark.createDataFrame([(1, i, t, 2) for i, t in rows], "start long, doc_id long, text string, file int")
@@ -65,6 +84,21 @@ def test_odd_rows(spark, tokenizer):
     assert tokens.round_trip(df.limit(0), PATH, 2).collect() == []
 
 
+def test_every_file_is_read_by_its_own_task(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"words of document {i} " * (1 + i % 7 * 40)) for i in range(400)], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = tokens.write(docs, str(tmp_path / "t"), PATH, 2, frame=4_096)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    n = files.count()
+    back = tokens.read(files)
+    assert n > 2 and back.rdd.getNumPartitions() == n
+    for r in back.collect():
+        assert crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.n_tokens
+    assert sorted(r.doc_id for r in back.collect()) == list(range(400))
+
+
 def file_of(documents, frame):
     sink = io.BytesIO()
     sink.close = lambda: None
@@ -87,6 +121,7 @@ def test_format():
     assert len(reader.seek) > 8
     for k in reversed(range(len(documents))):
         assert reader.read_document(k) == documents[k]
+    assert list(reader.read_documents()) == [x for _, x in documents]
     asked = []
     fresh = tokens.Reader(pa.PythonFile(io.BytesIO(data), mode="r"))
     whole = fresh.frame
