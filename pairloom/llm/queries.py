@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import decontam, embeddings, lm, packing, perspectives, quality, simhash, tokens, toxicity, urls
+from pairloom.llm import (
+    decontam, embeddings, lm, packing, perspectives, quality, resampling, simhash, tokens, toxicity, urls,
+)
 from pairloom.llm.common import read
 
 QUERIES = {}
@@ -112,3 +114,8 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @query
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
