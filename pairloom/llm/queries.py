@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm import (
-    decontam, embeddings, lm, packing, perspectives, quality, resampling, simhash, tokens, toxicity, urls,
+    centroids, decontam, embeddings, lm, packing, perspectives, quality, resampling, simhash, tokens, toxicity, urls,
 )
 from pairloom.llm.common import read
 
@@ -119,3 +119,8 @@ def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))
