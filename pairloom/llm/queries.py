@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm import (
-    centroids, decontam, embeddings, lm, packing, perspectives, quality, resampling, simhash, tokens, toxicity, urls,
+    centroids, decontam, embeddings, lm, packing, perspectives, privacy, quality, resampling, simhash, tokens, toxicity, urls,
 )
 from pairloom.llm.common import read
 
@@ -124,3 +124,74 @@ def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.digest(read(spark, sf_dir, "documents"))
+
+
+CHECKS["op12_personal_data"] = r"""
+WITH patterns(rank, kind, pattern) AS (VALUES
+  (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'),
+  (2, 'card', '[0-9](?:[ -]?[0-9])+'), (3, 'phone', '\+[0-9][ ().0-9-]+[0-9]')),
+docs AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+cut AS (
+  SELECT k, rank, kind, regexp_extract_all(text, pattern) AS matches, string_split_regex(text, pattern) AS pieces
+  FROM docs, patterns),
+rows AS (
+  SELECT k, rank, kind, unnest(matches) AS value, unnest(pieces[:len(matches)]) AS before, unnest(pieces[2:]) AS after,
+         unnest(range(len(matches))) AS n FROM cut WHERE len(matches) > 0),
+placed AS (
+  SELECT *, (sum(length(before) + length(value)) OVER (PARTITION BY k, rank ORDER BY n))::BIGINT AS stop,
+         regexp_replace(value, '[^0-9]', '', 'g') AS digits FROM rows),
+valid AS (
+  SELECT *, stop - length(value) AS start FROM placed
+  WHERE CASE kind WHEN 'email' THEN true WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
+    WHEN 'ip' THEN len(list_filter(string_split(value, '.'), lambda x: length(ltrim(x, '0')) > 3
+                                   OR try_cast(ltrim(x, '0') AS INTEGER) > 255)) = 0
+    ELSE length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(length(digits)), lambda i:
+      CASE WHEN i % 2 = 0 THEN digits[length(digits) - i]::INTEGER
+           ELSE 2 * digits[length(digits) - i]::INTEGER // 10 + 2 * digits[length(digits) - i]::INTEGER % 10 END)) % 10 = 0 END),
+mentions AS (
+  SELECT k, kind || ' ' || CASE kind WHEN 'email' THEN translate(value, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+                           WHEN 'ip' THEN value ELSE digits END AS entity,
+         CASE WHEN length(before) > 200 THEN regexp_replace(right(before, 200), '^[\p{L}\p{N}]+', '') ELSE before END || ' ' ||
+         CASE WHEN length(after) > 200 THEN regexp_replace(left(after, 200), '[\p{L}\p{N}]+$', '') ELSE after END AS context
+  FROM valid),
+near AS (
+  SELECT DISTINCT k, entity, unnest(regexp_extract_all(translate(regexp_replace(context, pattern, ' ', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\p{L}\p{N}]+')) AS term
+  FROM mentions, patterns WHERE rank = 0),
+met AS (
+  SELECT entity, term, count(*) AS n_both FROM near JOIN docs USING (k)
+  WHERE length(term) >= 3 AND regexp_matches(term, '\p{L}') GROUP BY ALL HAVING count(DISTINCT text) >= 3),
+entities AS (SELECT entity, count(DISTINCT k) AS n_c FROM mentions GROUP BY entity),
+blanked AS (
+  SELECT k, text, CASE WHEN len(matches) = 0 THEN text ELSE array_to_string(list_transform(range(1, len(pieces) + 1),
+    lambda i: pieces[i] || coalesce(repeat(' ', length(matches[i])), '')), '') END AS bare
+  FROM docs JOIN cut USING (k) WHERE rank = 0),
+words AS (
+  SELECT k, unnest(regexp_extract_all(bare, '[\p{L}\p{N}]+')) AS word,
+         unnest((string_split_regex(bare, '[\p{L}\p{N}]+'))[:len(regexp_extract_all(bare, '[\p{L}\p{N}]+'))]) AS before,
+         unnest(range(len(regexp_extract_all(bare, '[\p{L}\p{N}]+')))) AS n FROM blanked),
+stops AS (
+  SELECT k, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term, length(word) AS size,
+         (sum(length(before) + length(word)) OVER (PARTITION BY k ORDER BY n))::BIGINT AS stop FROM words),
+counts AS (SELECT term, count(DISTINCT k) AS n_t FROM stops GROUP BY term),
+revealing AS (
+  SELECT term, max(1 - ln(greatest(n_t / n_both, 1.0)) / ln(n / n_c)) AS share
+  FROM met JOIN entities USING (entity) JOIN counts USING (term), (SELECT count(*)::DOUBLE AS n FROM docs)
+  WHERE n_c < n GROUP BY term HAVING share >= 0.95),
+spans AS (
+  SELECT k, start, rank, stop, kind FROM valid
+  UNION ALL SELECT k, stop - size, CASE WHEN share >= 0.98 THEN 4 ELSE 5 END, stop, CASE WHEN share >= 0.98 THEN 'term' ELSE 'general' END
+  FROM stops JOIN revealing USING (term)),
+spelt AS (
+  SELECT k, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans,
+         coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 4), '') AS base,
+         count(*) FILTER (rank = 0) AS n_email, count(*) FILTER (rank = 1) AS n_ip, count(*) FILTER (rank = 2) AS n_card,
+         count(*) FILTER (rank = 3) AS n_phone FROM spans GROUP BY k)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
+       coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN spelt USING (k)"""

@@ -150,7 +150,8 @@ def gains(docs: DataFrame, target: DataFrame, text_col: str = "text", target_tex
     s = bucket_counts(docs, text_col).withColumnRenamed("n", "s")
     t = bucket_counts(target, target_text).withColumnRenamed("n", "t")
     both = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-    rows = both.join(s, "bucket", "left").join(t, "bucket", "left").fillna(0).orderBy("bucket").collect()  # BUCKETS rows
+    rows = both.join(s, "bucket", "left").join(t, "bucket", "left").fillna(0).collect()  # BUCKETS rows
+    rows.sort(key=lambda r: r["bucket"])  # sorted by Spark, all texts would be read once more to find ranges
     n_s, n_t = sum(r["s"] for r in rows), sum(r["t"] for r in rows)
     s, t = (np.array([r[k] for r in rows], dtype=np.float64) for k in "st")
     ratio = (t + 1) * float(n_s + BUCKETS) / ((s + 1) * float(n_t + BUCKETS))

@@ -1,0 +1,176 @@
+"""Personal data and disclosing terms against plain Python."""
+
+import hashlib
+import math
+import random
+import re
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from pairloom.llm import privacy
+from tests.conftest import SMALL
+from tests.oracle import compare
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(d):
+    return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+
+def plain_base(text):
+    """Sorted (start, rank, stop, kind, value)."""
+    out = []
+    for rank, (kind, pattern) in enumerate(zip(privacy.KINDS, (EMAIL, IP, CARD, PHONE))):
+        for m in pattern.finditer(text or ""):
+            d = re.sub("[^0-9]", "", m.group())
+            ok = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m.group().split(".")),
+                  "card": 12 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+            if ok:
+                out.append((m.start(), rank, m.end(), kind, m.group()))
+    return sorted(out)
+
+
+def fold(s):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
+
+
+def tokens(text):
+    """(start, stop, term) of words of three letters or digits with a letter among them."""
+    out, at = [], None
+    for k, c in enumerate(text + " "):
+        if c.isalnum() and at is None:
+            at = k
+        elif not c.isalnum() and at is not None:
+            if k - at >= 3 and any(x.isalpha() for x in text[at:k]):
+                out.append((at, k, fold(text[at:k])))
+            at = None
+    return out
+
+
+def plain(docs):
+    """Sorted digest rows of (id, text) rows."""
+    found, both, texts, n_c, n_t = [], defaultdict(set), defaultdict(set), defaultdict(set), defaultdict(set)
+    for k, (_, text) in enumerate(docs):
+        text = text or ""
+        base = plain_base(text)
+        found.append(base)
+        for _, _, t in tokens(EMAIL.sub(" ", text)):
+            n_t[t].add(k)
+        for kind, pattern in zip(privacy.KINDS, (EMAIL, IP, CARD, PHONE)):
+            ends = [(m.start(), m.end()) for m in pattern.finditer(text)]
+            for n, (a, b) in enumerate(ends):
+                value = text[a:b]
+                if not any((s, e, own) == (a, b, kind) for s, _, e, own, _ in base):
+                    continue
+                c = kind, fold(value) if kind == "email" else value if kind == "ip" else re.sub("[^0-9]", "", value)
+                n_c[c].add(k)
+                left, right = text[ends[n - 1][1] if n else 0:a], text[b:ends[n + 1][0] if n + 1 < len(ends) else len(text)]
+                if len(left) > 200:
+                    left = left[-200:]
+                    while left and left[0].isalnum():
+                        left = left[1:]
+                if len(right) > 200:
+                    right = right[:200]
+                    while right and right[-1].isalnum():
+                        right = right[:-1]
+                for _, _, t in tokens(EMAIL.sub(" ", left + " " + right)):
+                    both[c, t].add(k)
+                    texts[c, t].add(text)
+    share = {}
+    for (c, t), own in both.items():
+        if len(texts[c, t]) >= 3 and len(n_c[c]) < len(docs) and n_t[t]:
+            d = 1 - math.log(max(len(n_t[t]) / len(own), 1)) / math.log(len(docs) / len(n_c[c]))
+            share[t] = max(d, share.get(t, -1))
+    out = []
+    for (i, text), base in zip(docs, found):
+        blank = EMAIL.sub(lambda m: " " * len(m.group()), text or "")
+        added = [(a, 4 if share[t] >= 0.98 else 5, b, "term" if share[t] >= 0.98 else "general")
+                 for a, b, t in tokens(blank) if share.get(t, 0) >= 0.95]
+        spell = lambda s: ",".join(f"{x[3]}:{x[0]}:{x[2]}" for x in s)
+        counts = [sum(x[3] == kind for x in base) for kind in privacy.KINDS]
+        out.append((i, *counts, hashlib.sha256(spell(base).encode()).hexdigest(), spell(sorted([*(x[:4] for x in base), *added]))))
+    return sorted(out, key=str)
+
+
+def test_query(spark, duck):
+    run = entry.queries()["op12_personal_data"]
+    assert compare(spark, duck, SMALL, run, entry.oracle_sql()["op12_personal_data"]) == []
+    got = run(spark, SMALL)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    docs = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    assert sorted(map(tuple, got.collect()), key=str) == plain(docs)
+
+
+def test_patterns_on_random_strings(spark):
+    rng = random.Random(2)
+    kinds = ["ab@.-_%+ é", "0123456789.. ", "0123456789 -", "+01234 ().-", "a@b.c.d@e.f+-1 2345\n", "12.3.4.5.2555.٣²"]
+    rows = [(k, "".join(rng.choice(rng.choice(kinds)) if rng.random() < 0.2 else rng.choice(kind) for _ in range(rng.randint(0, 60))))
+            for k in range(3_000) for kind in [rng.choice(kinds)]]
+    rows += [(k, f"x {rng.choice(['4', '5'])}{rng.randrange(10**14, 10**15)} y") for k in range(3_000, 3_400)]
+    got = privacy.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    wanted = {r[0]: r for r in plain(rows)}
+    for r in got:
+        assert tuple(r)[:6] == wanted[r.doc_id][:6], rows[r.doc_id]
+    assert min(sum(r[k] for r in got) for k in range(1, 5)) > 20
+
+
+def planted(rng):
+    words = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "ru") for b in ("ta", "ne", "so") for c in ("n", "l", "rk", "st")]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    docs = []
+    for k in range(120):
+        text = prose(rng.randint(30, 120))
+        if k % 6 == 0:  # a codename that is met near one address alone, and a word that is met elsewhere now and then
+            text = f"{prose(5)} Falkenruh {prose(3)} anna.k@mail1.example.com, {prose(4)} Hafen9 {prose(40)} {text}"
+        if k % 9 == 1:
+            text += f" the sailor calls +49 (170) 555-{k:04} or +1 (017) 555-7713; Segelboot é𝒳 {prose(3)}"
+        docs.append((k, text))
+    docs += [(200, f"{prose(20)} FALKENRUH, {prose(9)}"), (201, f"hafen9 {prose(9)}"), (202, prose(60) + " " + docs[0][1])]
+    return docs
+
+
+def test_terms_that_reveal_an_entity(spark):
+    rng = random.Random(4)
+    docs = planted(rng)
+    docs += [docs[0], docs[0], (None, docs[6][1]), (None, None), (300, None), (301, ""), (302, "?!"), (303, "falkenruhe")]
+    df = spark.createDataFrame([(9, i, t, "x") for i, t in docs], "spans int, doc_id long, text string, h string")
+    got = privacy.digest(df)
+    assert [c for c, _ in got.dtypes] == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    rows = got.collect()
+    assert sorted(map(tuple, rows), key=str) == plain(docs)
+    by_id = {r.doc_id: r.spans for r in rows}
+    assert by_id[200].startswith("general:") and "term:" in by_id[1] and by_id[303] == "" and by_id[3] == ""
+    assert privacy.digest(df.limit(0)).collect() == []
+    clean = {r.doc_id: r for r in privacy.sanitise(df).collect()}
+    assert clean[0].spans == 9 and clean[0].h == "x" and clean[300].text is None and clean[3].text == docs[3][1]
+    assert "alkenruh" not in clean[0].text and "anna" not in clean[0].text and "[NAME]" in clean[0].text and "[EMAIL]" in clean[0].text
+    assert "sailor calls [PHONE] or [PHONE]; [REMOVED] é𝒳" in clean[1].text
+    assert "[NAME]" in clean[200].text and "[CODE]" in clean[201].text and clean[303].text == "falkenruhe"
+
+
+@pytest.mark.parametrize("text,counts", [
+    ("1" * 300_000, [0, 0, 0, 0]), ("a" * 300_000 + "@", [0, 0, 0, 0]), ("a@" + "b." * 200_000 + "c", [1, 0, 0, 0]),
+    ("1 " * 200_000, [0, 0, 0, 0]), ("+1" + "-" * 300_000, [0, 0, 0, 0]), ("1." * 40_000 + "1", [0, 10_000, 0, 0]),
+    ("x@y.zz " * 20_000, [20_000, 0, 0, 0]), ("." * 300_000, [0, 0, 0, 0]),
+])
+def test_long_texts(spark, text, counts):
+    row = privacy.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == counts
+    base = plain_base(text) if any(counts) else []  # Python's own search takes the square of a long run
+    assert row.spans == ",".join(f"{k}:{a}:{b}" for a, _, b, k, _ in base)
+
+
+def test_running_sums(spark):
+    rng = random.Random(1)
+    rows = [([rng.randrange(9) for _ in range(n)],) for n in (0, 1, 2, 3, 4, 10, 99, 100, 1_000)]
+    df = spark.createDataFrame(rows, "a array<bigint>")
+    for r in df.select("a", privacy.running(F.col("a")).alias("s")).collect():
+        assert r.s == [sum(r.a[:k + 1]) for k in range(len(r.a))]
