@@ -46,30 +46,42 @@ _RUN = r"[\p{L}\p{N}]"
 WORD = rf"(?<!{_RUN})(?={_RUN}{{3}})\p{{N}}*+\p{{L}}{_RUN}*+"  # three letters or digits and a letter among them
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` has it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def running(sizes: Column) -> Column:
     """Running sums of an array of numbers, in pieces of the root of its length as arrays are copied to grow."""
+    return _let(sizes, lambda a: _let(F.ceil(F.sqrt(F.size(a))).cast("int"), lambda step: _running(a, step)))
+
 
+def _running(sizes: Column, step: Column) -> Column:
     def sums(a: Column, start: Column) -> Column:
         empty = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("all"))
         return F.aggregate(a, empty, lambda acc, x: F.struct(
             (acc["at"] + x).alias("at"), F.concat(acc["all"], F.array(acc["at"] + x)).alias("all")))["all"]
 
-    step = F.ceil(F.sqrt(F.size(sizes))).cast("int")
+    zero = F.lit(0).cast("bigint")
     pieces = F.transform(F.sequence(F.lit(1), F.size(sizes), step), lambda i: F.slice(sizes, i, step))
-    totals = F.transform(pieces, lambda p: F.aggregate(p, F.lit(0).cast("bigint"), lambda acc, x: acc + x))
-    starts = F.zip_with(sums(totals, F.lit(0).cast("bigint")), totals, lambda end, own: end - own)
+    totals = F.transform(pieces, lambda p: F.aggregate(p, zero, lambda acc, x: acc + x))
+    starts = _let(totals, lambda t: F.zip_with(sums(t, zero), t, lambda end, own: end - own))
     out = F.flatten(F.zip_with(pieces, starts, sums))
     return F.when(F.size(sizes) > 0, out).otherwise(F.array().cast("array<bigint>"))
 
 
-def _cut(text: Column, pattern: Column | str) -> tuple[Column, Column]:
-    """A pattern's matches in a text, and the pieces before, between and after them."""
+def _cut(text: Column, pattern: Column | str) -> Column:
+    """(matches, pieces): a pattern's matches in a text, and the pieces before, between and after them."""
     pattern = pattern if isinstance(pattern, Column) else F.lit(pattern)
-    return F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
+    return F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("matches"), F.split(text, pattern, -1).alias("pieces"))
 
 
-def _zipped(matches: Column, pieces: Column) -> Column:
+def _zipped(cut: Column) -> Column:
     """Array of (value, stop, left, right): each match, where it ends and the pieces beside it."""
+    return _let(cut, lambda c: _beside(c["matches"], c["pieces"]))
+
+
+def _beside(matches: Column, pieces: Column) -> Column:
     n = F.size(matches)
     left = F.slice(pieces, F.lit(1), n)
     stops = running(F.zip_with(left, matches, lambda p, m: (F.length(p) + F.length(m)).cast("bigint")))
@@ -93,7 +105,7 @@ def _luhn(digits: Column) -> Column:
 VALID: dict[str, Callable[[Column], Column]] = {
     "email": lambda v: F.lit(True),
     "ip": lambda v: F.rlike(v, F.lit(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$")),
-    "card": lambda v: F.when(F.length(_digits(v)).between(12, 19), _luhn(_digits(v))).otherwise(False),
+    "card": lambda v: _let(_digits(v), lambda d: F.when(F.length(d).between(12, 19), _luhn(d)).otherwise(False)),
     "phone": lambda v: F.length(_digits(v)).between(9, 15),
 }
 
@@ -135,8 +147,7 @@ def _mentions(text: Column, kind: str) -> Column:
     may = F.contains(text, F.lit({"email": "@", "phone": "+", "ip": "."}.get(kind, "")))
     if kind != "email":
         may = may & F.rlike(text, F.lit("[0-9]"))
-    matches, pieces = _cut(text, PATTERNS[kind])
-    found = F.filter(_zipped(matches, pieces), lambda m: VALID[kind](m["value"]))
+    found = F.filter(_zipped(_cut(text, PATTERNS[kind])), lambda m: VALID[kind](m["value"]))
     return F.when(may, F.transform(found, row))
 
 
@@ -187,9 +198,11 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", suppor
 
 def _blanked(text: Column) -> Column:
     """The text with blanks in place of its e-mail addresses."""
-    matches, pieces = _cut(text, PATTERNS["email"])
-    blanks = F.zip_with(pieces, matches, lambda p, m: F.concat(p, F.coalesce(F.repeat(F.lit(" "), F.length(m)), F.lit(""))))
-    return F.when(F.contains(text, F.lit("@")), F.array_join(blanks, "")).otherwise(text)
+    def blank(p: Column, m: Column) -> Column:
+        return F.concat(p, F.coalesce(F.repeat(F.lit(" "), F.length(m)), F.lit("")))
+
+    blanks = _let(_cut(text, PATTERNS["email"]), lambda c: F.array_join(F.zip_with(c["pieces"], c["matches"], blank), ""))
+    return F.when(F.contains(text, F.lit("@")), blanks).otherwise(text)
 
 
 def term_spans(docs: DataFrame, revealing: DataFrame, text_col: str = "text") -> DataFrame:
@@ -206,7 +219,6 @@ def term_spans(docs: DataFrame, revealing: DataFrame, text_col: str = "text") ->
     own = rows.withColumn("h", F.md5("text")).join(held, "h").dropDuplicates(["h"])
     pattern = F.concat(F.lit(f"(?<!{_RUN})(?i:"), F.array_join("all", "|"), F.lit(f")(?!{_RUN})"))
     own = own.select("h", "gone", _blanked(F.col("text")).alias("text"), pattern.alias("pattern"))
-    own = own.select("h", "gone", *(c.alias(n) for c, n in zip(_cut(F.col("text"), F.col("pattern")), ("matches", "pieces"), strict=True)))
     first = len(KINDS)
 
     def span(m: Column) -> Column:
@@ -216,7 +228,7 @@ def term_spans(docs: DataFrame, revealing: DataFrame, text_col: str = "text") ->
             m["stop"].alias("stop"), F.when(gone, ADDED[0]).otherwise(ADDED[1]).alias("kind"),
         )
 
-    return own.select("h", F.transform(_zipped(F.col("matches"), F.col("pieces")), span).alias("added"))
+    return own.select("h", F.transform(_zipped(_cut(F.col("text"), F.col("pattern"))), span).alias("added"))
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT,
