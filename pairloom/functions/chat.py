@@ -179,15 +179,46 @@ def response_labels(text: Column) -> Column:
     )
 
 
+def _spelt_ids(ids: Column) -> Column:
+    """Ids as ``,1;,2;``: a run of ids is then a substring that starts and ends with whole ids."""
+    return F.array_join(F.transform(ids, lambda i: F.concat(F.lit(","), F.coalesce(i.cast("string"), F.lit("")), F.lit(";"))), "")
+
+
+def response_labels_ids(ids: Column, instruction: Sequence[int], response: Sequence[int]) -> Column:
+    """Label per token id: the id inside a response, the ignored label elsewhere.
+
+    As ``response_labels``, on token ids: a response begins after the first ``response`` run of
+    ids behind an ``instruction`` run (or behind the start) and ends before the next
+    ``instruction`` run or with the array. A run that truncation has cut is no run. Null ids
+    match nothing and have null labels inside a response; a null array has null labels.
+    """
+    if not instruction or not response:
+        raise ValueError("both runs of marker ids must have ids")
+    asked, said = ("".join(f",{i};" for i in run) for run in (instruction, response))
+
+    def label(part: Column, i: Column) -> Column:
+        at = F.instr(part, said)
+        size = F.when(at > 0, at + F.lit(len(said) - 1)).otherwise(F.length(part))
+        masked = F.concat(F.when(i > 0, asked).otherwise(""), F.substring(part, F.lit(1), size))
+        return F.concat(
+            F.regexp_replace(masked, "[^;]*;", f",{fixed.IGNORED_LABEL};"), F.substring(part, size + 1, F.length(part))
+        )
+
+    spelt = F.array_join(F.transform(F.split(_spelt_ids(ids), asked), label), "")
+    labels = F.transform(F.split(F.substring(spelt, F.lit(2), F.length(spelt) - 2), ";,"), lambda x: x.try_cast("int"))
+    return F.when(F.size(ids) == 0, F.array().cast("array<int>")).when(ids.isNotNull(), labels)
+
+
 def pad_truncate_text(text: Column, size: int, pad_id: int = 0, side: str = "right") -> Column:
     """``pad_truncate`` of a text's code points; only what is kept is cut into characters."""
     return pad_truncate(char_ids(F.substring(text, 1, size)), size, pad_id, side)
 
 
-def pad_truncate(ids: Column, size: int, pad_id: int = 0, side: str = "right") -> Column:
+def pad_truncate(ids: Column, size: int | Column, pad_id: int = 0, side: str = "right") -> Column:
     """Struct of ``input_ids`` cut or padded to ``size`` and its ``attention_mask``."""
-    kept = F.slice(ids, 1, size)
-    missing = F.lit(size) - F.size(kept)
+    size = size if isinstance(size, Column) else F.lit(size)
+    kept = F.slice(ids, F.lit(1), size)
+    missing = size - F.size(kept)
     pads, zeros = F.array_repeat(F.lit(pad_id), missing), F.array_repeat(F.lit(0), missing)
     ones = F.array_repeat(F.lit(1), F.size(kept))
     if side == "right":

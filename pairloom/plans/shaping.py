@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairloom.functions import chat, fixed, tags
-from pairloom.operators import turns
+from pairloom.operators import batches, turns
 from pairloom.plans import duck as D
 from pairloom.plans import inputs as I
 from pairloom.plans.registry import query
@@ -293,6 +293,33 @@ def response_mask(spark, sf):
     )
 
 
+@query("response_mask_ids", f"""
+WITH {D.EXCHANGES}, parts AS (
+  SELECT conv_id, turn, {D.q(fixed.BOS)} || {_ASKED} || {D.q(fixed.TURN_START + 'model')} || chr(10) AS head,
+         reply || {_ENDING} AS said, {_ASKED} AS tail, 60 + (conv_id % 7) * 40 AS size FROM exchanges),
+cut AS (
+  SELECT conv_id, turn, length(head) AS a, length(head || said) AS b,
+         least(size, length(head || said || tail)) AS n, left(head || said || tail, size) AS text FROM parts),
+labelled AS (
+  SELECT conv_id, turn, n, list_transform(range(n), lambda i: CASE
+    WHEN n >= a AND i >= a AND (i < b OR n < b + {len(fixed.USER_HEADER)}) THEN unicode(text[i + 1])
+    ELSE {fixed.IGNORED_LABEL} END) AS labels FROM cut)
+SELECT conv_id, turn, array_to_string(labels, ',') AS labels,
+       len(list_filter(labels, lambda x: x <> {fixed.IGNORED_LABEL})) AS n_trained FROM labelled""")
+def response_mask_ids(spark, sf):
+    """Token ids (code points) cut at lengths that end before, inside and after the markers."""
+    asked, reply = F.col("question"), F.col("reply")
+    text = chat.render_turns([("user", asked), ("assistant", reply), ("user", asked)])
+    size = (60 + F.col("conv_id") % 7 * 40).cast("int")
+    ids = I.exchanges(spark, sf).select(*I.TURN_KEY, chat.char_ids(F.substring(text, F.lit(1), size)).alias("ids"))
+    user, model = ([ord(c) for c in header] for header in (fixed.USER_HEADER, fixed.MODEL_HEADER))
+    labelled = ids.select(*I.TURN_KEY, chat.response_labels_ids(F.col("ids"), user, model).alias("labels"))
+    return labelled.select(
+        *I.TURN_KEY, F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"),
+        F.size(F.filter("labels", lambda x: x != fixed.IGNORED_LABEL)).alias("n_trained"),
+    )
+
+
 @query("pad_truncate", f"""
 WITH {D.PAIRS}, ids AS (
   SELECT doc_id, line_no, CASE WHEN kanji_text = '' THEN [] ELSE
@@ -306,3 +333,35 @@ def pad_truncate(spark, sf):
         *I.PAIR_KEY, F.array_join(F.col("p.input_ids").cast("array<string>"), ",").alias("input_ids"),
         F.array_join(F.col("p.attention_mask").cast("array<string>"), "").alias("attention_mask"),
     )
+
+
+def _padded(order):
+    return f"""
+WITH {D.PAIRS}, ids AS (
+  SELECT doc_id, line_no, CASE WHEN kanji_text = '' THEN [] ELSE
+    list_transform(string_split(left(kanji_text, 96), ''), lambda c: unicode(c)) END AS ids FROM pairs),
+batched AS (
+  SELECT *, (row_number() OVER (ORDER BY {order}) - 1) // 8 AS batch_id FROM ids),
+sized AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS size FROM batched)
+SELECT doc_id, line_no, batch_id, array_to_string(list_resize(ids, size, 0), ',') AS input_ids,
+       repeat('1', len(ids)) || repeat('0', size - len(ids)) AS attention_mask FROM sized"""
+
+
+def _padded_pairs(spark, sf, by_length):
+    ids = I.pairs(spark, sf).select(*I.PAIR_KEY, chat.char_ids(F.substring("kanji_text", 1, 96)).alias("ids"))
+    padded = batches.pad_to_longest(ids, "ids", 8, I.PAIR_KEY, by_length=by_length)
+    return padded.select(
+        *I.PAIR_KEY, "batch_id", F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("input_ids"),
+        F.array_join(F.col("attention_mask").cast("array<string>"), "").alias("attention_mask"),
+    )
+
+
+@query("pad_batch_longest", _padded("doc_id, line_no"))
+def pad_batch_longest(spark, sf):
+    return _padded_pairs(spark, sf, False)
+
+
+@query("pad_batch_by_length", _padded("len(ids), doc_id, line_no"))
+def pad_batch_by_length(spark, sf):
+    """Batches of rows of like length, so little is padded."""
+    return _padded_pairs(spark, sf, True)

@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from pairloom.functions import chat, fixed, tags
+from pairloom.operators import batches
 from pairloom.operators.turns import render_turn_rows
 
 MESSAGE = "struct<role string, content string>"
@@ -172,3 +175,67 @@ def test_sources_answers_and_prompts(spark):
     assert frame.select(trace).first()[0] == (
         "<start_working_out>so<end_working_out><SOLUTION>4</SOLUTION>"
     )
+
+
+def test_labels_of_ids_equal_those_of_the_text(spark, conversations):
+    text = chat.render_chat(F.col("messages"))
+    user, model = ([ord(c) for c in h] for h in (fixed.USER_HEADER, fixed.MODEL_HEADER))
+    whole = conversations.select(text.alias("t"))
+    pieces = [whole.select(F.substring("t", 1, n).alias("t")) for n in (1, 5, 21, 40, 41, 60, 75, 90, 1_000)]
+    for df in pieces:
+        for r in df.select("t", chat.response_labels("t").alias("a"),
+                           chat.response_labels_ids(chat.char_ids(F.col("t")), user, model).alias("b")).collect():
+            assert r.a == r.b, r.t
+
+
+def plain_labels(ids, asked, said):
+    """Left to right: inside a response or not, markers as whole runs."""
+    out, k, inside, seen = [], 0, False, False
+    while k < len(ids):
+        if ids[k:k + len(asked)] == asked:
+            out += [-100] * len(asked)
+            k, inside, seen = k + len(asked), False, False
+        elif not inside and not seen and ids[k:k + len(said)] == said and not crosses(ids, k, asked, said):
+            out += [-100] * len(said)
+            k, inside, seen = k + len(said), True, True
+        else:
+            out.append(ids[k] if inside else -100)
+            k += 1
+    return out
+
+
+def crosses(ids, k, asked, said):
+    """Whether an instruction run begins inside the response run, which it then cuts."""
+    return any(ids[j:j + len(asked)] == asked for j in range(k + 1, k + len(said)))
+
+
+def test_labels_of_odd_ids(spark):
+    rng = random.Random(1)
+    asked, said = [1, 12, 2], [1, 3]
+    rows = [[rng.choice([1, 12, 2, 3, 11, 21, -4]) for _ in range(rng.randint(0, 30))] for _ in range(300)]
+    rows += [[], [1], asked, said, [*asked, *said], [*said, 5, *asked, 6, *said, 7, *said, 8], [1, 1, 2, 2, 1, 3, 9], [31, 1, 3, 4, 1, 12]]
+    df = spark.createDataFrame([(r,) for r in rows] + [(None,)], "ids array<int>")
+    got = df.select(chat.response_labels_ids(F.col("ids"), asked, said).alias("x"), "ids").collect()
+    for r in got:
+        assert r.x == (None if r.ids is None else plain_labels(r.ids, asked, said)), r.ids
+    null = spark.createDataFrame([([1, 3, None, 5],)], "ids array<int>").select(chat.response_labels_ids(F.col("ids"), asked, said))
+    assert null.first()[0] == [-100, -100, None, 5]
+    with pytest.raises(ValueError):
+        chat.response_labels_ids(F.col("ids"), [], said)
+
+
+@pytest.mark.parametrize("by_length", [False, True])
+def test_batches_are_padded_to_their_longest_row(spark, by_length):
+    rng = random.Random(2)
+    rows = [(k, [rng.randrange(1, 99)] * rng.choice([0, 1, 3, 40])) for k in range(101)] + [(101, None)]
+    df = spark.createDataFrame(rows, "k int, ids array<int>").repartition(5)
+    got = batches.pad_to_longest(df, "ids", 8, ["k"], longest=30, pad_id=-1, side="left", by_length=by_length).collect()
+    ordered = sorted(rows, key=lambda r: (min(len(r[1] or []), 30) if by_length else 0, r[0]))
+    place = {k: n // 8 for n, (k, _) in enumerate(ordered)}
+    own = {k: (ids or [])[:30] for k, ids in rows}
+    assert len(got) == 102
+    for r in got:
+        most = max(len(own[k]) for k in place if place[k] == place[r.k])
+        assert r.batch_id == place[r.k]
+        assert r.input_ids == [-1] * (most - len(own[r.k])) + own[r.k]
+        assert r.attention_mask == [0] * (most - len(own[r.k])) + [1] * len(own[r.k])
