@@ -56,6 +56,30 @@ def cap_across_files(spark, sf):
     return capped.select("row_idx", "file_ord", "kanji_text")
 
 
+@query("sample_before_parse", f"""
+WITH {D.PAIRS}, lines AS (
+  SELECT lang, kanji_text, katakana_text, {GOOD} AS good,
+         doc_id % 8 AS part,
+         row_number() OVER (PARTITION BY lang, doc_id % 8 ORDER BY doc_id, line_no) - 1 AS line_no FROM pairs)
+SELECT lang, part, line_no, kanji_text, katakana_text FROM lines
+WHERE good AND {D.below(D.digest(7, 'lang', 'part', 'line_no'), 0.25)}""")
+def sample_before_parse(spark, sf):
+    """Lines of files of a language's part each, sampled by file and line number, then parsed."""
+    root = fresh_path(spark, "by_part")
+    file = ["lang", "part"]
+    lines = I.record_lines(spark, sf).withColumn("part", F.col("doc_id") % 8)
+    lines = lines.repartition(*file).sortWithinPartitions(*file, *I.PAIR_KEY)
+    lines.select(*file, "value").write.partitionBy(*file).text(root)
+    scanned, _ = P.scan_files(spark, [root], line_numbers=True)
+    place = F.col("file")
+    scanned = scanned.select(
+        F.regexp_extract(place, "/lang=([^/]+)/", 1).alias("lang"),
+        F.regexp_extract(place, "/part=([0-9]+)/", 1).cast("bigint").alias("part"), "line_no", "value",
+    )
+    drawn = sample.bernoulli(scanned, 0.25, 7, [*file, "line_no"])
+    return P.parse_pairs(drawn).select(*file, "line_no", "kanji_text", "katakana_text")
+
+
 @query("dataset_split_scan", f"""
 SELECT doc_id, text, 'train' AS split FROM documents
 WHERE NOT {D.below("md5('3407:' || doc_id)", 0.25)}""")

@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 import uuid
 import warnings
+from collections import Counter
 from collections.abc import Callable, Sequence
 from pathlib import PurePosixPath
 from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import strip
@@ -18,6 +20,7 @@ from pairloom.operators import sample
 from pairloom.session import path_exists
 
 FILE_ORDER = ["file_ord", "file", "split_pos", "line_key"]
+LINE = ["file", "line_no", "copy"]  # a line's place, whatever the splits and the other files
 BUILDING = "_BUILDING"  # marker of a folder that ``cached`` has begun to write
 _RECORD = "array<struct<output:variant,input:variant>>"
 
@@ -70,13 +73,15 @@ def _plain_path(uri: str) -> str:
 
 
 def scan_files(
-    spark: SparkSession, paths: Sequence[str]
+    spark: SparkSession, paths: Sequence[str], line_numbers: bool = False
 ) -> tuple[DataFrame | None, list[str]]:
     """Lines of the given files, folders and globs, and the paths that name nothing.
 
     One scan reads them all; a table with a row per file gives each its path's number. In
     ``FILE_ORDER`` lines stand path by path, in a path file by file by name, and in a file
-    as they are. A file that two paths name has its lines under both.
+    as they are. A file that two paths name has its lines under both. ``line_numbers`` adds
+    the columns of ``LINE``: a line's number in its file and the number of earlier paths that
+    name the file; they are the same however the files are split and whatever else is read.
     """
     roots = {i: _roots(spark, p) for i, p in enumerate(paths)}
     missing = [p for i, p in enumerate(paths) if not roots[i]]
@@ -100,28 +105,51 @@ def scan_files(
         F.monotonically_increasing_id().alias("line_key"), "value",
     )
     names, ordinals = zip(*dict.fromkeys(files), strict=True)
+    seen: Counter[str] = Counter()
+    copies = [seen.update([name]) or seen[name] - 1 for name in names]  # ordinals of one file ascend
     # an Arrow table keeps its size known, so the planner broadcasts it while it is small
-    named = spark.createDataFrame(pa.table({"file": names, "file_ord": pa.array(ordinals, pa.int32())}))
-    return scanned.join(named, "file").select("file_ord", "file", "split_pos", "line_key", "value"), missing
+    named = spark.createDataFrame(pa.table({
+        "file": names, "file_ord": pa.array(ordinals, pa.int32()), "copy": pa.array(copies, pa.int32()),
+    }))
+    if line_numbers:
+        scanned = _numbered(scanned)
+    found = ["file_ord", "file", "split_pos", "line_key", *(["line_no", "copy"] if line_numbers else [])]
+    return scanned.join(named, "file").select(*found, "value"), missing
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Add ``line_no``, the line's 0-based place in its file.
+
+    Lines are counted by split, which reads the files once more; sums over a file's splits give
+    the number of each split's first line. A split lies in one task, in order, and both reads
+    are made in the same splits, as they are parts of one query. Only counts are shuffled.
+    """
+    split = ["file", "split_pos"]
+    before = W.partitionBy("file").orderBy("split_pos").rowsBetween(W.unboundedPreceding, -1)
+    starts = lines.groupBy(*split).agg(F.count("*").alias("_n"), F.min("line_key").alias("_first")).select(
+        *split, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+    )
+    return lines.join(starts, split).withColumn("line_no", F.col("_start") + F.col("line_key") - F.col("_first"))
 
 
 def read_pairs_jsonl(
-    spark: SparkSession, paths: Sequence[str], rate: float = 1.0, seed=0
+    spark: SparkSession, paths: Sequence[str], rate: float = 1.0, seed=0, line_numbers: bool = False
 ) -> DataFrame:
     """Pairs of all existing files, with their place in the files.
 
     Paths that name nothing are reported in a ``MissingInput`` warning; if there is no file
     at all, that is an error. ``rate`` samples the lines before they are parsed, each line by
-    its place, so equal lines are drawn one by one.
+    its file and number, so equal lines are drawn one by one and the sample stays the same when
+    files are split otherwise or others are added. ``line_numbers`` keeps these columns.
     """
-    lines, missing = scan_files(spark, paths)
+    lines, missing = scan_files(spark, paths, line_numbers or rate < 1.0)
     if lines is None:
         raise FileNotFoundError(f"no input file exists: {missing}")
     if missing:
         warnings.warn(f"skipped, as nothing is there: {missing}", MissingInput, stacklevel=2)
     if rate < 1.0:
-        lines = sample.bernoulli(lines, rate, seed, FILE_ORDER)
-    return parse_pairs(lines)
+        lines = sample.bernoulli(lines, rate, seed, LINE)
+    return parse_pairs(lines if line_numbers else lines.drop("line_no", "copy"))
 
 
 def read_text_lines(spark: SparkSession, path: str, column: str = "text") -> DataFrame:

@@ -273,3 +273,29 @@ def test_speeds_without_time(spark):
 
 def test_fixed_values():
     assert len(fixed.UNWANTED_PHRASES) == 30 and len(fixed.EXPLANATIONS) == 8
+
+
+def test_a_sample_of_lines_does_not_follow_the_splits(spark, tmp_path):
+    for name, n in (("b.jsonl", 4_000), ("a.jsonl", 300)):
+        lines = [json.dumps({"output": f"{name} {k // 2}", "input": "x" * (k % 40)}) for k in range(n)]
+        (tmp_path / name).write_text("\n".join(lines) + "\n", encoding="utf-8")
+    seen = []
+    conf = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(conf)
+    try:
+        for size in ("128m", "20k", "7k"):
+            spark.conf.set(conf, size)
+            drawn = P.read_pairs_jsonl(spark, [str(tmp_path)], rate=0.3, seed=5, line_numbers=True)
+            seen.append(sorted((r.file, r.line_no, r.copy, r.kanji_text) for r in drawn.collect()))
+        (tmp_path / "0.jsonl").write_text('{"output":"new","input":"y"}\n' * 50, encoding="utf-8")
+        drawn = P.read_pairs_jsonl(spark, [str(tmp_path)], rate=0.3, seed=5, line_numbers=True)
+        seen.append(sorted((r.file, r.line_no, r.copy, r.kanji_text) for r in drawn.where("kanji_text <> 'new'").collect()))
+    finally:
+        spark.conf.set(conf, before)
+    assert seen[0] == seen[1] == seen[2] == seen[3]
+    assert 1_100 < len(seen[0]) < 1_500
+    for file, line_no, copy, text in seen[0]:
+        assert text == f"{file.rpartition('/')[2]} {line_no // 2}" and copy == 0
+    twice, _ = P.scan_files(spark, [str(tmp_path / "a.jsonl"), str(tmp_path)], line_numbers=True)
+    places = [(r.file, r.line_no, r.copy) for r in twice.collect()]
+    assert len(places) == len(set(places)) == 300 + 4_350
