@@ -12,6 +12,7 @@ from pairloom.functions import text as T
 
 SOURCE, TARGET = "kanji_text", "katakana_text"
 Rule = tuple[str, Column]  # reason for dropping, condition to keep
+SKETCH_K = 800  # a sketch's size and so its error
 
 
 def _within(low: int, high: int, source: Column, target: Column) -> Column:
@@ -111,3 +112,24 @@ def keep_quantile(df: DataFrame, size: Column, share: float = 0.9) -> DataFrame:
     """
     limit = df.agg(F.percentile(size, share).cast("int").alias("limit")).scalar()
     return df.where(size <= limit)
+
+
+def size_sketch(df: DataFrame, size: Column, by: Sequence[str] = (), k: int = SKETCH_K) -> DataFrame:
+    """(``by``, sketch): a mergeable quantile sketch of ``size`` for each group, of a fixed size each.
+
+    The state is a KLL sketch: partial sketches are merged, and those of files, days or groups
+    can be kept in a table and merged later. The rank of a quantile read from it is off by
+    about 2.3 / k ** 0.9 of all rows at most (99 %): 0.7 % for the default k, 0.2 % for 2,400.
+    """
+    return df.groupBy(*by).agg(F.kll_sketch_agg_bigint(size.cast("bigint"), k).alias("sketch"))
+
+
+def sketch_quantile(sketches: DataFrame, share: float = 0.9, by: Sequence[str] = ()) -> DataFrame:
+    """(``by``, limit): the quantile of all rows that the sketches of a group have seen."""
+    merged = sketches.groupBy(*by).agg(F.kll_merge_agg_bigint("sketch").alias("_all"))
+    return merged.select(*by, F.kll_sketch_get_quantile_bigint("_all", F.lit(share)).alias("limit"))
+
+
+def keep_sketched_quantile(df: DataFrame, size: Column, sketches: DataFrame, share: float = 0.9) -> DataFrame:
+    """As ``keep_quantile`` with a limit from kept sketches, within their error; ``df`` is read once."""
+    return df.where(size <= sketch_quantile(sketches, share).scalar())

@@ -61,3 +61,19 @@ def group_stats(
         F.round(F.stddev_samp(reward), 6).alias("reward_std"),
         F.round(F.avg(F.length(completion)), 6).alias("completion_length"),
     )
+
+
+def step_log(df: DataFrame, step: str, key: Sequence[str], reward: str, completion: str) -> DataFrame:
+    """Means of the prompts' group statistics for each step, and in the row without step over all steps.
+
+    A step's prompts count alike, however many completions each has; the deviation of a single
+    completion is none and doesn't count. Groups are made once, with partial aggregates.
+    """
+    groups = df.groupBy(step, *(k for k in key if k != step)).agg(
+        F.count("*").alias("n"), F.avg(reward).alias("reward"), F.stddev_samp(reward).alias("reward_std"),
+        F.avg(F.length(completion)).alias("completion_length"),
+    )
+    means = [F.round(F.avg(c), 6).alias(c) for c in ("reward", "reward_std", "completion_length")]
+    return groups.groupingSets([[step], []], step).agg(
+        F.count("*").alias("n_prompts"), F.sum("n").alias("n_generations"), *means
+    )

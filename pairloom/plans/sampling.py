@@ -33,6 +33,18 @@ def cap_first_n(spark, sf):
     return order.first_n(kept, 1000, I.PAIR_KEY).select("row_idx", *I.PAIR_KEY, "kanji_text")
 
 
+@query("cap_large_prefix", f"""
+WITH {D.PAIRS}, keyed AS (
+  SELECT doc_id, line_no, CASE WHEN doc_id % 3 <> 0 THEN lang END AS lead FROM pairs)
+SELECT row_number() OVER (ORDER BY lead NULLS FIRST, doc_id, line_no) - 1 AS row_idx, doc_id, line_no, lead
+FROM keyed QUALIFY row_idx < 12000""")
+def cap_large_prefix(spark, sf):
+    """A prefix beyond what one task takes; a third of the rows share the null leading key."""
+    lead = F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("lead")
+    keyed = I.pairs(spark, sf).select(*I.PAIR_KEY, lead)
+    return order.first_n(keyed, 12_000, ["lead", *I.PAIR_KEY]).select("row_idx", *I.PAIR_KEY, "lead")
+
+
 @query("cap_null_keys", """
 WITH keyed AS (
   SELECT conv_id, turn, role, CASE WHEN conv_id % 3 <> 0 THEN role END AS lead FROM conversations)

@@ -218,6 +218,21 @@ def reward_group_stats(spark, sf):
     return score.group_stats(_scored(spark, sf), I.PAIR_KEY, "reward_total", "response")
 
 
+@query("reward_step_log", f"""
+WITH {SCORED}, groups AS (
+  SELECT s.doc_id % 16 + 1 AS step, s.doc_id, s.line_no, count(*) AS n, avg({TOTAL}) AS reward,
+         stddev_samp({TOTAL}) AS reward_std, avg(length(r.response)) AS completion_length
+  FROM scored s JOIN rollouts r ON s.doc_id = r.doc_id AND s.line_no = r.line_no
+    AND s.gen_id = r.gen_id GROUP BY ALL)
+SELECT step, count(*) AS n_prompts, sum(n)::BIGINT AS n_generations, round(avg(reward), 6) AS reward,
+       round(avg(reward_std), 6) AS reward_std, round(avg(completion_length), 6) AS completion_length
+FROM groups GROUP BY GROUPING SETS ((step), ())""")
+def reward_step_log(spark, sf):
+    """Steps of prompts, as a training log shows them, and the row over all of them."""
+    scored = _scored(spark, sf).withColumn("step", F.col("doc_id") % 16 + 1)
+    return score.step_log(scored, "step", I.PAIR_KEY, "reward_total", "response")
+
+
 def count_tags(completions, **columns):
     """The tag reward as a plain Python function over aligned lists."""
     responses = [c[0]["content"] if c else "" for c in completions]

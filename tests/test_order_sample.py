@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from pairloom.functions import text as T
-from pairloom.operators import curate, mix, order, sample
+from pairloom.operators import curate, mix, order, sample, score
 from tests.conftest import SMALL
 
 KEY = ["a", "b"]
@@ -181,3 +181,49 @@ def test_a_cap_that_grows_with_the_table_is_spread(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" not in plan and "GlobalLimit" not in plan
     assert sorted(r.row_idx for r in found.collect()) == list(range(found.where("lead IS NULL").count() + 20))
+
+
+@pytest.mark.parametrize("n", [60, 150, 1_500, 2_999, 5_000])
+def test_a_large_prefix_is_narrowed_first(skewed, monkeypatch, n):
+    monkeypatch.setattr(order, "FEW", 50)
+    monkeypatch.setattr(order, "SAMPLED", 100)
+    wanted = sorted(rows_of(skewed))[:n]
+    got = order.first_n(skewed.repartition(6), n, KEY)
+    assert sorted((r.row_idx, r.a, r.b) for r in got.collect()) == [(k, *x) for k, x in enumerate(wanted)]
+    left = order.at_or_before(skewed.repartition(6), n, KEY).count()
+    assert n <= left <= max(4 * n, 400) or left == 3_000
+
+
+def test_a_large_prefix_with_null_keys_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(order, "FEW", 10)
+    monkeypatch.setattr(order, "SAMPLED", 50)
+    rows = [(None if k % 3 == 0 else "ab"[k % 2], k // 2 if k % 5 else None) for k in range(900)]
+    df = spark.createDataFrame(rows, "a string, b int").repartition(4)
+    got = order.first_n(df, 400, KEY).collect()
+    key = lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0)
+    assert [(r.a, r.b) for r in sorted(got, key=lambda r: r.row_idx)] == sorted(rows, key=key)[:400]
+    same = spark.range(700).select(F.lit(1).alias("a"), F.lit(2).alias("b"))
+    assert order.first_n(same, 300, KEY).count() == 300
+
+
+def test_sketched_quantile_is_within_its_error(spark):
+    sizes = spark.range(40_000).select((F.col("id") * 7919 % 10_007).alias("size"), (F.col("id") % 3).alias("day"))
+    days = [curate.size_sketch(sizes.where(F.col("day") == d), F.col("size")) for d in range(3)]
+    kept_sketches = days[0].unionByName(days[1]).unionByName(days[2])
+    for share in (0.1, 0.5, 0.9, 0.99):
+        limit = curate.sketch_quantile(kept_sketches, share).first().limit
+        rank = sizes.where(F.col("size") <= limit).count() / 40_000
+        assert abs(rank - share) < 2.3 / curate.SKETCH_K**0.9
+    exact = curate.keep_quantile(sizes, F.col("size"), 0.9).count()
+    assert abs(curate.keep_sketched_quantile(sizes, F.col("size"), kept_sketches, 0.9).count() - exact) < 0.007 * 40_000
+    by_day = curate.size_sketch(sizes, F.col("size"), ["day"])
+    assert {r.day for r in curate.sketch_quantile(by_day, 0.9, ["day"]).collect()} == {0, 1, 2}
+    empty = curate.size_sketch(sizes.limit(0), F.col("size"), ["day"])
+    assert curate.sketch_quantile(empty, 0.9, ["day"]).collect() == []
+
+
+def test_step_log(spark):
+    rows = [(1, "p", 1.0, "ab"), (1, "p", 3.0, "abcd"), (1, "q", 5.0, ""), (2, "r", 0.0, "x"), (2, "r", 0.0, "xyz"), (None, "s", None, None)]
+    df = spark.createDataFrame(rows, "step int, prompt string, reward double, completion string")
+    got = [tuple(r) for r in score.step_log(df.where("step IS NOT NULL"), "step", ["prompt"], "reward", "completion").collect()]
+    assert sorted(got, key=str) == sorted([(1, 2, 3, 3.5, 1.414214, 1.5), (2, 1, 2, 0.0, 0.0, 2.0), (None, 3, 5, 2.333333, 0.707107, 1.666667)], key=str)
