@@ -32,6 +32,39 @@ SEED_OF_KEYS = 42
 FOLD = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256)).lower()  # marks become blanks
 
 
+_P = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], dtype=np.uint64)
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def hashes(data: bytes, raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """XXH64 of each string: short ones all at once, step by step of the public definition, long ones one by one."""
+    p1, p2, p3, p4, p5 = _P
+    lanes = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
+    h = np.uint64(SEED_OF_KEYS) + p5 + size.astype(np.uint64)
+    short = np.flatnonzero(size < 32)
+    for lane in range(3):
+        own = short[size[short] >= 8 * lane + 8]
+        k = _turned(lanes[first[own] + 8 * lane] * p2, 31) * p1
+        h[own] = _turned(h[own] ^ k, 27) * p1 + p4
+    at, rest = first + (size & ~7), size & 7
+    own = short[rest[short] >= 4]
+    h[own] = _turned(h[own] ^ (lanes[at[own]] & np.uint64(0xFFFFFFFF)) * p1, 23) * p2 + p3
+    at[own] += 4
+    rest &= 3
+    for byte in range(3):
+        own = short[rest[short] > byte]
+        h[own] = _turned(h[own] ^ raw[at[own] + byte].astype(np.uint64) * p5, 11) * p1
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    h ^= h >> np.uint64(32)
+    for k in np.flatnonzero(size >= 32).tolist():
+        h[k] = xxhash.xxh64_intdigest(data[first[k]:first[k] + size[k]], SEED_OF_KEYS)
+    return h
+
+
 class Table:
     """Interns byte strings; equal strings get equal slots, others never do."""
 
@@ -42,12 +75,8 @@ class Table:
         """
         n = len(first)
         bits = max(int(2 * n - 1).bit_length(), 1)
-        ends = (first + size).tolist()
-        key = np.fromiter(
-            (xxhash.xxh64_intdigest(data[a:b], SEED_OF_KEYS) for a, b in zip(first.tolist(), ends, strict=True)),
-            dtype=np.uint64, count=n,
-        )
-        self._probe(key, np.frombuffer(data + b"\0" * 8, dtype=np.uint8), first, size, bits)
+        raw = np.frombuffer(data + b"\0" * 8, dtype=np.uint8)
+        self._probe(hashes(data, raw, first, size), raw, first, size, bits)
         owner = self.owner[self.used]
         self.bucket = np.zeros(1 << bits, dtype=np.int64)
         self.bucket[self.used] = [crc32(data[a:b]) % BUCKETS for a, b in zip(first[owner].tolist(), (first + size)[owner].tolist(), strict=True)]
@@ -115,8 +144,9 @@ def _features(words: list[list[bytes]], on: list[bool]) -> tuple[bytes, np.ndarr
     """All words of texts in one string, place and size of each feature in it, and the text it is of."""
     data = b" ".join(b" ".join(w) for w in words)
     n = np.array([len(w) for w in words])
-    size = np.fromiter((len(x) for w in words for x in w), dtype=np.int64, count=n.sum())
-    first = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
+    blanks = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 32)  # one between words, none in them
+    first = np.concatenate(([0], blanks + 1))
+    size = np.append(blanks, len(data)) - first
     text = np.repeat(np.arange(len(words)), n)
     last = np.cumsum(n) - 1
     single, pair = np.ones(len(size), dtype=bool), np.ones(len(size), dtype=bool)
