@@ -190,8 +190,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` with one document of each group: the one with the smallest id.
 
     Groups are those of ``near_duplicates``, or with ``similarity`` texts that links of that
-    Jaccard similarity of their sets of shingles join. Of several rows with that id one stays,
-    of a group without ids one row. Texts are not shuffled but for ids that several rows have.
+    Jaccard similarity of their sets of shingles join. Of a group's several rows with that id
+    those of the smallest fingerprint count and one of them stays, so an id that has texts in
+    several groups may stay once for each; of a group without ids one row stays. Texts are only
+    hashed again where several rows share an id; ids alone decide about the others.
     """
     if similarity is None:
         sign = fingerprint
@@ -201,17 +203,21 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sign = shingles.signature
         rows = written(shingles.sets(docs, id_col, text_col, shingle), "sets")
         groups = written(_groups(rows, lambda _: shingles.links(rows, similarity)), "groups")
-    kept = rows.where("id IS NOT NULL").join(groups, "fp").where("id = component_id").groupBy("id").agg(
-        F.count("*").alias("rows")
-    )
+    named = rows.where("id IS NOT NULL")
+    kept = named.join(groups, "fp").where("id = component_id").groupBy("root").agg(F.min(F.struct("id", "fp")).alias("own"))
+    kept = kept.select("own.*").join(named.groupBy("id").agg(F.count("*").alias("rows")), "id")
+    kept = written(kept, "kept")
     key = F.col(id_col).cast("long") == F.col("id")
-    once = docs.join(kept.where("rows = 1"), key, "left_semi")
-    again = docs.join(kept.where("rows > 1"), key, "left_semi").dropDuplicates([id_col])
+    once = docs.join(kept.where("rows = 1").select("id"), key, "left_semi")
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series([np.uint64(sign(t, shingle)).astype(np.int64) for t in texts], dtype="int64")
 
+    several = kept.where("rows > 1").select("id", F.col("fp").alias("kept_fp"))  # such an id may stand for several texts
+    again = docs.join(several.select("id").distinct(), key, "left_semi").withColumn("_fp", fp(F.col(text_col)))
+    again = again.join(several, key & (F.col("_fp") == F.col("kept_fp")), "left_semi")
+    again = again.dropDuplicates([id_col, "_fp"]).drop("_fp")
     own = docs.where(F.col(id_col).isNull()).withColumn("_fp", fp(F.col(text_col)))
     nameless = groups.where("component_id IS NULL").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
     unnamed = own.join(nameless, "_fp").dropDuplicates(["_root"]).select(*docs.columns)

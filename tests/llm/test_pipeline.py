@@ -93,3 +93,14 @@ def test_groups_without_ids(spark):
     df = spark.createDataFrame([(None, text), (None, text), (1, "a b c d e"), (None, "a b c d e")], "doc_id long, text string")
     got = STAGES["simhash"](spark, df, SMALL).collect()
     assert sorted(got, key=str) == sorted([(1, "a b c d e"), (None, text)], key=str)
+
+
+def test_ids_of_several_texts(spark):
+    a, b = "one two three four five six", "a b c d e f g"
+    for rows, wanted in (
+        ([(5, a), (5, b)], [(5, a), (5, b)]),
+        ([(3, b), (5, a), (5, b)], [(3, b), (5, a)]),
+        ([(5, a), (5, a), (7, a), (7, b), (None, b)], [(5, a), (7, b)]),
+    ):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted(map(tuple, STAGES["simhash"](spark, df, SMALL).collect())) == sorted(wanted)
