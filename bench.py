@@ -25,9 +25,11 @@ HEADLINE = [
     "jsonl_parse", "filter_sft", "filter_sft_columnar", "filter_grpo_profile",
     "filter_grpo_strict", "filter_token_budget", "curation_report", "filter_p90_length",
     # sampling and mixing
-    "sample_bernoulli", "sample_exact", "cap_first_n", "shuffle_seeded", "batch_assign", "mixture",
+    "sample_bernoulli", "sample_exact", "cap_first_n", "cap_large_prefix", "shuffle_seeded", "batch_assign",
+    "mixture",
     # shaping
-    "sft_conversations", "chat_text_gemma", "chat_turns_gemma", "response_mask", "pad_truncate",
+    "sft_conversations", "chat_text_gemma", "chat_turns_gemma", "response_mask", "response_mask_ids",
+    "pad_truncate", "pad_batch_longest",
     # scoring
     "script_profile", "reward_composite", "reward_total", "reward_group_stats",
     "reward_answer_loose", "rollouts_joined",
