@@ -7,7 +7,7 @@ from tests.conftest import SMALL
 
 LOCAL = [
     n for n in QUERIES if n.startswith(("filter_", "script_", "reward_"))
-    and n not in ("filter_p90_length", "reward_group_stats")
+    and n not in ("filter_p90_length", "reward_group_stats", "reward_step_log")  # aggregates
 ]
 
 
