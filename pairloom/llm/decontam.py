@@ -2,17 +2,20 @@
 
 The index is the benchmark: its passages as TF-IDF rows, with document frequencies from all
 documents, and the leading right singular vectors of these rows from a randomised SVD, whose
-products with the rows run as Spark jobs. Overlapping windows of every document that hold keys
-of some passage are folded in and compared with all passages by cosine. A passage whose keys a
-window holds is a candidate whatever its cosine, as RANK vectors don't span all passages of a
-block. Candidates are settled by the longest common subsequence of words: SAME of a passage, or
-CLOSE of it where its answer stands there too.
+products with the rows run as Spark jobs. Overlapping windows of every document that hold a key
+of some passage are folded in and compared with all passages by cosine. Keys lose nothing: if a
+share s of m words is needed, (1 - s) m may be missing, so one of any (1 - s) m + 1 is there; the
+rarest are the keys. RANK vectors don't span all passages of a block, so a passage with a key in
+a window is a candidate whatever its cosine. Candidates whose words are there are settled by
+the longest common subsequence: SAME of a passage, or CLOSE of it where its answer stands there
+too. Items of fewer than SHORT words have to stand there as they are.
 
 A benchmark is searched in blocks of BLOCK passages; each reads the documents twice.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -26,13 +29,12 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import written
 
 MARKS = b".,;:!?\"'()[]{}"
-LONGEST, LEAST = 64, 5  # words of an index passage: longer items are cut, shorter ones say nothing
+LONGEST, SHORT = 64, 5  # words of an index passage: longer items are cut, shorter ones are phrases
 WINDOW, STRIDE = 32, 16
 BLOCK, RANK, EXTRA, POWERS = 1_024, 256, 16, 2
 COSINE, SAME, CLOSE = 0.4, 0.8, 0.5
-RARE = 0.01  # share of documents below which a word is rare and so a key of its passage
-KEY_WORDS, KEY_SHARE = 3, 0.15  # keys of one passage in a candidate window, and their share of its keys' weight
-_STACK = 64  # windows that are compared at once
+TERMS = 2_048  # terms whose products are summed in one group
+_STACK, _PAIRS = 64, 4_096  # windows and candidates that are compared at once
 
 
 def plain_words(text: str | None) -> list[bytes]:
@@ -52,7 +54,7 @@ def common_length(masks: dict[bytes, int], size: int, said: list[bytes]) -> int:
 
 @dataclass
 class Passage:
-    item: int
+    item: int | None
     words: list[bytes]
     answer: bytes | None
 
@@ -61,8 +63,15 @@ class Passage:
         for k, w in enumerate(self.words):
             self.masks[w] = self.masks.get(w, 0) | 1 << k
 
+    def least(self) -> int:
+        """How many of its words a text must hold."""
+        size = len(self.words)
+        return size if size < SHORT else math.ceil((CLOSE if self.answer else SAME) * size - 1e-9)
+
     def similarity(self, said: list[bytes]) -> float:
         """Share of the passage found in order; zero unless that is enough."""
+        if len(self.words) < SHORT:
+            return float(b" %b " % b" ".join(self.words) in b" %b " % b" ".join(said))
         held = set(said)
         most = sum(w in held for w in self.words) / len(self.words)
         if most < (CLOSE if self.answer else SAME):  # the subsequence is no longer than that
@@ -79,18 +88,17 @@ def cut(items: DataFrame, id_col: str, text_col: str, answer_col: str | None) ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for i, text, answer in zip(b["item"], b["text"], b["answer"], strict=True):
+            for i, text, answer in zip(b["item"].astype("Int64"), b["text"], b["answer"], strict=True):
                 w = plain_words(text)
                 parts = -(-len(w) // LONGEST)
                 for k in range(parts):
                     part = w[k * len(w) // parts:(k + 1) * len(w) // parts]
-                    if len(part) >= LEAST:
-                        out.append((i, part, b" ".join(plain_words(answer)) or None))
-            yield pd.DataFrame(out, columns=["item", "words", "answer"])
+                    out.append((i, part, b" ".join(plain_words(answer)) or None))
+            yield pd.DataFrame(out, columns=["item", "words", "answer"]).astype({"item": "Int64"})
 
     answer = F.col(answer_col) if answer_col else F.lit(None)
     rows = items.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text"),
-                        answer.cast("string").alias("answer")).where("item IS NOT NULL")
+                        answer.cast("string").alias("answer"))
     return rows.mapInPandas(run, "item long, words array<binary>, answer binary").distinct()
 
 
@@ -143,10 +151,17 @@ def basis(rows: DataFrame, weights: np.ndarray, rank: int = RANK) -> np.ndarray:
                         total += np.outer(y, y)
                     else:
                         np.add.at(total, at, np.outer(a, y))
-            yield pd.DataFrame({"part": [total.tobytes()]})
+            for first in range(0, shape[0], TERMS):
+                yield pd.DataFrame({"first": [first], "part": [total[first:first + TERMS].tobytes()]})
+
+        def add(parts: pd.DataFrame) -> pd.DataFrame:
+            total = sum(np.frombuffer(p) for p in parts["part"])
+            return pd.DataFrame({"first": parts["first"][:1], "part": [total.tobytes()]})
 
-        parts = rows.mapInPandas(run, "part binary").collect()
-        return sum((np.frombuffer(p["part"]).reshape(shape) for p in parts), np.zeros(shape))
+        kinds, out = "first long, part binary", np.zeros(shape)
+        for r in rows.mapInPandas(run, kinds).groupBy("first").applyInPandas(add, kinds).toLocalIterator():
+            out[r["first"]:r["first"] + TERMS] = np.frombuffer(r["part"]).reshape(-1, shape[1])
+        return out
 
     v = np.linalg.qr(rng.normal(size=(size, min(rank + EXTRA, size))))[0]
     for _ in range(POWERS):
@@ -162,7 +177,7 @@ class Index:
 
     passages: list[Passage]
     terms: dict[bytes, int]
-    keys: list[list[int]]  # of each passage: its rare terms, the rarer half at least
+    keys: list[list[int]]  # of each passage: its rarest terms, one of which a text that shows it holds
     weights: np.ndarray  # of each term
     folded: np.ndarray  # weighted basis row of each term, and zeros for no term
     places: np.ndarray  # passages in the latent space, unit length
@@ -173,56 +188,53 @@ class Index:
         self.posted = np.array([k for _, k in pairs], dtype=np.int64)
         self.first = np.searchsorted([t for t, _ in pairs], np.arange(len(self.terms) + 2))
         self.keyed = np.append(np.diff(self.first)[:-1] > 0, False)  # of each term, and of no term
-        energy = self.weights**2
-        self.energy = energy
-        self.least = np.array([KEY_SHARE * energy[keys].sum() for keys in self.keys])
-        self.least_keys = np.array([min(KEY_WORDS, len(keys)) for keys in self.keys])
         self.spelt = np.full((len(self.passages), LONGEST), -1)  # terms of each passage, and no term
         for k, p in enumerate(self.passages):
             self.spelt[k, :len(p.words)] = [self.terms[w] for w in p.words]
         self.sizes = np.array([len(p.words) for p in self.passages])
-        self.needed = np.array([CLOSE if p.answer else SAME for p in self.passages])
+        self.least = np.array([p.least() for p in self.passages])
 
     def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First words of windows, in order, and the passages that they hold enough keys of."""
+        """First words of windows, in order, and the passages that they hold a key of."""
         n = max(-(-(len(at) - STRIDE) // STRIDE), 1)
         hits = np.flatnonzero(self.keyed[at])
         term = at[hits]
         size = self.first[term + 1] - self.first[term]
         ends = np.cumsum(size)
         passage = self.posted[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[term] - ends + size, size)]
-        last, term = np.repeat(hits // STRIDE, size), np.repeat(term, size)
+        last = np.repeat(hits // STRIDE, size)
         window = np.concatenate((last, last - 1))
-        both = (np.tile(passage, 2) + window * len(self.passages)) * len(self.terms) + np.tile(term, 2)
-        both = np.unique(both[(window >= 0) & (window < n)])  # a key counts once in a window
-        pair, of = np.unique(both // len(self.terms), return_inverse=True)
-        energy = np.bincount(of, self.energy[both % len(self.terms)], minlength=len(pair))
-        passage = pair % len(self.passages)
-        enough = (energy >= self.least[passage]) & (np.bincount(of, minlength=len(pair)) >= self.least_keys[passage])
-        return pair[enough] // len(self.passages) * STRIDE, passage[enough]
+        both = np.tile(passage, 2) + window * len(self.passages)
+        both = np.unique(both[(window >= 0) & (window < n)])
+        return both // len(self.passages) * STRIDE, both % len(self.passages)
 
-    def search(self, at: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Candidates (first word of the window, passage) with enough of the passage's words around the window."""
-        of, keyed = self.windows(at)
-        starts, begin = np.unique(of, return_index=True)
-        own = np.split(keyed, begin[1:])
+    def near(self, at: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """First words of the windows at ``starts``, and passages that are close to them by cosine."""
         padded = np.concatenate((at, np.full(WINDOW, -1)))
-        held = np.zeros(len(self.terms) + 1, dtype=bool)
         for s in range(0, len(starts), _STACK):
             first = starts[s:s + _STACK]
             place = self.folded[padded[first[:, None] + np.arange(WINDOW)]].sum(axis=1)
             place /= np.maximum(np.linalg.norm(place, axis=1, keepdims=True), 1e-12)
-            near = place @ self.places.T >= COSINE
-            for k, w in enumerate(first):
-                near[k, own[s + k]] = True
-                found = np.flatnonzero(near[k])
-                around = at[max(0, w - LONGEST):w + WINDOW + LONGEST]
-                held[around] = True
-                held[-1] = False
-                enough = held[self.spelt[found]].sum(axis=1) / self.sizes[found] >= self.needed[found]
-                held[around] = False
-                for p in found[enough]:
-                    yield int(w), int(p)
+            window, passage = np.nonzero(place @ self.places.T >= COSINE)
+            yield first[window], passage
+
+    def search(self, at: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Candidates (first word of the window, passage) with enough of the passage's words around the window."""
+        first, passage = self.windows(at)
+        found = [(first, passage), *self.near(at, np.unique(first))]
+        first, passage = (np.concatenate(x) for x in zip(*found, strict=True))
+        pairs = np.unique(first * len(self.passages) + passage)
+        room = len(at) + 1
+        spots = np.sort(at * room + np.arange(len(at)))  # of terms, each in order; of no term before them
+        spots = np.append(spots, np.iinfo(np.int64).max)
+        for s in range(0, len(pairs), _PAIRS):
+            first, passage = np.divmod(pairs[s:s + _PAIRS], len(self.passages))
+            own, size = self.spelt[passage], self.sizes[passage]
+            since = own * room + np.maximum(first - size, 0)[:, None]
+            until = own * room + np.minimum(first + WINDOW + size, len(at))[:, None]
+            held = (spots[np.searchsorted(spots, since)] < until) & (own >= 0)
+            enough = held.sum(axis=1) >= self.least[passage]
+            yield from zip(first[enough].tolist(), passage[enough].tolist(), strict=True)
 
     def matches(self, text: str | None) -> dict[int, tuple[float, int]]:
         """Items in a text: similarity and first word of the window that showed it."""
@@ -245,15 +257,14 @@ def index(docs: DataFrame, block: DataFrame, n_docs: int) -> Index | None:
     passages = [Passage(r["item"], list(map(bytes, r["words"])), r["answer"] and bytes(r["answer"])) for r in block.collect()]
     if not passages:
         return None
-    passages.sort(key=lambda p: (p.item, p.words))
+    passages.sort(key=lambda p: (p.item is None, p.item or 0, p.words))
     terms = {w: k for k, w in enumerate(sorted({w for p in passages for w in p.words}))}
     n = frequencies(docs, terms)
     weights = np.log((n_docs + 1) / (n + 1)) + 1e-3
     keys = []
     for p in passages:
-        own = sorted({terms[w] for w in p.words}, key=lambda t: (n[t], t))
-        rare = sum(n[t] < max(RARE * n_docs, 2) for t in own)
-        keys.append(own[:max(rare, 2 * KEY_WORDS, len(own) // 2)])
+        own = sorted((terms[w] for w in p.words), key=lambda t: (n[t], t))
+        keys.append(sorted(set(own[:len(own) - p.least() + 1])))
 
     def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -282,9 +293,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     ``similarity`` is the share of the item (of its best passage, if it is longer than LONGEST
     words) that the document has in order near ``first_word``. Documents and items are whole;
-    a document without items has no row. Null and empty texts hold nothing, items of fewer
-    than LEAST words or without id are never found, equal items are found each. Rows that
-    share an id (also null) are reported once, with the best similarity. An empty table on
+    a document without items has no row. Null and empty texts and items hold nothing, items of
+    fewer than SHORT words are found as phrases, equal items are found each. Rows that share an
+    id (also null) are reported once, with the best similarity, and so are items. An empty table on
     either side gives an empty result; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -300,7 +311,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 ]
                 if out:
                     got = pd.DataFrame(out, columns=["id", "item", "similarity", "first_word"])
-                    yield got.astype({"id": "Int64"})
+                    yield got.astype({"id": "Int64", "item": "Int64"})
 
         found = found.unionByName(rows.mapInPandas(run, schema))
     best = F.max(F.struct("similarity", (-F.col("first_word")).alias("back"))).alias("best")

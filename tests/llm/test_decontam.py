@@ -1,6 +1,7 @@
 """Benchmark search against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -125,3 +126,40 @@ def test_verbatim_items_beyond_the_rank(spark):
     found = decontam.leaks(df, spark.createDataFrame(items, "item_id long, text string"))
     missed = wanted - {(r.doc_id, r.item_id) for r in found.where("similarity = 1").collect()}
     assert not missed, (len(missed), len(wanted), sorted(missed)[:10])
+
+
+def test_paraphrases_of_the_rarer_half(spark):
+    """What the words and the answer accept is found, whichever words were replaced."""
+    rng = random.Random(5)
+    words = rng.choices([f"w{i}" for i in range(3_000)], [1 / (i + 10) for i in range(3_000)], k=30_000)
+    count = Counter(words)
+    docs, items, wanted = [], [], set()
+    for k in range(1_000):
+        said = [rng.choice(words) for _ in range(24)]
+        answer = f"answer{k}" if k % 2 else None
+        order = sorted(range(24), key=lambda i: count[said[i]]) if k % 4 < 2 else rng.sample(range(24), 24)
+        gone = set(order[:11 if answer else 4])
+        other = " ".join(rng.choice(words) if i in gone else w for i, w in enumerate(said))
+        items.append((k, " ".join(said), answer))
+        docs.append((k, f"{invented(rng, rng.randint(0, 200), words)} {other} {answer or ''} {invented(rng, rng.randint(0, 200), words)}"))
+        wanted.add((k, k))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = decontam.leaks(df, spark.createDataFrame(items, "item_id long, text string, answer string"), answer_col="answer")
+    found = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert not wanted - found, (len(wanted - found), sorted(wanted - found)[:10])
+    assert len(found - wanted) < 20
+
+
+def test_short_items_are_phrases(spark):
+    docs = [(1, "so they went Home, alone again"), (2, "home is where they are alone"), (3, None), (4, "alone"), (5, " ".join(["x"] * 500) + " went home")]
+    items = [(1, "went home"), (2, "alone"), (3, "They went home alone"), (None, "home alone"), (4, ""), (5, "home went")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect()}
+    assert found == {(1, 1), (1, 2), (1, 3), (1, None), (2, 2), (4, 2), (5, 1)}
+    assert [r.doc_id for r in decontam.clean(df, bench).collect()] == [3]
+
+
+def test_sums_of_products_by_groups_of_terms(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "TERMS", 7)
+    test_basis_spans_the_rows(spark)
