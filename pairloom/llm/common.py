@@ -6,11 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.session import fresh_path
 
+BATCH_ROWS = 1_000  # texts in a batch
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Let the session hand at most ``rows`` rows at a time to Python workers; fewer stay fewer.
+
+    Texts are large rows: the default of 10,000 is held by the JVM, by Arrow and by pandas at once.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= rows:
+        spark.conf.set(key, rows)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows from a table in the shared folder: computed once, kept if executors go."""
     path = fresh_path(df.sparkSession, name)
