@@ -49,8 +49,9 @@ SELECT row_idx, file_ord, kanji_text FROM placed WHERE row_idx < 400""")
 def cap_across_files(spark, sf):
     """The cap ends inside a later path; a path is a folder of several files."""
     root = fresh_path(spark, "by_lang")
-    lines = I.record_lines(spark, sf).repartitionByRange(4, *I.PAIR_KEY).sortWithinPartitions("lang", *I.PAIR_KEY)
-    lines.select("lang", "value").write.partitionBy("lang").text(root)
+    parts = I.n_parts(spark, sf, 4)
+    lines = I.lines(spark, sf).repartitionByRange(parts, *I.PAIR_KEY).sortWithinPartitions("lang", *I.PAIR_KEY)
+    I.as_records(lines).select("lang", "value").write.partitionBy("lang").text(root)
     read = P.read_pairs_jsonl(spark, [f"{root}/lang={n}" for n in ["es", "fr", "d*", "en"]])
     capped = order.first_n(curate.keep(read, curate.sft_rules()), 400, P.FILE_ORDER)
     return capped.select("row_idx", "file_ord", "kanji_text")

@@ -19,6 +19,7 @@ FULL_WIDTH = "０１２３４５６７８９"
 PAIR_KEY = ["doc_id", "line_no"]
 TURN_KEY = ["conv_id", "turn"]
 ROLLOUT_KEY = [*PAIR_KEY, "gen_id"]
+PART_BYTES = 64 << 20  # text of documents that one task orders or one file holds, about
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -29,21 +30,40 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
 
 
-def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """One (source, target) pair per line of a document."""
-    lines = documents(spark, sf).select(
+def lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of documents, lower-cased."""
+    split = documents(spark, sf).select(
         "doc_id", "lang", F.posexplode(F.split(F.lower("text"), "\n")).alias("pos", "line")
     )
+    return split.select("doc_id", (F.col("pos") + 1).alias("line_no"), "lang", "line")
+
+
+def pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """One (source, target) pair per line of a document."""
+    return as_pairs(lines(spark, sf))
+
+
+def as_pairs(lines: DataFrame) -> DataFrame:
+    """The pairs of lines; other columns stay as they are, and so does the order."""
     return lines.select(
-        "doc_id", (F.col("pos") + 1).alias("line_no"), "lang",
+        *(c for c in lines.columns if c != "line"),
         F.translate("line", LATIN, KANJI).alias("kanji_text"),
         F.translate("line", LATIN, KATA).alias("katakana_text"),
     )
 
 
-def record_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """JSON line per pair; by ``kind`` some are broken, of wrong type or padded."""
-    p = pairs(spark, sf).withColumn("kind", F.pmod(F.col("doc_id") + F.col("line_no"), F.lit(11)))
+def n_parts(spark: SparkSession, sf: str, least: int = 1) -> int:
+    """Tasks or files for the documents' lines of about PART_BYTES each, at least so many."""
+    size = documents(spark, sf).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(least, -(-size // PART_BYTES))
+
+
+def as_records(lines: DataFrame) -> DataFrame:
+    """JSON line per line of a document; by ``kind`` some are broken, of wrong type or padded.
+
+    Records are some six times as long as lines, so lines are what is put in order or dealt.
+    """
+    p = as_pairs(lines).withColumn("kind", F.pmod(F.col("doc_id") + F.col("line_no"), F.lit(11)))
     whole = F.to_json(F.struct(
         F.col("kanji_text").alias("output"), F.col("katakana_text").alias("input"),
         F.col("lang").alias("left_context"),
@@ -67,14 +87,16 @@ def record_lines(spark: SparkSession, sf: str) -> DataFrame:
         .when(kind == 8, F.lit(""))
         .otherwise(F.col("whole"))
     )
-    return p.select("doc_id", "line_no", "lang", "kind", line.alias("value"))
+    return p.select(*(c for c in lines.columns if c != "line"), "kind", line.alias("value"))
 
 
 def record_files(spark: SparkSession, sf: str, n_files: int | None = None) -> str:
-    """Folder of JSONL files with the lines above."""
+    """Folder of JSONL files with the lines above, at least so many; more where they would be large."""
     path = fresh_path(spark, "records")
-    lines = record_lines(spark, sf).select("value")
-    (lines.repartition(n_files) if n_files else lines).write.text(path)
+    own = lines(spark, sf)
+    if n_files:
+        own = own.repartition(n_parts(spark, sf, n_files))
+    as_records(own).select("value").write.text(path)
     return path
 
 
@@ -104,11 +126,9 @@ def exchanges(spark: SparkSession, sf: str) -> DataFrame:
 
 def rollout_prompts(spark: SparkSession, sf: str) -> DataFrame:
     """Prompt messages and expected target per pair, with Japanese punctuation."""
-    p = pairs(spark, sf)
-    source = F.translate("kanji_text", ".,", "。、")
-    return p.select(
-        *PAIR_KEY, source.alias("source"),
-        F.translate("katakana_text", ".,", "。、").alias("target"),
+    return lines(spark, sf).select(
+        *PAIR_KEY, F.translate("line", LATIN + ".,", KANJI + "。、").alias("source"),
+        F.translate("line", LATIN + ".,", KATA + "。、").alias("target"),
     )
 
 

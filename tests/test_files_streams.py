@@ -2,14 +2,18 @@ import json
 from pathlib import Path
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from pairloom.functions import fixed
 from pairloom.operators import convert, metrics, order
+from pairloom.plans import inputs as I
 from pairloom.session import fresh_path
 from pairloom.sources import pairs as P
 from pairloom.sources import report as R
 from pairloom.streaming import curate as S
+from tests.conftest import SMALL
 
 LINES = [
     ('{"output":"天","input":"ア"}', ("天", "ア")),
@@ -299,3 +303,46 @@ def test_a_sample_of_lines_does_not_follow_the_splits(spark, tmp_path):
     twice, _ = P.scan_files(spark, [str(tmp_path / "a.jsonl"), str(tmp_path)], line_numbers=True)
     places = [(r.file, r.line_no, r.copy) for r in twice.collect()]
     assert len(places) == len(set(places)) == 300 + 4_350
+
+
+def record_texts(folder):
+    return sorted(line for f in Path(folder).glob("part-*") for line in f.read_text().splitlines())
+
+
+def test_record_files_grow_in_number(spark, monkeypatch):
+    few = I.record_files(spark, SMALL, 4)
+    monkeypatch.setattr(I, "PART_BYTES", 20_000)
+    many = I.record_files(spark, SMALL, 4)
+    assert len([*Path(few).glob("part-*")]) == 4 < len([*Path(many).glob("part-*")])
+    assert record_texts(few) == record_texts(many)
+    assert I.n_parts(spark, SMALL, 4) > 4
+
+
+@pytest.mark.parametrize("name", ["cap_across_files", "sample_before_parse", "stream_curate", "stream_counts"])
+def test_lines_are_dealt_before_records_are_made(spark, monkeypatch, name):
+    """Records are six times as long as lines, so no exchange sends them; a small part size changes nothing."""
+    wanted = sorted(entry.queries()[name](spark, SMALL).collect(), key=str)
+    monkeypatch.setattr(I, "PART_BYTES", 20_000)
+    plans, write = [], DataFrameWriter.text
+
+    def text(writer, path, *args, **kwargs):
+        plans.append(writer._df._jdf.queryExecution().executedPlan().toString())
+        return write(writer, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "text", text)
+    assert sorted(entry.queries()[name](spark, SMALL).collect(), key=str) == wanted
+    assert plans and all("to_json" not in p.split("Exchange", 1)[1] and "StructsToJson" not in p.split("Exchange", 1)[1] for p in plans)
+
+
+def test_numbered_lines_are_not_shuffled(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x\ny\n")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        lines = spark.read.text(str(tmp_path)).select(
+            F.lit("a").alias("file"), F.lit(0).alias("split_pos"), F.monotonically_increasing_id().alias("line_key"), "value"
+        )
+        numbered = P._numbered(lines)
+        assert "SortMergeJoin" not in numbered._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.line_no for r in numbered.collect()) == [0, 1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
