@@ -68,9 +68,9 @@ def sample_before_parse(spark, sf):
     """Lines of files of a language's part each, sampled by file and line number, then parsed."""
     root = fresh_path(spark, "by_part")
     file = ["lang", "part"]
-    lines = I.record_lines(spark, sf).withColumn("part", F.col("doc_id") % 8)
+    lines = I.lines(spark, sf).withColumn("part", F.col("doc_id") % 8)
     lines = lines.repartition(*file).sortWithinPartitions(*file, *I.PAIR_KEY)
-    lines.select(*file, "value").write.partitionBy(*file).text(root)
+    I.as_records(lines).select(*file, "value").write.partitionBy(*file).text(root)
     scanned, _ = P.scan_files(spark, [root], line_numbers=True)
     place = F.col("file")
     scanned = scanned.select(

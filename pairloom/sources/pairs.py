@@ -122,14 +122,15 @@ def _numbered(lines: DataFrame) -> DataFrame:
 
     Lines are counted by split, which reads the files once more; sums over a file's splits give
     the number of each split's first line. A split lies in one task, in order, and both reads
-    are made in the same splits, as they are parts of one query. Only counts are shuffled.
+    are made in the same splits, as they are parts of one query. Only counts are shuffled; the
+    table of splits is broadcast, as the planner can't know it is small before lines are sent.
     """
     split = ["file", "split_pos"]
     before = W.partitionBy("file").orderBy("split_pos").rowsBetween(W.unboundedPreceding, -1)
     starts = lines.groupBy(*split).agg(F.count("*").alias("_n"), F.min("line_key").alias("_first")).select(
         *split, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
     )
-    return lines.join(starts, split).withColumn("line_no", F.col("_start") + F.col("line_key") - F.col("_first"))
+    return lines.join(F.broadcast(starts), split).withColumn("line_no", F.col("_start") + F.col("line_key") - F.col("_first"))
 
 
 def read_pairs_jsonl(
