@@ -2,43 +2,75 @@
 
 A reward asks for measures by name; each becomes one column, computed once per row no
 matter how many rewards and score steps use it. Written as one expression per reward the
-same regex passes would be repeated in every ``CASE`` branch.
+same passes would be repeated in every ``CASE`` branch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions import fixed, tags
+from pairloom.functions import fixed, points, tags
 from pairloom.functions import text as T
 
+_SCAN = "_scan"
+
+
 class Measures:
     """Measures requested so far, in layers that build on each other."""
 
     def __init__(self, prompt: Column, response: Column, answer: Column):
         self._columns = {"prompt": prompt, "response": response, "answer": answer}
-        self._layer = dict.fromkeys(self._columns, 0)
+        self._used: dict[str, set[str]] = {n: set() for n in self._columns}
         self._asking: list[set[str]] = []
+        self._scans: dict[str, dict[str, dict]] = {}
 
     def __getitem__(self, name: str) -> Column:
         if name not in self._columns:
             self._asking.append(set())
             column = MEASURES[name](self)
-            used = self._asking.pop()
+            self._used[name] = self._asking.pop()
             self._columns[name] = column
-            self._layer[name] = 1 + max(self._layer[u] for u in used)
         if self._asking:
             self._asking[-1].add(name)
         return F.col(_stored(name))
 
+    def scan(self, text: str, part: str, asked: Mapping) -> Column:
+        """Struct of counts over a text's characters; what is asked for later joins the same pass."""
+        name = text + _SCAN
+        parts = self._scans.setdefault(text, {})
+        parts[part] = parts.get(part, {}) | asked
+        self._asking.append(set())
+        bound = {k: self[limit] for k, limit in parts.get("limits", {}).items()}
+        self._columns[name] = points.scan(self[text], parts.get("kinds"), parts.get("phrases"), parts.get("distinct"), bound)
+        self._used[name] = self._asking.pop()
+        if self._asking:
+            self._asking[-1].add(name)
+        return F.col(_stored(name))
+
+    def _layer(self, name: str, found: dict[str, int]) -> int:
+        if name not in found:
+            found[name] = 1 + max((self._layer(u, found) for u in self._used[name]), default=-1)
+        return found[name]
+
+    def _scanned(self, name: str) -> bool:
+        return name.endswith(_SCAN) or any(map(self._scanned, self._used[name]))
+
     def add_to(self, df: DataFrame) -> DataFrame:
-        """The table with a column per requested measure."""
-        for layer in range(1 + max(self._layer.values())):
-            names = [n for n, at in self._layer.items() if at == layer]
-            df = df.withColumns({_stored(n): self._columns[n] for n in names})
+        """The table with a column per requested measure.
+
+        Scans run after all measures that don't need them, so no text but theirs is held meanwhile.
+        """
+        early = [n for n in self._columns if not self._scanned(n)]
+        found: dict[str, int] = {}
+        last = max(self._layer(n, found) for n in early)
+        found |= {n: last + 1 for n in self._columns if n.endswith(_SCAN)}
+        layers = {n: self._layer(n, found) for n in self._columns}
+        for layer in range(1 + max(layers.values())):
+            names = [n for n, at in layers.items() if at == layer]
+            df = df.withColumns({_stored(n): self._columns[n] for n in names}) if names else df
         return df
 
     def drop_from(self, df: DataFrame) -> DataFrame:
@@ -49,76 +81,54 @@ def _stored(name: str) -> str:
     return f"_m_{name}"
 
 
-def _left(before: str, char_class: str) -> Callable[[Measures], Column]:
-    return lambda m: T.remove(m[before], char_class)
-
+def _kind(*names: str, text: str = "resp") -> Callable[[Measures], Column]:
+    """Characters of these kinds."""
 
-def _removed(before: str, after: str, char_class: str) -> Callable[[Measures], Column]:
-    return lambda m: T.n_removed(m[before], m[after], char_class)
+    def counted(m: Measures) -> Column:
+        counts = m.scan(text, "kinds", T.KINDS)
+        return sum((counts[n] for n in names[1:]), counts[names[0]])
 
+    return counted
 
-def _counted(name: str, char_class: str) -> Callable[[Measures], Column]:
-    return lambda m: T.count_class(m[name], char_class)
 
-
-def _squeezed(m: Measures) -> Column:
-    """Response with every katakana run as one character, for phrases without katakana.
-
-    Empty where there is no hiragana or kanji, as all unwanted phrases contain some.
-    """
-    runs = F.regexp_replace(m["resp"], f"[{T.KATAKANA}]+", "ア")
-    return F.when(m["n_native"] == 0, "").otherwise(runs)
-
-
-def _holds_katakana(phrase: str) -> bool:
-    return any("゠" <= c <= "ヿ" for c in phrase)
-
-
-def _phrase_hits(m: Measures) -> Column:
-    with_kata = [p for p in fixed.UNWANTED_PHRASES if _holds_katakana(p)]
-    without = [p for p in fixed.UNWANTED_PHRASES if not _holds_katakana(p)]
-    on_whole = F.when(m["n_native"] == 0, 0).otherwise(T.count_phrases(m["resp"], with_kata))
-    return T.count_phrases(m["squeezed"], without) + on_whole
+def _digits(text: str) -> Callable[[Measures], Column]:
+    """Digits of all scripts; texts with characters far from Latin and Japanese are searched for them."""
+    near, far = _kind("ascii_digit", "low_digit", text=text), _kind("far", text=text)
+    return lambda m: F.when(far(m) == 0, near(m)).otherwise(T.count_class(m[text], T.DIGIT))
 
 
 MEASURES: dict[str, Callable[[Measures], Column]] = {
-    # Response, stripped, and what is left of it class by class. The middle dot counts as
-    # katakana and as punctuation, so it stays in the rest.
+    # Response, stripped, and its characters by kind. The middle dot counts as katakana and as
+    # punctuation.
     "resp": lambda m: T.strip(m["response"]),
     "resp_length": lambda m: F.length(m["resp"]),
-    "no_kata": _left("resp", T.KATAKANA_NO_DOT),
-    "no_kanji": _left("no_kata", T.KANJI),
-    "no_hira": _left("no_kanji", T.HIRAGANA),
-    "rest": _left("no_hira", T.ASCII_LETTER),
-    "dots": _counted("rest", T.MIDDLE_DOT),
-    "kata": lambda m: m["dots"] + T.n_removed(m["resp"], m["no_kata"], T.KATAKANA_NO_DOT),
-    "kanji": _removed("no_kata", "no_kanji", T.KANJI),
-    "hira": _removed("no_kanji", "no_hira", T.HIRAGANA),
-    "letters": _removed("no_hira", "rest", T.ASCII_LETTER),
-    "digits": _counted("rest", T.DIGIT),
-    "ascii_digits": _counted("rest", T.ASCII_DIGIT),
-    "symbols": _counted("rest", T.SYMBOL),
-    "newlines": _counted("rest", r"\n"),
-    "ascii_spaces": _counted("rest", " "),
-    "marks": _counted("rest", T.PUNCTUATION),
+    "kata": _kind("kata", "dot"),
+    "kanji": _kind("kanji"),
+    "hira": _kind("hira"),
+    "letters": _kind("letter"),
+    "digits": _digits("resp"),
+    "ascii_digits": _kind("ascii_digit"),
+    "symbols": _kind("symbol"),
+    "newlines": _kind("newline"),
+    "ascii_spaces": _kind("blank"),
+    "spaces": _kind("blank", "newline", "space"),
+    "double_space": lambda m: m.scan("resp", "phrases", {"double_space": ["  "]})["double_space"] > 0,
+    "monotonous": lambda m: m.scan("resp", "distinct", {"few": 3})["few"] < 3,
+    "marks": _kind("mark", "dot"),
     "n_native": lambda m: m["kanji"] + m["hira"],
     "japanese_total": lambda m: m["kata"] + m["n_native"] + m["letters"] + m["digits"],
     "share": lambda m: T.ratio(m["kata"], m["japanese_total"]),
-    "purity": lambda m: F.try_divide(
-        m["kata"], m["resp_length"] - T.count_class(m["rest"], T.SPACE)
-    ),
+    "purity": lambda m: F.try_divide(m["kata"], m["resp_length"] - m["spaces"]),
     "packed_length": lambda m: m["resp_length"] - m["ascii_spaces"],
-    "squeezed": _squeezed,
-    "phrase_hits": _phrase_hits,
+    "phrase_hits": lambda m: m.scan("resp", "phrases", {"unwanted": fixed.UNWANTED_PHRASES})["unwanted"],
+    "explained": lambda m: m.scan("resp", "phrases", {"explained": fixed.EXPLANATIONS})["explained"] > 0,
+    "chars_above_source": lambda m: m.scan("resp", "limits", {"above_source": "colon_length"})["above_source"],
     # Source as the rest of the instruction's line.
     "source": lambda m: tags.source_after_instruction(m["prompt"]),
-    "source_rest": _left(
-        "source", T.KANJI + T.HIRAGANA + T.KATAKANA_NO_DOT + T.ASCII_LETTER
-    ),
     "source_length": lambda m: F.length(m["source"]),
-    "source_total": lambda m: m["source_length"]
-    - F.length(T.remove(m["source_rest"], T.MIDDLE_DOT + T.DIGIT)),
-    "source_marks": _counted("source_rest", T.PUNCTUATION),
+    "source_digits": _digits("source"),
+    "source_total": lambda m: _kind("kata", "dot", "kanji", "hira", "letter", text="source")(m) + m["source_digits"],
+    "source_marks": _kind("mark", "dot", text="source"),
     "size": lambda m: T.ratio(m["resp_length"], m["source_length"]),
     "marks_kept": lambda m: F.try_divide(m["marks"], m["source_marks"]),
     # Source as the text after the last colon.

@@ -39,7 +39,6 @@ def _steps(*steps: tuple[Column, float], default: float) -> Column:
 def composite(m: Measures) -> Column:
     """Eight-part reward on a response to the fixed instruction, floored at -10."""
     share, size, kept, total = m["share"], m["size"], m["marks_kept"], m["japanese_total"]
-    explained = (m["n_native"] > 0) & m["resp"].rlike("|".join(fixed.EXPLANATIONS))
     points = (
         _steps((share >= 0.95, 4), (share >= 0.85, 2), (share >= 0.70, 0.5), default=-3)
         + (m["hira"] * F.lit(-0.8) + m["kanji"] * F.lit(-1.2))
@@ -52,7 +51,7 @@ def composite(m: Measures) -> Column:
             default=0,
         )
         + _steps((total >= m["source_total"] * F.lit(0.8), 1.5), default=-2)
-        + _steps((explained, -2), default=1)
+        + _steps((m["explained"], -2), default=1)
         + _steps((total == 0, 0), (share >= 0.9, 1), (share < 0.7, -1.5), default=0)
         + _steps((m["letters"] + m["digits"] > 0, 0.5), default=0)
     )
@@ -95,7 +94,7 @@ def completeness(m: Measures) -> Column:
     return (
         size
         - F.when(newlines > 1, newlines * F.lit(0.5)).otherwise(F.lit(0.0))
-        - _steps((F.contains(m["resp"], F.lit("  ")), 0.3), default=0)
+        - _steps((m["double_space"], 0.3), default=0)
     )
 
 
@@ -113,9 +112,9 @@ def output_format(m: Measures) -> Column:
 def repetition(m: Measures) -> Column:
     """Points off for characters beyond the source's length and for monotonous texts."""
     n, source = m["resp_length"], m["colon_length"]
-    monotonous = (n > 5) & T.fewer_distinct(m["resp"], 3)
+    monotonous = (n > 5) & m["monotonous"]
     points = (
-        T.n_chars_above(m["resp"], source) * F.lit(-0.5)
+        m["chars_above_source"] * F.lit(-0.5)
         - _steps((monotonous, 1.5), default=0)
         - _steps(((m["packed_length"] < 3) & (source > 8), 1), default=0)
     )

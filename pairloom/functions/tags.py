@@ -71,7 +71,8 @@ def has_instruction(prompt: Column) -> Column:
 
 def source_after_instruction(prompt: Column) -> Column:
     """Rest of the line after the instruction; NULL without the instruction."""
-    return strip(first_group(prompt, SOURCE_PATTERN))
+    found = F.regexp_extract(prompt, SOURCE_PATTERN, 1)  # the group is never empty in a match
+    return strip(F.nullif(found, F.lit("")))
 
 
 def source_after_colon(prompt: Column) -> Column:

@@ -3,13 +3,15 @@
 Lengths are code points. Counting compares a text with the text that ``regexp_replace``
 leaves of it: that stays in generated code, while higher-order functions over characters
 are interpreted. Several counts of one text are taken from a chain of remainders, so that
-costly classes only see what the cheap ones left over. Character classes use the
+costly classes only see what the cheap ones left over; where there are many, ``points`` counts
+all in one pass. Character classes use the
 ``\\x{...}`` spelling, which Java and RE2 both read.
 """
 
 from __future__ import annotations
 
 import re
+import string
 import sys
 import unicodedata
 import uuid
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pairloom.functions import fixed
+from pairloom.functions import fixed, points
 
 
 def _ranges(points):
@@ -71,6 +73,19 @@ ALNUM = r"\p{L}\p{N}"
 PUNCTUATION = _ranges(sorted(map(ord, fixed.PUNCTUATION)))
 SYMBOL = _ranges(sorted(map(ord, fixed.UNWANTED_SYMBOLS)))
 
+# Kinds of characters that share none; the far ones may be decimal digits of other scripts.
+KINDS = {
+    "kata": [*range(0x30A0, 0x30FB), *range(0x30FC, 0x3100)], "dot": [0x30FB],
+    "kanji": range(0x4E00, 0x9FB0), "hira": range(0x3040, 0x30A0),
+    "letter": [*map(ord, string.ascii_letters)], "ascii_digit": [*map(ord, string.digits)],
+    "low_digit": [p for p in _OTHER_DIGITS if p <= 0xFF],
+    "symbol": [*map(ord, fixed.UNWANTED_SYMBOLS)], "blank": [0x20], "newline": [0x0A],
+    "space": [ord(c) for c in SPACE_CHARS if c not in " \n"],
+    "mark": [ord(c) for c in fixed.PUNCTUATION if c != "・"],
+    "far": sorted({*range(0x660, 0x3000), *range(0x3100, 0x4E00), *range(0x9FB0, 0x20000)}
+                  - {*map(ord, SPACE_CHARS + fixed.PUNCTUATION)}),
+}
+
 # Bytes per character where all members of a class are equally long in UTF-8.
 _UTF8_BYTES = {
     KATAKANA: 3, KATAKANA_NO_DOT: 3, MIDDLE_DOT: 3, HIRAGANA: 3, KANJI: 3, PUNCTUATION: 3,
@@ -141,23 +156,8 @@ def count_phrase(s: Column, phrase: str) -> Column:
 
 
 def count_phrases(s: Column, phrases: Sequence[str]) -> Column:
-    """Occurrences of all phrases, each counted on its own.
-
-    One pass with a look-ahead for all of them finds every place where a phrase starts. That
-    is each phrase's count as long as it can't overlap itself and no other phrase starts with
-    it; so phrases that others start with go to a further pass, and those that overlap
-    themselves are searched alone.
-    """
-    alone = [p for p in phrases if any(p.startswith(p[k:]) for k in range(1, len(p)))]
-    passes: list[list[str]] = []
-    for p in sorted(p for p in phrases if p not in alone):
-        fits = (g for g in passes if not any(p.startswith(q) or q.startswith(p) for q in g))
-        group = next(fits, None)
-        if group is None:
-            passes.append(group := [])
-        group.append(p)
-    counts = [F.regexp_count(s, F.lit(f"(?={'|'.join(map(re.escape, g))})")) for g in passes]
-    return sum([*counts[1:], *(count_phrase(s, p) for p in alone)], counts[0] if counts else F.lit(0))
+    """Occurrences of all phrases, each counted on its own."""
+    return points.scan(s, phrases={"n": phrases})["n"]
 
 
 def _script_counts(s: Column) -> list[Column]:
@@ -250,29 +250,13 @@ def n_distinct_chars(s: Column) -> Column:
 
 
 def fewer_distinct(s: Column, n: int) -> Column:
-    """True if ``s`` has less than ``n`` distinct characters, ASCII spaces aside.
-
-    Most texts show enough of them at the start; only the others are looked at in full.
-    """
-    start = n_distinct_chars(no_ascii_space(F.substring(s, 1, 32)))
-    return F.when(start >= n, False).otherwise(n_distinct_chars(no_ascii_space(s)) < n)
+    """True if ``s`` has less than ``n`` distinct characters, ASCII spaces aside."""
+    return points.scan(s, distinct={"n": n})["n"] < n
 
 
 def n_chars_above(s: Column, limit: Column) -> Column:
-    """Number of distinct characters that occur in ``s`` more than ``limit`` times.
-
-    Fewer than ``length - limit`` characters differ from such a character, so every
-    stretch of that length holds it: the first one names all candidates. (Sorting the
-    characters would name fewer, but takes five times as long as the searches it saves.)
-    """
-    stretch = F.length(s) - limit
-
-    def often(c):
-        gone = F.octet_length(s) - F.octet_length(F.replace(s, c, F.lit("")))
-        return (c != "") & (gone > limit * F.octet_length(c))
-
-    candidates = distinct_chars(F.substring(s, F.lit(1), stretch))
-    return F.when(stretch <= 0, 0).otherwise(F.size(F.filter(candidates, often)))
+    """Number of distinct characters that occur in ``s`` more than ``limit`` times."""
+    return points.scan(s, limits={"n": limit})["n"]
 
 
 def parse_float(s: Column) -> Column:
