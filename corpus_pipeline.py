@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm import decontam, packing, quality, simhash, toxicity
-from pairloom.llm.common import read, small_batches, written
+from pairloom.llm.common import in_parts, read, small_batches, written
 from pairloom.llm.queries import TOKENIZER
 
 
@@ -66,7 +66,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids are kept, an empty table gives no rows.
     """
     small_batches(spark)
-    return packing.pack_documents(docs, TOKENIZER)
+    return in_parts(packing.pack_documents(docs, TOKENIZER), docs.count())
 
 
 STAGES = [

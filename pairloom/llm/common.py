@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pairloom.session import fresh_path
 
 BATCH_ROWS = 1_000  # texts in a batch
+PART_ROWS, PART_TEXTS = 20_000, 4_000  # rows of numbers, or with a text, that are worth a file
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_parts(df: DataFrame, rows: int, each: int = PART_ROWS) -> DataFrame:
+    """The rows of ``df`` in no more partitions than ``rows`` rows need, ``each`` in one; fewer stay fewer.
+
+    A task that writes a file starts a process to set its mode, which shares the executor's
+    memory until it runs. So a small table does not get a file for every shuffle partition.
+    """
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def words(text: str | None) -> list[bytes]:
     """Words of a text: A-Z lower-cased, cut at blank and the controls 9 to 13."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()

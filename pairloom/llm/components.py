@@ -5,26 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import written
+from pairloom.llm.common import in_parts, written
 
 MAX_ROUNDS = 60
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", nodes: int | None = None) -> DataFrame:
     """(node, root): the smallest node that links reach, for every node that has a link.
 
     Alternates two star steps: every node hands its larger neighbours to its smallest one,
     then its smaller neighbours and itself. The links end as stars around the roots, in a
     number of rounds that grows with the logarithm of the longest chain. Each round is a
-    written table, so a lost executor costs one round at most. Links with a null end and
-    links of a node to itself count for nothing; without links the result is empty.
+    written table, so a lost executor costs one round at most; its files are as many as its
+    links need, those of the first as many as ``nodes`` need, if given. Links with a null end
+    and links of a node to itself count for nothing; without links the result is empty.
     """
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
-    links = written(
+    first = (
         links.select(F.greatest(x, y).alias("v"), F.least(x, y).alias("u"))
-        .where(x.isNotNull() & y.isNotNull() & (x != y)).distinct(),
-        "links",
+        .where(x.isNotNull() & y.isNotNull() & (x != y)).distinct()
     )
+    links = written(first if nodes is None else in_parts(first, nodes), "links")
     before = None
     for _ in range(MAX_ROUNDS):
         now = links.agg(
@@ -35,7 +36,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 links.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
             )
         before = tuple(now)
-        links = written(_small_star(_large_star(links)), "links")
+        links = written(in_parts(_small_star(_large_star(links)), now[0]), "links")
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 

@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import written
+from pairloom.llm.common import in_parts, written
 
 MARKS = b".,;:!?\"'()[]{}"
 LONGEST, SHORT = 64, 5  # words of an index passage: longer items are cut, shorter ones are phrases
@@ -279,7 +279,7 @@ def index(docs: DataFrame, block: DataFrame, n_docs: int) -> Index | None:
 
 def indexes(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, answer_col: str | None) -> Iterator[Broadcast]:
     """A broadcast index for each block of passages; its size is bounded by BLOCK and LONGEST."""
-    passages = written(cut(benchmark, item_col, item_text, answer_col), "benchmark_passages")
+    passages = written(in_parts(cut(benchmark, item_col, item_text, answer_col), benchmark.count(), BLOCK), "benchmark_passages")
     n_docs = docs.count()
     for block in blocks(passages) if n_docs else ():
         own = index(docs, block, n_docs)

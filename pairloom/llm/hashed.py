@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import words, written
+from pairloom.llm.common import in_parts, words, written
 
 EDGES = b".,;:!?\"'()[]{}"
 SHAPE = bytes(
@@ -73,7 +73,7 @@ def labelled(
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.join(F.broadcast(ids), "id").mapInPandas(hash_rows, "id long, y int, x array<long>")
-    return written(rows.groupBy("id", "y").agg(F.min("x").alias("x")), name)
+    return written(in_parts(rows.groupBy("id", "y").agg(F.min("x").alias("x")), sample, PART_ROWS), name)
 
 
 def vocabulary(rows: DataFrame, least: int, most: int) -> np.ndarray:

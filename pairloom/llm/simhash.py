@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm import golay, shingles
-from pairloom.llm.common import words, written
+from pairloom.llm.common import PART_TEXTS, in_parts, words, written
 from pairloom.llm.components import components
 
 MAX_BITS = 3
@@ -159,15 +159,16 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 def _groups(rows: DataFrame, find: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
     """(fp, root, component_id): a fingerprint's group and the group's smallest id, of rows (id, fp)."""
-    classes = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    joined = components(find(classes))
+    classes, n = rows.groupBy("fp").agg(F.min("id").alias("least")), rows.count()
+    joined = components(find(classes), nodes=n)
     nodes = joined.join(classes, joined.node == classes.fp).select("node", "root", "least")
     roots = nodes.groupBy("root").agg(F.min("least").alias("reached"))
     reach = nodes.join(roots, "root").select(F.col("node").alias("fp"), "root", "reached", F.lit(True).alias("linked"))
-    return classes.join(reach, "fp", "left").select(
+    groups = classes.join(reach, "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"),
         F.when(F.col("linked"), F.col("reached")).otherwise(F.col("least")).alias("component_id"),
     )
+    return in_parts(groups, n)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,7 +207,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = rows.where("id IS NOT NULL")
     kept = named.join(groups, "fp").where("id = component_id").groupBy("root").agg(F.min(F.struct("id", "fp")).alias("own"))
     kept = kept.select("own.*").join(named.groupBy("id").agg(F.count("*").alias("rows")), "id")
-    kept = written(kept, "kept")
+    n = rows.count()
+    kept = written(in_parts(kept, n), "kept")
     key = F.col(id_col).cast("long") == F.col("id")
     once = docs.join(kept.where("rows = 1").select("id"), key, "left_semi")
 
@@ -221,4 +223,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = docs.where(F.col(id_col).isNull()).withColumn("_fp", fp(F.col(text_col)))
     nameless = groups.where("component_id IS NULL").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
     unnamed = own.join(nameless, "_fp").dropDuplicates(["_root"]).select(*docs.columns)
-    return once.unionByName(again).unionByName(unnamed)
+    return in_parts(once.unionByName(again).unionByName(unnamed), n, PART_TEXTS)

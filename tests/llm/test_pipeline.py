@@ -2,6 +2,7 @@
 
 import inspect
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 import corpus_pipeline
 from pairloom.llm import decontam, hashed, quality, queries, toxicity
+from pairloom.session import shared_dir
 from tests.conftest import SMALL
 from tests.llm.test_decontam import every_window
 from tests.llm.test_packing import check
@@ -106,6 +108,30 @@ def test_simhash_stage_links_fingerprints(spark):
     assert 12 < len(set(roots)) < len(texts) and sorted(set(roots)) != sorted(set(plain_roots(texts)))
 
 
+@pytest.mark.parametrize("name", ["toxicity", "quality", "simhash", "decontamination", "packing"])
+def test_small_tables_are_few_files(spark, name):
+    """Tables of a few hundred rows don't get a file for every one of many shuffle partitions."""
+    many = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(40)) for _ in range(300)]
+    texts += [f"{t} more" for t in texts[:40]] + texts[:40]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(texts)], docs.schema))
+    docs = corpus_pipeline.written(docs.coalesce(2), "docs")
+    folder = Path(shared_dir(spark))
+    there = set(folder.glob("pairloom-*/*"))
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        corpus_pipeline.written(STAGES[name](spark, docs, SMALL), "result")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = {p.name: len(list(p.glob("part-*"))) for p in set(folder.glob("pairloom-*/*")) - there}
+    assert "result" in files and max(files.values()) <= 8, files
+
+
 def test_groups_without_ids(spark):
     text = "one two three four five six"
     df = spark.createDataFrame([(None, text), (None, text), (1, "a b c d e"), (None, "a b c d e")], "doc_id long, text string")
