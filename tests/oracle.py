@@ -10,10 +10,13 @@ import sys
 import time
 from collections import Counter
 from pathlib import Path
+from typing import TYPE_CHECKING
 
-import duckdb
 from pyspark.sql import SparkSession
 
+if TYPE_CHECKING:
+    import duckdb
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -35,6 +38,8 @@ def make_session(name: str = "checks", cores: str = "8") -> SparkSession:
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    import duckdb  # here, as sessions are made where it may be missing
+
     con = duckdb.connect()
     for name in TABLES:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")

@@ -27,3 +27,9 @@ def test_entry_without_the_subpackage(tmp_path, pipeline):
     ran = subprocess.run([sys.executable, "-c", RUN], cwd=tmp_path / "copy", env={**os.environ, "PYTHONPATH": str(tmp_path / "copy")},
                          capture_output=True, text=True, timeout=300)
     assert ran.returncode == 0, ran.stderr[-2_000:]
+
+
+def test_a_session_needs_no_duckdb():
+    hidden = "import sys; sys.modules['duckdb'] = None; from tests.oracle import make_session"
+    ran = subprocess.run([sys.executable, "-c", hidden], cwd=ROOT, capture_output=True, text=True, timeout=300)
+    assert ran.returncode == 0, ran.stderr[-2_000:]
